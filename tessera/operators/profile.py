@@ -32,14 +32,14 @@ def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
     wide = df.agg(F.count(F.lit(1)).alias("__rows"),
                   *[F.count_if(missing(df, c)).alias(c) for c in cols])
-    long = wide.unpivot("__rows", cols, "column", "nulls")
-    return long.select("column", F.col("nulls").cast("long").alias("nulls"),
+    long = wide.unpivot("__rows", cols, "column_name", "nulls")
+    return long.select("column_name", F.col("nulls").cast("long").alias("nulls"),
                        pct(F.col("nulls"), F.col("__rows")).alias("pct"))
 
 
 def null_report(df: DataFrame, top: int = 15) -> DataFrame:
     """Every column, most nulls first (ties by name), first ``top`` rows."""
-    return null_profile(df).orderBy(F.col("nulls").desc(), F.col("column").asc()).limit(top)
+    return null_profile(df).orderBy(F.col("nulls").desc(), F.col("column_name").asc()).limit(top)
 
 
 def describe(df: DataFrame, col: str) -> DataFrame:
@@ -86,7 +86,7 @@ def extremes(df: DataFrame, cols: list[str]) -> DataFrame:
                  F.max(F.col(c)).cast("double").alias(f"{c}__max")]
     wide = df.agg(*aggs)
     stacked = F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"{c}__min").alias("min"),
+        F.struct(F.lit(c).alias("column_name"), F.col(f"{c}__min").alias("min"),
                  F.col(f"{c}__max").alias("max")) for c in cols]))
     return wide.select(stacked)
 
@@ -118,25 +118,25 @@ def wide_stats(df: DataFrame, cols: list[str], probs=WIDE_PROBS) -> DataFrame:
     gives count 0 and null statistics.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value")
-    mom = long.groupBy("column").agg(*_moments(F.col("value")))
+        [], cols, "column_name", "value")
+    mom = long.groupBy("column_name").agg(*_moments(F.col("value")))
     mom = mom.select("*", *_sample_shape(F.col("count"), F.col("skew_pop"), F.col("kurt_pop")))
-    q = exact_quantiles(long, "value", probs, group=["column"])
+    q = exact_quantiles(long, "value", probs, group=["column_name"])
     names = [f"p{int(round(p * 100))}" for p in probs]
-    cols_order = ["column", "count", "mean", "std", "min", *names, "max",
+    cols_order = ["column_name", "count", "mean", "std", "min", *names, "max",
                   "skew_pop", "skew_samp", "kurt_pop", "kurt_samp"]
-    return mom.join(q, on="column", how="left").select(*cols_order)
+    return mom.join(q, on="column_name", how="left").select(*cols_order)
 
 
 def approx_wide_stats(df: DataFrame, cols: list[str], probs=WIDE_PROBS,
                       accuracy: int = 10000) -> DataFrame:
     """A11 at scale in one pass: ``percentile_approx`` (bounded sketch) quantiles."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
-        [], cols, "column", "value")
+        [], cols, "column_name", "value")
     names = [f"p{int(round(p * 100))}" for p in probs]
     qs = F.percentile_approx("value", list(probs), accuracy)
-    agg = long.groupBy("column").agg(*_moments(F.col("value")), qs.alias("__q"))
-    return agg.select("column", "count", "mean", "std", "min",
+    agg = long.groupBy("column_name").agg(*_moments(F.col("value")), qs.alias("__q"))
+    return agg.select("column_name", "count", "mean", "std", "min",
                       *[F.col("__q")[i].alias(n) for i, n in enumerate(names)], "max",
                       "skew_pop", "kurt_pop")
 

@@ -71,3 +71,383 @@ select source, n, round(mean_target, 6) as mean_target,
        round((mean_target * n + (select m from mu) * 10) / (n + 10), 6) as encoded
 from g order by n desc, source limit 5
 """)(flagship)
+
+
+# ---------------------------------------------------------------------------
+# Shared SQL fragments for the oracle side
+
+def _bucket_sql(key: str, mod: int = 100, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::bigint % {mod})"
+
+
+def _pct_sql(x: str, n: str) -> str:
+    return f"round(100.0::double * ({x}) / ({n}), 2)"
+
+
+# ---------------------------------------------------------------------------
+# Validation entry point - left join, loss accounting, verdict
+
+@query("left_join_usable", f"""
+with j as (select d.doc_id, d.text, d.source, l.quality
+           from documents d left join labels l using (doc_id)),
+a as (select count(*) as original,
+             count(*) filter (where quality is not null and text is not null and text <> ''
+                              and source is not null and source <> '') as kept from j)
+select original, kept, original - kept as removed, {_pct_sql('original - kept', 'original')} as pct_lost,
+       {_pct_sql('kept', 'original')} as pct_usable,
+       case when kept > 10000 then 'sufficient' when kept > 5000 then 'caution'
+            else 'insufficient' end as verdict
+from a
+""")
+def left_join_usable(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "source")
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality")
+    j = joins.join_on_key(docs, labels, "doc_id", "left")
+    keep = clean.keep_predicate(j, not_null=["quality"], not_empty=["text", "source"])
+    return clean.sufficiency(clean.loss_accounting(j, keep))
+
+
+# Inner join on the key, narrow projection with a rename to label
+
+@query("inner_join_project", """
+select o.o_orderkey, o.o_custkey, c.c_name, c.c_mktsegment, o.o_orderpriority,
+       cast(year(o.o_orderdate) as integer) as year, o.o_totalprice as label
+from orders o join customer c on o.o_custkey = c.c_custkey
+""")
+def inner_join_project(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority",
+                  "o_orderdate", "o_totalprice")
+    cust = load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment") \
+        .withColumnRenamed("c_custkey", "o_custkey")
+    j = joins.join_on_key(orders, cust, "o_custkey", "inner")
+    return j.select("o_orderkey", "o_custkey", "c_name", "c_mktsegment", "o_orderpriority",
+                    F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("label"))
+
+
+# Null profile of the left-joined validation table
+
+_PROFILE_COLS = [("doc_id", False), ("text", True), ("lang", True), ("source", True),
+                 ("n_chars", False), ("quality", False), ("toxic", False)]
+
+
+def _profile_input(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return joins.join_on_key(docs, labels, "doc_id", "left")
+
+
+def _null_profile_sql() -> str:
+    parts = []
+    for c, is_text in _PROFILE_COLS:
+        cond = f"{c} is null" + (f" or {c} = ''" if is_text else "")
+        parts.append(f"select '{c}' as column_name, count(*) filter (where {cond}) as nulls, "
+                     f"{_pct_sql(f'count(*) filter (where {cond})', 'count(*)')} as pct from j")
+    return ("with j as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic "
+            "from documents d left join labels l using (doc_id))\n" + "\nunion all\n".join(parts))
+
+
+@query("null_profile", _null_profile_sql())
+def null_profile(spark, sf_dir):
+    return profile.null_profile(_profile_input(spark, sf_dir))
+
+
+@query("null_report", "select * from (" + _null_profile_sql()
+       + ") order by nulls desc, column_name limit 15")
+def null_report(spark, sf_dir):
+    return profile.null_report(_profile_input(spark, sf_dir), top=15)
+
+
+# Fully duplicated rows
+
+@query("dedup_rows", """
+select 'conversations' as source_table, cast(sum(c) as bigint) as n_rows,
+       count(*) as distinct_rows, cast(sum(c - 1) as bigint) as duplicate_rows
+from (select conv_id, turn, role, text, count(*) as c from conversations group by all)
+union all
+select 'documents.text', cast(sum(c) as bigint), count(*), cast(sum(c - 1) as bigint)
+from (select text, count(*) as c from documents group by all)
+""")
+def dedup_rows(spark, sf_dir):
+    conv = profile.duplicates(load(spark, sf_dir, "conversations"))
+    docs = profile.duplicates(load(spark, sf_dir, "documents", "text"))
+    def shape(df, name):
+        return df.select(F.lit(name).alias("source_table"), F.col("rows").alias("n_rows"),
+                         "distinct_rows", "duplicate_rows")
+    return shape(conv, "conversations").unionByName(shape(docs, "documents.text"))
+
+
+# Describe the target
+
+@query("describe_target", """
+select count(o_totalprice) as "count", round(avg(o_totalprice), 4) as mean,
+       round(stddev_samp(o_totalprice), 4) as stddev, min(o_totalprice) as "min",
+       max(o_totalprice) as "max"
+from orders
+""")
+def describe_target(spark, sf_dir):
+    d = profile.describe(load(spark, sf_dir, "orders", "o_totalprice"), "o_totalprice")
+    return d.select("count", rnd("mean", 4).alias("mean"), rnd("stddev", 4).alias("stddev"),
+                    "min", "max")
+
+
+# Extremes and wide statistics of numeric columns
+
+_WIDE_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _long_sql(table: str, cols: list[str]) -> str:
+    return " union all ".join(
+        f"select '{c}' as column_name, cast({c} as double) as v from {table}" for c in cols)
+
+
+@query("extremes", f"""
+select column_name, min(v) + 0.0 as "min", max(v) + 0.0 as "max"
+from ({_long_sql('lineitem', _WIDE_COLS)}) group by column_name
+""")
+def extremes(spark, sf_dir):
+    e = profile.extremes(load(spark, sf_dir, "lineitem", *_WIDE_COLS), _WIDE_COLS)
+    return e.select("column_name", (F.col("min") + 0.0).alias("min"), (F.col("max") + 0.0).alias("max"))
+
+
+_W = 4  # decimals for the wide table (values up to 1e5)
+
+
+def _wide_sql() -> str:
+    qs = ", ".join(f"round(quantile_cont(v, {p}), {_W}) + 0.0 as p{int(round(p * 100))}"
+                   for p in profile.WIDE_PROBS)
+    m2 = "avg(power(v - mu, 2))"
+    g1 = f"(avg(power(v - mu, 3)) / power({m2}, 1.5))"
+    g2 = f"(avg(power(v - mu, 4)) / power({m2}, 2) - 3)"
+    n = "count(v)::double"
+    return f"""
+with s as ({_long_sql('lineitem', _WIDE_COLS)}),
+m as (select column_name, avg(v) as mu from s group by column_name)
+select column_name, count(v) as "count", round(avg(v), {_W}) + 0.0 as mean,
+       round(stddev_samp(v), {_W}) + 0.0 as std, round(min(v), {_W}) + 0.0 as "min", {qs},
+       round(max(v), {_W}) + 0.0 as "max",
+       round({g1}, {_W}) + 0.0 as skew_pop,
+       round({g1} * sqrt({n} * ({n} - 1)) / ({n} - 2), {_W}) + 0.0 as skew_samp,
+       round({g2}, {_W}) + 0.0 as kurt_pop,
+       round((({n} + 1) * {g2} + 6) * ({n} - 1) / (({n} - 2) * ({n} - 3)), {_W}) + 0.0 as kurt_samp
+from s join m using (column_name) group by column_name
+"""
+
+
+@query("wide_stats", _wide_sql())
+def wide_stats(spark, sf_dir):
+    w = profile.wide_stats(load(spark, sf_dir, "lineitem", *_WIDE_COLS), _WIDE_COLS)
+    return w.select("column_name", "count",
+                    *[(rnd(c, _W) + 0.0).alias(c) for c in w.columns if c not in ("column_name", "count")])
+
+
+# Target summary
+
+@query("target_shape", """
+with m as (select avg(o_totalprice) as mu from orders),
+s as (select avg(power(o_totalprice - mu, 3)) / power(avg(power(o_totalprice - mu, 2)), 1.5) as sk
+      from orders, m)
+select round((select mu from m), 4) as mean, round(median(o_totalprice), 4) as median,
+       round((select sk from s), 6) as skewness,
+       case when (select sk from s) < 0 then 'left' when (select sk from s) > 0 then 'right'
+            else 'symmetric' end as direction
+from orders
+""")
+def target_shape(spark, sf_dir):
+    t = profile.target_shape(load(spark, sf_dir, "orders", "o_totalprice"), "o_totalprice")
+    return t.select(rnd("mean", 4).alias("mean"), rnd("median", 4).alias("median"),
+                    rnd("skewness").alias("skewness"), "direction")
+
+
+# Text length against the target
+
+@query("text_length_corr", """
+select round(corr(length(d.text)::double, l.quality::double), 6) as r,
+       case when abs(corr(length(d.text)::double, l.quality::double)) < 0.1 then 'close to zero'
+            else 'not negligible' end as strength
+from documents d join labels l using (doc_id)
+""")
+def text_length_corr(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text")
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality")
+    r = profile.length_correlation(joins.join_on_key(docs, labels, "doc_id"), "text", "quality")
+    return r.select(rnd("r").alias("r"), "strength")
+
+
+# Mean target per year
+
+@query("mean_by_year", """
+select cast(year(o_orderdate) as integer) as year, round(avg(o_totalprice), 4) as mean_target,
+       count(*) as n
+from orders group by 1
+""")
+def mean_by_year(spark, sf_dir):
+    o = load(spark, sf_dir, "orders", "o_orderdate", "o_totalprice")
+    m = profile.mean_by(o, F.year("o_orderdate"), "o_totalprice", name="year")
+    return m.select("year", rnd("mean_target", 4).alias("mean_target"), "n")
+
+
+# Mean per labelled duration bin (events.value plays duration)
+
+def _bin_sql(x: str) -> str:
+    edges, labels = H.DURATION_BIN_EDGES, H.DURATION_BIN_LABELS
+    arms = " ".join(f"when {x} < {e} then '{lab}'" for e, lab in zip(edges, labels))
+    return f"case when {x} is null then null {arms} else '{labels[-1]}' end"
+
+
+@query("mean_by_bin", f"""
+select {_bin_sql('value')} as duration_bin, round(avg(value), 6) as mean_target, count(*) as n
+from events group by 1
+""")
+def mean_by_bin(spark, sf_dir):
+    e = load(spark, sf_dir, "events", "value")
+    m = profile.mean_by(e, H.duration_bin("value"), "value", name="duration_bin", order_desc=True)
+    return m.select("duration_bin", rnd("mean_target").alias("mean_target"), "n")
+
+
+# Box-plot summaries, overall and per group
+
+def _box_sql(group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    on = f"using ({group})" if group else "on true"
+    gb = f"group by {group}" if group else ""
+    return f"""
+with q as (select {g}quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median,
+                  quantile_cont(value, 0.75) as q3 from events {gb}),
+f as (select *, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as lo_fence, q3 + 1.5 * (q3 - q1) as hi_fence from q),
+c as (select {('e.' + group + ', ') if group else ''}count(e.value) as n,
+             count(*) filter (where e.value < f.lo_fence or e.value > f.hi_fence) as outliers,
+             min(case when e.value >= f.lo_fence then e.value end) as whisker_lo,
+             max(case when e.value <= f.hi_fence then e.value end) as whisker_hi
+      from events e join f {on} {('group by e.' + group) if group else ''})
+select {g}round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, round(iqr, 6) as iqr,
+       round(lo_fence, 6) as lo_fence, round(hi_fence, 6) as hi_fence,
+       whisker_lo, whisker_hi, n, outliers
+from f join c {on}
+"""
+
+
+def _box_round(df):
+    return df.select(*[rnd(c).alias(c) if c in ("q1", "median", "q3", "iqr", "lo_fence", "hi_fence")
+                       else F.col(c) for c in df.columns])
+
+
+@query("boxplot_overall", _box_sql(None))
+def boxplot_overall(spark, sf_dir):
+    return _box_round(profile.boxplot(load(spark, sf_dir, "events", "value"), "value"))
+
+
+@query("boxplot_by_group", _box_sql("event_type"))
+def boxplot_by_group(spark, sf_dir):
+    e = load(spark, sf_dir, "events", "event_type", "value")
+    return _box_round(profile.boxplot(e, "value", group="event_type"))
+
+
+# histograms
+
+@query("histogram_tenths", """
+select floor(round(value * 10, 6)) / 10.0 as bin, count(*) as n from events group by 1
+""")
+def histogram_tenths(spark, sf_dir):
+    return profile.histogram_tenths(load(spark, sf_dir, "events", "value"), "value")
+
+
+@query("histogram_width", """
+select cast(floor((value - 0.0) / 25.0) as bigint) as bin, count(*) as n,
+       0.0 + cast(floor((value - 0.0) / 25.0) as bigint) * 25.0 as bin_lo
+from events where value is not null group by 1
+""")
+def histogram_width(spark, sf_dir):
+    return profile.histogram_width(load(spark, sf_dir, "events", "value"), "value", 0.0, 25.0)
+
+
+# Shape and type inventory (metadata; rows-only check)
+
+@query("dtype_inventory")
+def dtype_inventory(spark, sf_dir):
+    return profile.dtype_inventory(load(spark, sf_dir, "lineitem"))
+
+
+# Year parsing, digits-only and strict
+
+@query("year_parse", """
+select doc_id, source,
+       try_cast(regexp_replace(source, '[^0-9]', '', 'g') as integer) as year_digits,
+       try_cast(source as integer) as year_strict
+from documents
+""")
+def year_parse(spark, sf_dir):
+    d = load(spark, sf_dir, "documents", "doc_id", "source")
+    return d.select("doc_id", "source", H.year_digits("source").alias("year_digits"),
+                    H.year_strict("source").alias("year_strict"))
+
+
+@query("year_parse_brand", """
+select p_partkey, try_cast(regexp_replace(p_brand, '[^0-9]', '', 'g') as integer) as year_digits,
+       try_cast(p_brand as integer) as year_strict
+from part
+""")
+def year_parse_brand(spark, sf_dir):
+    p = load(spark, sf_dir, "part", "p_partkey", "p_brand")
+    return p.select("p_partkey", H.year_digits("p_brand").alias("year_digits"),
+                    H.year_strict("p_brand").alias("year_strict"))
+
+
+# H3 H4 H5 H6: derived columns
+
+@query("derived_years", """
+select o_orderkey, cast(year(o_orderdate) as integer) as year,
+       cast((year(o_orderdate) // 10) * 10 as integer) as decade,
+       case when year(o_orderdate) >= 2015 then 1.0 else 0.0 end::double as is_recent,
+       case when year(o_orderdate) <= 1980 then 1.0 else 0.0 end::double as is_old_classic
+from orders
+""")
+def derived_years(spark, sf_dir):
+    o = load(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    y = F.year("o_orderdate")
+    return o.select("o_orderkey", y.alias("year"), H.decade(y).alias("decade"),
+                    H.is_recent(y).alias("is_recent"), H.is_old_classic(y).alias("is_old_classic"))
+
+
+@query("derived_duration", """
+select doc_id, n_chars,
+       case when n_chars <= 90 then 'short' when n_chars <= 120 then 'medium' else 'long' end
+         as duration_category
+from documents
+""")
+def derived_duration(spark, sf_dir):
+    d = load(spark, sf_dir, "documents", "doc_id", "n_chars")
+    return d.select("doc_id", "n_chars", H.duration_category("n_chars").alias("duration_category"))
+
+
+# H7 H8 H9: ratio columns (lineitem values are positive: no zero divisors)
+
+@query("ratio_columns", """
+select l_orderkey, l_linenumber,
+       round(l_extendedprice / (l_quantity + l_linenumber + 1), 6) as votes_per_review,
+       round(l_quantity / (l_linenumber + 1), 6) as review_ratio,
+       round(ln(1 + l_extendedprice), 6) as log_votes
+from lineitem
+""")
+def ratio_columns(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        rnd(H.votes_per_review("l_extendedprice", "l_quantity", "l_linenumber")).alias("votes_per_review"),
+        rnd(H.review_ratio("l_quantity", "l_linenumber")).alias("review_ratio"),
+        rnd(H.log_votes("l_extendedprice")).alias("log_votes"))
+
+
+# Null drop then non-empty filter
+
+@query("null_drop_filter", """
+select d.doc_id, d.source, l.quality
+from documents d left join labels l using (doc_id)
+where l.quality is not null and d.source is not null and d.text is not null
+  and d.text <> '' and d.source <> ''
+""")
+def null_drop_filter(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "source")
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality")
+    j = joins.join_on_key(docs, labels, "doc_id", "left")
+    kept = clean.nonempty(clean.drop_nulls(j, ["quality", "source", "text"]), ["text", "source"])
+    return kept.select("doc_id", "source", "quality")
