@@ -83,39 +83,38 @@ def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
     clash = [c for c in other if c in facts.columns]
     if clash:
         raise ValueError(f"lookup columns already present in facts: {clash}")
-    renamed = {k: f"__lk_{i}" for i, k in enumerate(keys)}
-    t0 = table.withColumnsRenamed(renamed)
-    tkeys = [renamed[k] for k in keys]
+    # Unique names on the table side, so conditions resolve by name even when
+    # facts and table come from the same scan (leave-one-out, k-fold).
+    tkeys = [f"__lk_{i}" for i in range(len(keys))]
+    t0 = table.select(*[F.col(k).alias(tk) for k, tk in zip(keys, tkeys)], *other)
+    fk = [F.col(k) for k in keys]
 
     if (bound is not None and bound <= BROADCAST_MAX_ROWS) or count_col is None:
         t = F.broadcast(t0) if bound is not None and bound <= BROADCAST_MAX_ROWS else t0
-        j = facts.join(t, _match([facts[k] for k in keys], [t[k] for k in tkeys], null_safe), "left")
-        return j.select(*[facts[c] for c in facts.columns], *[t[c] for c in other])
+        j = facts.join(t, _match(fk, [F.col(tk) for tk in tkeys], null_safe), "left")
+        return j.drop(*tkeys)
 
     # Hot keys: the K largest counts. A top-K result has at most K rows, so
     # broadcasting it is safe at any data size.
-    hot = (t0.orderBy(F.col(count_col).desc(), *[F.col(k).asc_nulls_last() for k in tkeys])
-           .limit(hot_keys).select(*tkeys, F.lit(True).alias(_HOT)))
-    hot_f = F.broadcast(hot)
+    hkeys = [f"__hk_{i}" for i in range(len(keys))]
+    hot = F.broadcast(
+        t0.orderBy(F.col(count_col).desc(), *[F.col(k).asc_nulls_last() for k in tkeys])
+        .limit(hot_keys)
+        .select(*[F.col(tk).alias(hk) for tk, hk in zip(tkeys, hkeys)], F.lit(True).alias(_HOT)))
     salt_cols = salt_by or facts.columns
-    f = facts.join(hot_f, _match([facts[k] for k in keys], [hot_f[k] for k in tkeys], null_safe), "left")
-    f = f.select(*[facts[c] for c in facts.columns], hot_f[_HOT]).withColumn(
-        _SALT,
-        F.when(F.col(_HOT), F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]),
-                                   F.lit(salt_buckets))).otherwise(F.lit(0)).cast("int"),
-    ).drop(_HOT)
-
-    hot_t = F.broadcast(hot.withColumnsRenamed({k: k + "_h" for k in tkeys}))
-    t = t0.join(hot_t, _match([t0[k] for k in tkeys], [hot_t[k + "_h"] for k in tkeys], null_safe), "left")
-    t = t.select(*[t0[c] for c in t0.columns], hot_t[_HOT]).withColumn(
-        _SALT,
-        F.explode(F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
-                  .otherwise(F.array(F.lit(0)))).cast("int"),
-    ).drop(_HOT)
-
-    cond = _match([f[k] for k in keys], [t[k] for k in tkeys], null_safe) & (f[_SALT] == t[_SALT])
-    out = f.join(t, cond, "left")
-    return out.select(*[f[c] for c in facts.columns], *[t[c] for c in other])
+    f = (facts.join(hot, _match(fk, [F.col(h) for h in hkeys], null_safe), "left")
+         .drop(*hkeys)
+         .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]),
+                                                     F.lit(salt_buckets)))
+                     .otherwise(F.lit(0)).cast("int"))
+         .drop(_HOT))
+    t = (t0.join(hot, _match([F.col(tk) for tk in tkeys], [F.col(h) for h in hkeys], null_safe), "left")
+         .drop(*hkeys)
+         .withColumn("__tsalt", F.explode(F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
+                                          .otherwise(F.array(F.lit(0)))))
+         .drop(_HOT))
+    cond = _match(fk, [F.col(tk) for tk in tkeys], null_safe) & (F.col(_SALT) == F.col("__tsalt"))
+    return f.join(t, cond, "left").drop(*tkeys, _SALT, "__tsalt")
 
 
 def keep_or_other(facts: DataFrame, kept: DataFrame, col: str, bound: int,
@@ -126,7 +125,6 @@ def keep_or_other(facts: DataFrame, kept: DataFrame, col: str, bound: int,
     """
     k = kept.select(F.col(col).alias("__kv"), F.lit(True).alias("__keep"))
     kb = F.broadcast(k) if bound <= BROADCAST_MAX_ROWS else k
-    j = facts.join(kb, facts[col].eqNullSafe(kb["__kv"]), "left")
-    return j.select(
-        *[(F.when(kb["__keep"], facts[c]).otherwise(F.lit(other)).alias(c) if c == col else facts[c])
-          for c in facts.columns])
+    j = facts.join(kb, F.col(col).eqNullSafe(F.col("__kv")), "left")
+    return j.withColumn(col, F.when(F.col("__keep"), F.col(col)).otherwise(F.lit(other))) \
+        .drop("__kv", "__keep")

@@ -48,15 +48,17 @@ def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
     offsets = totals.select(*keys, *[F.sum(f"__bt_{s}").over(w_off).alias(f"__off_{s}") for s in sums])
     # Null-safe on the group so a null category keeps its rows. Without a
     # group the offsets table has at most one row per partition: broadcast.
-    off = offsets if group else F.broadcast(offsets)
+    okeys = {k: f"__ok_{i}" for i, k in enumerate(keys)}
+    off = offsets.withColumnsRenamed(okeys)
+    off = off if group else F.broadcast(off)
     cond = None
     for k in keys:
-        e = inner[k].eqNullSafe(off[k])
+        e = F.col(k).eqNullSafe(F.col(okeys[k]))
         cond = e if cond is None else cond & e
     joined = inner.join(off, cond, "inner")
     return joined.select(
-        *[inner[c] for c in rows.columns],
-        *[(F.coalesce(inner[f"__in_{s}"], F.lit(0)) + F.coalesce(off[f"__off_{s}"], F.lit(0)))
+        *rows.columns,
+        *[(F.coalesce(F.col(f"__in_{s}"), F.lit(0)) + F.coalesce(F.col(f"__off_{s}"), F.lit(0)))
           .alias(f"{s}_before") for s in sums])
 
 

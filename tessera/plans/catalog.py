@@ -451,3 +451,233 @@ def null_drop_filter(spark, sf_dir):
     j = joins.join_on_key(docs, labels, "doc_id", "left")
     kept = clean.nonempty(clean.drop_nulls(j, ["quality", "source", "text"]), ["text", "source"])
     return kept.select("doc_id", "source", "quality")
+
+
+# ---------------------------------------------------------------------------
+# splits
+
+_B = _bucket_sql("o_orderkey")
+
+
+@query("hash_split_counts", f"""
+select case when {_B} < 80 then 'train' else 'test' end as side, count(*) as n,
+       cast(sum(o_orderkey) as bigint) as key_sum
+from orders group by 1
+""")
+def hash_split_counts(spark, sf_dir):
+    o = load(spark, sf_dir, "orders", "o_orderkey")
+    s = split.with_side(o, "o_orderkey")
+    return s.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
+@query("random_split_counts")
+def random_split_counts(spark, sf_dir):
+    o = load(spark, sf_dir, "orders", "o_orderkey")
+    train, test = split.random_split(o)
+    return (train.select(F.lit("train").alias("side"))
+            .unionByName(test.select(F.lit("test").alias("side")))
+            .groupBy("side").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------------------
+# Encoders (orders: o_custkey plays director,
+# o_totalprice in thousands plays the target)
+
+def _orders_xy(spark, sf_dir):
+    o = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority",
+             "o_orderdate", "o_totalprice")
+    return o.withColumn("y", F.col("o_totalprice") / 1000.0).drop("o_totalprice")
+
+
+_SPLIT_SQL = f"""
+b as (select *, o_totalprice / 1000.0 as y, {_B} as bucket from orders),
+tr as (select * from b where bucket < 80),
+te as (select * from b where bucket >= 80)"""
+
+
+@query("freq_encode", f"""
+with {_SPLIT_SQL},
+nt as (select count(*)::double as nt from tr),
+f as (select o_custkey, count(*) as n from tr group by o_custkey)
+select te.o_orderkey,
+       round(coalesce(f.n / (select nt from nt), 1.0 / (select nt from nt)), 6) as o_custkey_freq
+from te left join f using (o_custkey)
+""")
+def freq_encode(spark, sf_dir):
+    train, test = split.hash_split(_orders_xy(spark, sf_dir), "o_orderkey")
+    enc = encode.fit_frequency(train, "o_custkey")
+    out = enc.apply(test.select("o_orderkey", "o_custkey"), salt_by=["o_orderkey"])
+    return out.select("o_orderkey", rnd("o_custkey_freq").alias("o_custkey_freq"))
+
+
+@query("frequency_table", """
+with nt as (select count(*)::double as nt from documents)
+select lang, count(*) as n, round(count(*) / (select nt from nt), 6) as freq
+from documents group by lang
+""")
+def frequency_table(spark, sf_dir):
+    t = encode.frequency_table(load(spark, sf_dir, "documents", "lang"), "lang")
+    return t.select("lang", "n", rnd("freq").alias("freq"))
+
+
+@query("target_encode", f"""
+with {_SPLIT_SQL},
+mu as (select avg(y) as m from tr),
+g as (select o_custkey, avg(y) as mean, count(*) as n from tr group by o_custkey)
+select te.o_orderkey,
+       round(coalesce((g.mean * g.n + (select m from mu) * 10) / (g.n + 10), (select m from mu)), 6)
+         as o_custkey_encoded
+from te left join g using (o_custkey)
+""")
+def target_encode(spark, sf_dir):
+    train, test = split.hash_split(_orders_xy(spark, sf_dir), "o_orderkey")
+    enc = encode.fit_target(train, "o_custkey", "y")
+    out = enc.apply(test.select("o_orderkey", "o_custkey"), salt_by=["o_orderkey"])
+    return out.select("o_orderkey", rnd("o_custkey_encoded").alias("o_custkey_encoded"))
+
+
+@query("loo_encode", """
+with b as (select o_orderkey, o_custkey, o_totalprice / 1000.0 as y from orders),
+mu as (select avg(y) as m from b)
+select o_orderkey,
+       round(coalesce(((sum(y) over w) - y) / nullif((count(*) over w) - 1, 0), (select m from mu)), 6)
+         as o_custkey_loo
+from b window w as (partition by o_custkey)
+""")
+def loo_encode(spark, sf_dir):
+    o = _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey", "y")
+    out = encode.loo_encode(o, "o_custkey", "y", salt_by=["o_orderkey"])
+    return out.select("o_orderkey", rnd("o_custkey_loo").alias("o_custkey_loo"))
+
+
+@query("kfold_encode", f"""
+with b as (select o_orderkey, o_custkey, o_totalprice / 1000.0 as y, {_bucket_sql('o_orderkey', 5)} as fold
+           from orders),
+mu as (select avg(y) as m from b),
+c as (select o_custkey, sum(y) as s, count(*) as n from b group by o_custkey),
+cf as (select o_custkey, fold, sum(y) as s, count(*) as n from b group by o_custkey, fold)
+select b.o_orderkey,
+       round(coalesce((c.s - cf.s) / nullif(c.n - cf.n, 0), (select m from mu)), 6) as o_custkey_kfold
+from b join c using (o_custkey) join cf using (o_custkey, fold)
+""")
+def kfold_encode(spark, sf_dir):
+    o = _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey", "y")
+    out = encode.kfold_encode(o, "o_custkey", "y", key="o_orderkey", k=5)
+    return out.select("o_orderkey", rnd("o_custkey_kfold").alias("o_custkey_kfold"))
+
+
+@query("time_encode", """
+select event_id,
+       round(avg(value) over w, 6) as event_type_past_mean,
+       count(*) over w as event_type_past_mean_n
+from events
+window w as (partition by event_type order by epoch_us(ts)
+             range between unbounded preceding and 1 preceding)
+""")
+def time_encode(spark, sf_dir):
+    e = load(spark, sf_dir, "events", "event_id", "event_type", "ts", "value")
+    out = encode.time_encode(e, "event_type", "value", "ts", salt_by=["event_id"])
+    return out.select("event_id", rnd("event_type_past_mean").alias("event_type_past_mean"),
+                      "event_type_past_mean_n")
+
+
+@query("time_encode_user", """
+select event_id,
+       round(avg(value) over w, 6) as user_id_past_mean,
+       count(*) over w as user_id_past_mean_n
+from events
+window w as (partition by user_id order by epoch_us(ts)
+             range between unbounded preceding and 1 preceding)
+""")
+def time_encode_user(spark, sf_dir):
+    e = load(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
+    out = encode.time_encode(e, "user_id", "value", "ts", salt_by=["event_id"])
+    return out.select("event_id", rnd("user_id_past_mean").alias("user_id_past_mean"),
+                      "user_id_past_mean_n")
+
+
+@query("reduce_cardinality", f"""
+with b as (select doc_id, source, {_bucket_sql('doc_id')} as bucket from documents),
+top as (select source from b where bucket < 80 group by source order by count(*) desc, source limit 5)
+select doc_id, case when source in (select source from top) then source else 'Other' end as source
+from b
+""")
+def reduce_cardinality(spark, sf_dir):
+    d = load(spark, sf_dir, "documents", "doc_id", "source")
+    train, _ = split.hash_split(d, "doc_id")
+    top = encode.fit_top_n(train, "source", 5)
+    return encode.reduce_cardinality(d, "source", top, n=5)
+
+
+@query("reduce_cardinality_part", f"""
+with b as (select p_partkey, p_name, {_bucket_sql('p_partkey')} as bucket from part),
+top as (select p_name from b where bucket < 80 group by p_name order by count(*) desc, p_name limit 30)
+select p_partkey, case when p_name in (select p_name from top) then p_name else 'Other' end as p_name
+from b
+""")
+def reduce_cardinality_part(spark, sf_dir):
+    p = load(spark, sf_dir, "part", "p_partkey", "p_name")
+    train, _ = split.hash_split(p, "p_partkey")
+    top = encode.fit_top_n(train, "p_name", encode.TOP_N)
+    return encode.reduce_cardinality(p, "p_name", top, n=encode.TOP_N)
+
+
+# ---------------------------------------------------------------------------
+# M1 M2 M4: token statistics in SQL form (whole texts)
+
+def _tokens_sql() -> str:
+    stop = M.stop_words_sql_list()
+    return (f"list_filter(list_filter(regexp_split_to_array(lower(text), '\\W+'), "
+            f"lambda w: length(w) >= 3), lambda w: not list_contains({stop}, w))")
+
+
+@query("token_counts", f"""
+with t as (select doc_id, unnest({_tokens_sql()}) as term from documents)
+select term, count(*) as n, count(distinct doc_id) as docs from t group by term
+""")
+def token_counts(spark, sf_dir):
+    d = load(spark, sf_dir, "documents", "doc_id", "text")
+    per_doc = (d.select("doc_id", F.explode(M.content_tokens("text")).alias("term"))
+               .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return per_doc.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
+
+
+@query("tfidf_terms", f"""
+with m as (select count(*)::double as m from documents),
+t as (select doc_id, unnest(list_distinct({_tokens_sql()})) as term from documents)
+select term, count(*) as df, round(ln(((select m from m) + 1) / (count(*) + 1)), 6) as idf
+from t group by term
+""")
+def tfidf_terms(spark, sf_dir):
+    d = load(spark, sf_dir, "documents", "doc_id", "text")
+    m = d.select(F.count(F.lit(1)).cast("double")).scalar()
+    terms = d.select(F.explode(F.array_distinct(M.content_tokens("text"))).alias("term"))
+    g = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return g.select("term", "df", rnd(F.log((m + 1) / (F.col("df") + 1))).alias("idf"))
+
+
+# ---------------------------------------------------------------------------
+# Money parsing and multi-valued strings
+
+@query("money_parse", """
+select o_orderkey, case when o_orderpriority like '1%' then 'USD' else '$' end as currency,
+       cast(o_totalprice as decimal(18, 2)) as amount
+from orders
+""")
+def money_parse(spark, sf_dir):
+    o = load(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")
+    money = F.concat(F.when(F.col("o_orderpriority").startswith("1"), F.lit("USD "))
+                     .otherwise(F.lit("$ ")), F.col("o_totalprice").cast("string"))
+    m = o.select("o_orderkey", money.alias("money"))
+    return m.select("o_orderkey", H.money_currency("money").alias("currency"),
+                    H.money_amount("money").alias("amount"))
+
+
+@query("split_multivalue", """
+select item, count(*) as n from (select unnest(string_split(p_name, ' ')) as item from part)
+where item <> '' group by item
+""")
+def split_multivalue(spark, sf_dir):
+    p = load(spark, sf_dir, "part", "p_name")
+    items = p.select(F.explode(H.split_multi("p_name", r"\s+")).alias("item"))
+    return items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
