@@ -101,7 +101,7 @@ def tenth_bin(label: str | Column) -> Column:
     (D3). The guard rounds x*10 to 6 places before flooring.
     """
     x = F.col(label) if isinstance(label, str) else label
-    return F.floor(F.round(x * 10, 6)) / F.lit(10.0)
+    return F.floor(round_half_up(x * 10, 6)) / F.lit(10.0)
 
 
 def width_bin(x: str | Column, lo: float, width: float) -> Column:
@@ -133,9 +133,20 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
+def round_half_up(x: Column, digits: int) -> Column:
+    """Round half-up on the value snapped to 10 decimals.
+
+    Summation order moves a double by a few ulps; values that sit exactly on
+    a rounding tie (common with decimal data) would then round either way.
+    Snapping to decimal(38,10) first removes that noise, so every engine
+    that rounds the same decimal gets the same digits.
+    """
+    return F.round(x.try_cast("decimal(38,10)"), digits).cast("double")
+
+
 def pct(x: Column, n: Column, digits: int = 2) -> Column:
     """Percentage rounded to ``digits``."""
-    return F.round(F.lit(100.0) * x / n, digits)
+    return round_half_up(F.lit(100.0) * x / n, digits)
 
 
 # Money strings such as "$ 2250" or "INR 1000": a currency token

@@ -31,17 +31,50 @@ ORACLE: dict[str, str] = {}
 R = 6  # decimal places kept for doubles on both sides
 
 
+def _snap_rounding(sql: str) -> str:
+    """Give every ``round(x, d)`` of an oracle string the Spark-side rounding.
+
+    ``round(x, d)`` becomes ``round(try_cast((x) as decimal(38,10)), d)::double``,
+    the same snap-then-round as ``functions.scalars.round_half_up``.
+    """
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k, comma = 1, j + len(key), None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = _snap_rounding(sql[j + len(key):comma])
+        digits = sql[comma + 1:k - 1].strip()
+        out.append(sql[i:j])
+        out.append(f"round(try_cast(({inner}) as decimal(38,10)), {digits})::double")
+        i = k
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql.strip()
+            ORACLE[name] = _snap_rounding(sql.strip())
         return fn
     return deco
 
 
 def rnd(c, d: int = R):
-    return F.round(F.col(c) if isinstance(c, str) else c, d)
+    return H.round_half_up(F.col(c) if isinstance(c, str) else c, d)
 
 
 # ---------------------------------------------------------------------------
