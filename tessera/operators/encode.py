@@ -78,6 +78,13 @@ def fit_target(train: DataFrame, col: str, target: str,
     return Encoding(col, table, mu, "_encoded")
 
 
+def fit_mean(train: DataFrame, col: str, target: str) -> Encoding:
+    """Plain mean target per category (no smoothing); unseen -> mu."""
+    mu = train.select(F.avg(target)).scalar()
+    table = train.groupBy(col).agg(F.avg(target).alias("value"), _count().alias("n"))
+    return Encoding(col, table, mu, "_mean")
+
+
 def fit_top_n(train: DataFrame, col: str, n: int = TOP_N) -> DataFrame:
     """E3f / T1: the N most frequent categories; ties broken by the value."""
     return (train.groupBy(col).agg(_count().alias("count"))

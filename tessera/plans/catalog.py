@@ -714,3 +714,213 @@ def split_multivalue(spark, sf_dir):
     p = load(spark, sf_dir, "part", "p_name")
     items = p.select(F.explode(H.split_multi("p_name", r"\s+")).alias("item"))
     return items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# Evaluation of three fitted predictors
+# on the held-out orders (global mean, priority mean, smoothed customer code)
+
+def _predictions(spark, sf_dir):
+    o = _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderpriority", "y")
+    train, test = split.hash_split(o, "o_orderkey")
+    mu = train.select(F.avg("y")).scalar()
+    pri = encode.fit_mean(train, "o_orderpriority", "y")
+    cus = encode.fit_target(train, "o_custkey", "y")
+    p = pri.apply(test, drop=False, salt_by=["o_orderkey"])
+    p = cus.apply(p, drop=False, salt_by=["o_orderkey"])
+    return p.select("o_orderkey", F.col("y").alias("label"), mu.alias("p_global"),
+                    F.col("o_orderpriority_mean").alias("p_priority"),
+                    F.col("o_custkey_encoded").alias("p_customer"))
+
+
+_PRED_SQL = f"""
+with {_SPLIT_SQL},
+mu as (select avg(y) as m from tr),
+gp as (select o_orderpriority, avg(y) as p from tr group by o_orderpriority),
+gc as (select o_custkey, avg(y) as mean, count(*) as n from tr group by o_custkey),
+p as (select te.o_orderkey, te.y as label, (select m from mu) as p_global,
+             coalesce(gp.p, (select m from mu)) as p_priority,
+             coalesce((gc.mean * gc.n + (select m from mu) * 10) / (gc.n + 10), (select m from mu))
+               as p_customer
+      from te left join gp using (o_orderpriority) left join gc using (o_custkey))"""
+
+
+def _metrics_sql(pred: str) -> str:
+    return f"""
+select round(sqrt(avg(power(label - {pred}, 2))), 6) as rmse,
+       round(avg(abs(label - {pred})), 6) as mae,
+       round(1 - sum(power(label - {pred}, 2)) / sum(power(label - (select avg(label) from p), 2)), 6) as r2,
+       round(avg(power(label - {pred}, 2)), 6) as mse, count(*) as n
+from p"""
+
+
+def _round_metrics(m):
+    return m.select(*[rnd(c).alias(c) if c in ("rmse", "mae", "r2", "mse") else F.col(c)
+                      for c in m.columns])
+
+
+@query("metrics_baseline", _PRED_SQL + _metrics_sql("p_priority"))
+def metrics_baseline(spark, sf_dir):
+    p = _predictions(spark, sf_dir)
+    return _round_metrics(evaluate.metrics(p, "label", "p_priority"))
+
+
+@query("worst_predictions", _PRED_SQL + """
+select o_orderkey, round(label, 6) as label, round(p_priority, 6) as prediction,
+       round(abs(label - p_priority), 6) as error
+from p order by abs(label - p_priority) desc, o_orderkey limit 20
+""")
+def worst_predictions(spark, sf_dir):
+    p = _predictions(spark, sf_dir).withColumnRenamed("p_priority", "prediction")
+    w = evaluate.worst_predictions(p, "o_orderkey", 20, label="label", prediction="prediction")
+    return w.select("o_orderkey", *[rnd(c).alias(c) for c in ("label", "prediction", "error")])
+
+
+_MODELS = (("global_mean", "p_global"), ("priority_mean", "p_priority"),
+           ("customer_encoded", "p_customer"))
+
+
+def _long_predictions(p):
+    return p.select("o_orderkey", "label", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(c).alias("prediction")) for m, c in _MODELS])))
+
+
+def _board_sql() -> str:
+    long = " union all ".join(f"select '{m}' as model, label, {c} as prediction from p" for m, c in _MODELS)
+    return _PRED_SQL + f""",
+l as ({long}),
+board as (select model, sqrt(avg(power(label - prediction, 2))) as rmse,
+             avg(abs(label - prediction)) as mae,
+             1 - sum(power(label - prediction, 2))
+                 / (sum(label * label) - sum(label) * sum(label) / count(*)) as r2
+      from l group by model)"""
+
+
+@query("leaderboard", _board_sql() + """
+select model, round(rmse, 6) as rmse, round(mae, 6) as mae, round(r2, 6) as r2,
+       null::double as minutes,
+       case when r2 < 0.4 then 'realistic' when r2 < 0.6 then 'acceptable'
+            else 'suspect leakage' end as verdict
+from board order by rmse
+""")
+def leaderboard(spark, sf_dir):
+    board = evaluate.metrics_by(_long_predictions(_predictions(spark, sf_dir)), "model")
+    lb = evaluate.leaderboard(board)
+    return lb.select("model", *[rnd(c).alias(c) for c in ("rmse", "mae", "r2")], "minutes",
+                     evaluate.r2_verdict(F.col("r2")).alias("verdict"))
+
+
+@query("best_model", _board_sql() + """
+select arg_min(model, rmse) as model, round(min(rmse), 6) as rmse from board
+""")
+def best_model(spark, sf_dir):
+    board = evaluate.metrics_by(_long_predictions(_predictions(spark, sf_dir)), "model")
+    return topk.best_model(board).select("model", rnd("rmse").alias("rmse"))
+
+
+@query("improvement", _board_sql() + """
+select model, round(rmse, 6) as rmse, round(r2, 6) as r2,
+       round((base.brmse - rmse) / base.brmse * 100, 6) as rmse_improvement_pct,
+       round((r2 - base.br2) / abs(base.br2) * 100, 6) as r2_improvement_pct
+from board, (select rmse as brmse, r2 as br2 from board where model = 'priority_mean') as base
+""")
+def improvement(spark, sf_dir):
+    board = evaluate.metrics_by(_long_predictions(_predictions(spark, sf_dir)), "model")
+    imp = evaluate.improvement(board, "priority_mean")
+    return imp.select("model", *[rnd(c).alias(c) for c in
+                                 ("rmse", "r2", "rmse_improvement_pct", "r2_improvement_pct")])
+
+
+@query("blend", _PRED_SQL.replace(
+    "from te left join gp using (o_orderpriority) left join gc using (o_custkey))",
+    "from te left join gp using (o_orderpriority) left join gc using (o_custkey)),"
+    "\nq as (select *, 0.2 * p_global + 0.3 * p_priority + 0.5 * p_customer as prediction from p)")
+    + _metrics_sql("prediction").replace("from p", "from q").replace(
+        "(select avg(label) from q)", "(select avg(label) from q)"))
+def blend(spark, sf_dir):
+    p = evaluate.blended(_predictions(spark, sf_dir), ["p_global", "p_priority", "p_customer"])
+    return _round_metrics(evaluate.metrics(p, "label", "prediction"))
+
+
+# K1 with regParam 0 on one feature: closed form, equal to regr_slope / intercept
+
+@query("ols_one_feature", """
+select round(regr_slope(o_totalprice / 1000.0, o_custkey / 1000.0), 6) as slope,
+       round(regr_intercept(o_totalprice / 1000.0, o_custkey / 1000.0), 6) as intercept
+from orders
+""")
+def ols_one_feature(spark, sf_dir):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    o = load(spark, sf_dir, "orders", "o_custkey", "o_totalprice").select(
+        (F.col("o_custkey") / 1000.0).alias("x"), (F.col("o_totalprice") / 1000.0).alias("label"))
+    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(o)
+    model = LinearRegression(regParam=0.0, solver="normal").fit(data)
+    coef = model.coefficients[0]
+    return spark.range(1).select(rnd(F.lit(float(coef))).alias("slope"),
+                                 rnd(F.lit(float(model.intercept))).alias("intercept"))
+
+
+# Leakage audit of four encodings of o_custkey against the target
+
+@query("leakage_audit", f"""
+with b as (select o_orderkey, o_custkey, o_totalprice / 1000.0 as y,
+                  {_bucket_sql('o_orderkey', 5)} as fold from orders),
+mu as (select avg(y) as m from b),
+nt as (select count(*)::double as nt from b),
+c as (select o_custkey, sum(y) as s, count(*) as n, avg(y) as mean from b group by o_custkey),
+cf as (select o_custkey, fold, sum(y) as s, count(*) as n from b group by o_custkey, fold),
+e as (select b.y,
+             (c.mean * c.n + (select m from mu) * 10) / (c.n + 10) as o_custkey_encoded,
+             coalesce((c.s - b.y) / nullif(c.n - 1, 0), (select m from mu)) as o_custkey_loo,
+             coalesce((c.s - cf.s) / nullif(c.n - cf.n, 0), (select m from mu)) as o_custkey_kfold,
+             c.n / (select nt from nt) as o_custkey_freq
+      from b join c using (o_custkey) join cf using (o_custkey, fold)),
+r as (select 'o_custkey_encoded' as column_name, corr(o_custkey_encoded, y) as r from e
+      union all select 'o_custkey_loo', corr(o_custkey_loo, y) from e
+      union all select 'o_custkey_kfold', corr(o_custkey_kfold, y) from e
+      union all select 'o_custkey_freq', corr(o_custkey_freq, y) from e)
+select column_name, round(r, 6) as r, round(abs(r), 6) as abs_r,
+       case when abs(r) > 0.9 then 'leak' when abs(r) < 0.3 then 'fine' else 'review' end as verdict
+from r
+""")
+def leakage_audit(spark, sf_dir):
+    o = _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey", "y")
+    e = encode.fit_target(o, "o_custkey", "y").apply(o, drop=False, salt_by=["o_orderkey"])
+    e = encode.loo_encode(e, "o_custkey", "y", salt_by=["o_orderkey"])
+    e = encode.kfold_encode(e, "o_custkey", "y", key="o_orderkey", k=5)
+    e = encode.fit_frequency(o, "o_custkey").apply(e, drop=False, salt_by=["o_orderkey"])
+    cols = ["o_custkey_encoded", "o_custkey_loo", "o_custkey_kfold", "o_custkey_freq"]
+    a = audit.correlation_audit(e, cols, "y")
+    return a.select("column_name", rnd("r").alias("r"), rnd("abs_r").alias("abs_r"), "verdict")
+
+
+# CSV round trips through the session's shared checkpoint folder
+
+def _scratch(spark, name):
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_roundtrip_part", "select * from part")
+def csv_roundtrip_part(spark, sf_dir):
+    from ..sources import csv as S
+
+    p = load(spark, sf_dir, "part")
+    path = _scratch(spark, "csv-part")
+    S.write_csv(p, path, quote_escape=False)
+    return S.read_csv(spark, path, p.schema)
+
+
+@query("csv_roundtrip_documents", "select * from documents")
+def csv_roundtrip_documents(spark, sf_dir):
+    from ..sources import csv as S
+
+    d = load(spark, sf_dir, "documents")
+    path = _scratch(spark, "csv-docs")
+    S.write_csv(d, path, quote_escape=True)
+    return S.read_csv(spark, path, d.schema, quote_escape=True, multiline=True)
