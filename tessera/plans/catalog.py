@@ -924,3 +924,96 @@ def csv_roundtrip_documents(spark, sf_dir):
     path = _scratch(spark, "csv-docs")
     S.write_csv(d, path, quote_escape=True)
     return S.read_csv(spark, path, d.schema, quote_escape=True, multiline=True)
+
+
+# ---------------------------------------------------------------------------
+# Feature plan, models, tuning (rows-only checks).
+# documents + labels play the movie table: text = description, source =
+# genre, lang = director, n_chars = duration, quality = target.
+
+def _doc_spec(kind: str = "frequency", extra_numeric=()):
+    from .features import FeatureSpec
+
+    return FeatureSpec(key="doc_id", label="quality", text="text", hashed=["source"],
+                       reduce=["source"], encoders=[("lang", kind)],
+                       numeric=["n_chars", *extra_numeric], indexed=["duration_category"])
+
+
+def _doc_prepared(spark, sf_dir, kind: str = "frequency"):
+    from .features import prepare
+
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    rows = clean.drop_nulls(joins.join_on_key(docs, labels, "doc_id", "inner"),
+                            ["text", "lang", "source", "n_chars", "quality"])
+    rows = rows.withColumns({"quality": F.col("quality").cast("double"),
+                             "duration_category": H.duration_category("n_chars"),
+                             "log_chars": H.log_votes("n_chars")})
+    train, test = split.hash_split(rows, "doc_id")
+    extra = ("log_chars",) if kind == "target" else ()
+    return prepare(train, test, _doc_spec(kind, extra))
+
+
+@query("hashed_features")
+def hashed_features(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    prep = _doc_prepared(spark, sf_dir)
+    both = prep.train.withColumn("side", F.lit("train")).unionByName(
+        prep.test.withColumn("side", F.lit("test")))
+    arr = vector_to_array("scaled_features")
+    return both.select("doc_id", "side", "quality", F.size(arr).alias("n_features"),
+                       F.size(F.filter(arr, lambda v: v != 0)).alias("nnz"))
+
+
+@query("model_comparison")
+def model_comparison(spark, sf_dir):
+    from . import models
+
+    prep = _doc_prepared(spark, sf_dir)
+    fit = models.fit_all(prep, models.CLEAN_RUN)
+    return models.report(fit)
+
+
+@query("target_encoded_run")
+def target_encoded_run(spark, sf_dir):
+    """The target-encoded run: nine models plus the weighted ensemble."""
+    from . import models
+
+    prep = _doc_prepared(spark, sf_dir, kind="target")
+    fit = models.fit_all(prep, models.LEAK_RUN)
+    ens = models.ensemble(prep, fit.models["ridge"], fit.models["random_forest"], fit.models["gbt"])
+    em = evaluate.metrics(ens, "quality", "prediction").select(
+        F.lit("ensemble").alias("model"), "rmse", "mae", "r2", "mse", "n",
+        F.lit(None).cast("double").alias("seconds"))
+    board = fit.board.unionByName(em)
+    return evaluate.leaderboard(board).withColumn("verdict", evaluate.r2_verdict(F.col("r2")))
+
+
+@query("worst_model_predictions")
+def worst_model_predictions(spark, sf_dir):
+    from . import models
+
+    prep = _doc_prepared(spark, sf_dir)
+    fit = models.fit_all(prep, ("ridge", "random_forest", "gbt"))
+    return models.worst(fit, "doc_id", "quality", 20)
+
+
+@query("grid_search")
+def grid_search(spark, sf_dir):
+    from . import tune
+
+    prep = _doc_prepared(spark, sf_dir)
+    res = tune.search(prep, "random_forest")
+    return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
+
+
+@query("feature_importances")
+def feature_importances(spark, sf_dir):
+    from . import models
+
+    prep = _doc_prepared(spark, sf_dir)
+    fit = models.fit_all(prep, ("random_forest",))
+    imp = models.importances(fit.models["random_forest"], prep.feature_names())
+    top = topk.top_importances(imp, 10)
+    return audit.dominance_audit(top)
