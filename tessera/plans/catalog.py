@@ -1015,5 +1015,5 @@ def feature_importances(spark, sf_dir):
     prep = _doc_prepared(spark, sf_dir)
     fit = models.fit_all(prep, ("random_forest",))
     imp = models.importances(fit.models["random_forest"], prep.feature_names())
-    top = topk.top_importances(imp, 10)
-    return audit.dominance_audit(top)
+    shares = audit.dominance_audit(imp)
+    return topk.top_importances(shares, 10)
