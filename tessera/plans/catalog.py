@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as H
 from ..functions import text as M
 from ..operators import clean, encode, evaluate, joins, profile, split, topk, audit
+from ..operators import text as text_ops
 from ..sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -669,10 +670,8 @@ with t as (select doc_id, unnest({_tokens_sql()}) as term from documents)
 select term, count(*) as n, count(distinct doc_id) as docs from t group by term
 """)
 def token_counts(spark, sf_dir):
-    d = load(spark, sf_dir, "documents", "doc_id", "text")
-    per_doc = (d.select("doc_id", F.explode(M.content_tokens("text")).alias("term"))
-               .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    return per_doc.groupBy("term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
+    d = load(spark, sf_dir, "documents", "text")
+    return text_ops.term_counts(d, "text")
 
 
 @query("tfidf_terms", f"""
@@ -682,11 +681,8 @@ select term, count(*) as df, round(ln(((select m from m) + 1) / (count(*) + 1)),
 from t group by term
 """)
 def tfidf_terms(spark, sf_dir):
-    d = load(spark, sf_dir, "documents", "doc_id", "text")
-    m = d.select(F.count(F.lit(1)).cast("double")).scalar()
-    terms = d.select(F.explode(F.array_distinct(M.content_tokens("text"))).alias("term"))
-    g = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return g.select("term", "df", rnd(F.log((m + 1) / (F.col("df") + 1))).alias("idf"))
+    t = text_ops.idf_terms(load(spark, sf_dir, "documents", "text"), "text")
+    return t.select("term", "df", rnd("idf").alias("idf"))
 
 
 # ---------------------------------------------------------------------------
