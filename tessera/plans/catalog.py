@@ -1013,3 +1013,40 @@ def feature_importances(spark, sf_dir):
     imp = models.importances(fit.models["random_forest"], prep.feature_names())
     shares = audit.dominance_audit(imp)
     return topk.top_importances(shares, 10)
+
+
+# ---------------------------------------------------------------------------
+# Entry point 1 on the documents mapping: preview (T7) and label histogram
+
+def _validation(spark, sf_dir):
+    from .validation import validation_report
+
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality")
+    cols = ("doc_id", "text", "lang", "source", "n_chars")
+    return validation_report(docs, labels, key="doc_id", target="quality", columns=cols,
+                             profiled=("label", "text", "lang", "source", "n_chars"),
+                             not_null=("label", "text", "source", "n_chars"),
+                             not_empty=("text", "source"), preview=("source", "n_chars", "label"),
+                             year=None)
+
+
+_VALID_SQL = """
+with c as (select d.doc_id, d.source, d.n_chars, l.quality as label
+           from documents d left join labels l using (doc_id)
+           where l.quality is not null and d.text is not null and d.source is not null
+             and d.n_chars is not null and d.text <> '' and d.source <> '')"""
+
+
+@query("validation_preview", _VALID_SQL + """
+select doc_id, source, n_chars, label from c order by doc_id limit 5
+""")
+def validation_preview(spark, sf_dir):
+    return _validation(spark, sf_dir)["preview"]
+
+
+@query("validation_histogram", _VALID_SQL + """
+select floor(round(label * 10, 6)) / 10.0 as bin, count(*) as n from c group by 1
+""")
+def validation_histogram(spark, sf_dir):
+    return _validation(spark, sf_dir)["label_histogram"]
