@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .joins import keep_or_other, lookup
 from .ordered import exclusive_prefix
 from .split import hash_bucket
@@ -53,11 +54,27 @@ def _count() -> Column:
     return F.count(F.lit(1))
 
 
+def _target_stats(df: DataFrame, keys: list[str], target: str) -> DataFrame:
+    """Per-key (n rows, s = sum, nt = non-null targets, mean), fitted once.
+
+    Checkpointed: the lookup's hot-key list and the global mean then read
+    this table instead of scanning the rows again.
+    """
+    return materialize(df.groupBy(*keys).agg(
+        _count().alias("n"), F.sum(target).alias("s"), F.count(target).alias("nt"),
+        F.avg(target).alias("mean")))
+
+
+def _global_mean(stats: DataFrame) -> Column:
+    """mu over all rows, from the per-key table (a scalar subquery)."""
+    return stats.select((F.sum("s") / F.sum("nt")).alias("mu")).scalar()
+
+
 def fit_frequency(train: DataFrame, col: str) -> Encoding:
     """E1f: value = count(category) / train rows; unseen -> 1 / train rows."""
-    total = train.select(_count().cast("double")).scalar()
-    table = (train.groupBy(col).agg(_count().alias("n"))
-             .withColumn("value", F.col("n") / total))
+    counts = materialize(train.groupBy(col).agg(_count().alias("n")))
+    total = counts.select(F.sum("n").cast("double")).scalar()
+    table = counts.withColumn("value", F.col("n") / total)
     return Encoding(col, table, F.lit(1.0) / total, "_freq")
 
 
@@ -70,26 +87,26 @@ def frequency_table(df: DataFrame, col: str) -> DataFrame:
 def fit_target(train: DataFrame, col: str, target: str,
                smoothing: float = SMOOTHING) -> Encoding:
     """E2f: (mean_c * n_c + mu * m) / (n_c + m); unseen -> mu (global mean)."""
-    mu = train.select(F.avg(target)).scalar()
-    table = (train.groupBy(col).agg(F.avg(target).alias("mean"), _count().alias("n"))
-             .withColumn("value", (F.col("mean") * F.col("n") + mu * F.lit(smoothing))
-                         / (F.col("n") + F.lit(smoothing)))
-             .drop("mean"))
+    stats = _target_stats(train, [col], target)
+    mu = _global_mean(stats)
+    table = (stats.withColumn("value", (F.col("mean") * F.col("n") + mu * F.lit(smoothing))
+                              / (F.col("n") + F.lit(smoothing)))
+             .select(col, "n", "value"))
     return Encoding(col, table, mu, "_encoded")
 
 
 def fit_mean(train: DataFrame, col: str, target: str) -> Encoding:
     """Plain mean target per category (no smoothing); unseen -> mu."""
-    mu = train.select(F.avg(target)).scalar()
-    table = train.groupBy(col).agg(F.avg(target).alias("value"), _count().alias("n"))
-    return Encoding(col, table, mu, "_mean")
+    stats = _target_stats(train, [col], target)
+    table = stats.select(col, F.col("mean").alias("value"), "n")
+    return Encoding(col, table, _global_mean(stats), "_mean")
 
 
 def fit_top_n(train: DataFrame, col: str, n: int = TOP_N) -> DataFrame:
     """E3f / T1: the N most frequent categories; ties broken by the value."""
-    return (train.groupBy(col).agg(_count().alias("count"))
-            .orderBy(F.col("count").desc(), F.col(col).asc_nulls_last())
-            .limit(n))
+    return materialize(train.groupBy(col).agg(_count().alias("count"))
+                       .orderBy(F.col("count").desc(), F.col(col).asc_nulls_last())
+                       .limit(n))
 
 
 def reduce_cardinality(df: DataFrame, col: str, top: DataFrame, n: int = TOP_N,
@@ -107,8 +124,9 @@ def loo_encode(df: DataFrame, col: str, target: str, out: str | None = None,
     category.
     """
     out = out or f"{col}_loo"
-    mu = df.select(F.avg(target)).scalar()
-    stats = df.groupBy(col).agg(F.sum(target).alias("__s"), _count().alias("__n"))
+    full = _target_stats(df, [col], target)
+    mu = _global_mean(full)
+    stats = full.select(col, F.col("s").alias("__s"), F.col("n").alias("__n"))
     j = lookup(df, stats, col, count_col="__n", salt_by=salt_by)
     loo = (F.col("__s") - F.col(target)) / F.nullif(F.col("__n") - F.lit(1), F.lit(0))
     return j.withColumn(out, F.coalesce(loo, mu)).drop("__s", "__n")
@@ -122,10 +140,15 @@ def kfold_encode(df: DataFrame, col: str, target: str, key: str, k: int = 5,
     skew-safe lookups; mu where the other folds hold no row of the category.
     """
     out = out or f"{col}_kfold"
-    mu = df.select(F.avg(target)).scalar()
     d = df.withColumn("__fold", hash_bucket(key, seed, k))
-    c = d.groupBy(col).agg(F.sum(target).alias("__cs"), _count().alias("__cn"))
-    cf = d.groupBy(col, "__fold").agg(F.sum(target).alias("__fs"), _count().alias("__fn"))
+    cf_full = _target_stats(d, [col, "__fold"], target)
+    # Category totals are the sum of the category x fold totals: one scan of
+    # the rows feeds both tables.
+    c_full = materialize(cf_full.groupBy(col).agg(F.sum("s").alias("s"), F.sum("n").alias("n"),
+                                                  F.sum("nt").alias("nt")))
+    mu = _global_mean(c_full)
+    c = c_full.select(col, F.col("s").alias("__cs"), F.col("n").alias("__cn"))
+    cf = cf_full.select(col, "__fold", F.col("s").alias("__fs"), F.col("n").alias("__fn"))
     j = lookup(d, c, col, count_col="__cn", salt_by=[key])
     j = lookup(j, cf, [col, "__fold"], count_col="__fn", salt_by=[key])
     enc = (F.col("__cs") - F.col("__fs")) / F.nullif(F.col("__cn") - F.col("__fn"), F.lit(0))
