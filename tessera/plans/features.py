@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import MIN_TOKEN_LENGTH, TOKEN_PATTERN
 from ..operators import encode
-from ..session import materialize
+from ..session import cached, materialize
 
 # Vector sizes of the hashed text and category features.
 TEXT_FEATURES = 100
@@ -85,8 +85,8 @@ def encode_train_test(train: DataFrame, test: DataFrame, spec: FeatureSpec):
     return train, test
 
 
-def feature_stages(spec: FeatureSpec) -> list:
-    """M1-M8 as Spark ML stages (text, hashing, indexing, assembly, scaling)."""
+def transform_stages(spec: FeatureSpec) -> list:
+    """M1-M3, M5: stateless transformers (tokenise, stop words, hashing)."""
     stages = []
     if spec.text:
         stages += [
@@ -94,11 +94,18 @@ def feature_stages(spec: FeatureSpec) -> list:
                            minTokenLength=MIN_TOKEN_LENGTH),
             StopWordsRemover(inputCol="text_words", outputCol="text_filtered"),
             HashingTF(inputCol="text_filtered", outputCol="text_tf", numFeatures=spec.text_features),
-            IDF(inputCol="text_tf", outputCol="text_features", minDocFreq=0),
         ]
     if spec.hashed:
         stages.append(FeatureHasher(inputCols=list(spec.hashed), outputCol="hashed_features",
                                     numFeatures=spec.hash_features))
+    return stages
+
+
+def estimator_stages(spec: FeatureSpec) -> list:
+    """M4, M6-M8: stages that learn from the training rows."""
+    stages = []
+    if spec.text:
+        stages.append(IDF(inputCol="text_tf", outputCol="text_features", minDocFreq=0))
     for c in spec.indexed:
         stages.append(StringIndexer(inputCol=c, outputCol=c + "_indexed", handleInvalid="keep"))
     stages += [
@@ -109,6 +116,11 @@ def feature_stages(spec: FeatureSpec) -> list:
     return stages
 
 
+def feature_stages(spec: FeatureSpec) -> list:
+    """M9: the whole nine-stage feature plan, in order."""
+    return transform_stages(spec) + estimator_stages(spec)
+
+
 @dataclass
 class Prepared:
     """Featurised, checkpointed inputs shared by every regressor."""
@@ -131,19 +143,34 @@ class Prepared:
 
 def prepare(train: DataFrame, test: DataFrame, spec: FeatureSpec,
             checkpoint: bool = True) -> Prepared:
-    """Encode, fit the feature stages once, narrow and checkpoint both sides.
+    """Encode, fit the feature stages once, narrow, checkpoint and cache.
 
-    Text columns are made non-null first: the tokenizer fails on null text.
+    The stateless stages run once per side and their narrow output (no raw
+    text) is checkpointed, so the estimator fits (IDF, indexers, scaler) do
+    not re-tokenise the texts once per stage. The final (key, label,
+    features) tables are cached: every regressor iterates over them. Text
+    columns are made non-null first: the tokenizer fails on null text.
     """
     if spec.text:
         train = train.withColumn(spec.text, F.coalesce(F.col(spec.text), F.lit("")))
         test = test.withColumn(spec.text, F.coalesce(F.col(spec.text), F.lit("")))
     train_e, test_e = encode_train_test(train, test, spec)
-    model = Pipeline(stages=feature_stages(spec)).fit(train_e)
+    pre = PipelineModel(stages=transform_stages(spec))
+    inputs = [spec.key, spec.label, *spec.encoded_names(), *spec.numeric, *spec.indexed]
+    inputs += (["text_tf"] if spec.text else []) + (["hashed_features"] if spec.hashed else [])
+
+    def narrow(df: DataFrame) -> DataFrame:
+        out = pre.transform(df).select(*inputs)
+        return materialize(out) if checkpoint else out
+
+    train_t, test_t = narrow(train_e), narrow(test_e)
+    post = Pipeline(stages=estimator_stages(spec)).fit(train_t)
+    model = PipelineModel(stages=pre.stages + post.stages)
     keep = [spec.key, F.col(spec.label).cast("double").alias(spec.label), "features",
             "scaled_features"]
-    tr = model.transform(train_e).select(*keep)
-    te = model.transform(test_e).select(*keep)
+    tr = post.transform(train_t).select(*keep)
+    te = post.transform(test_t).select(*keep)
     if checkpoint:
-        tr, te = materialize(tr), materialize(te)
+        tr, te = cached(tr), cached(te)
+        tr.count(), te.count()
     return Prepared(tr, te, model, spec)

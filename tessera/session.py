@@ -81,7 +81,13 @@ def materialize(df: DataFrame) -> DataFrame:
     instead of recomputing the whole upstream plan.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Writing a reliable checkpoint runs the plan a second time unless it is
+    # persisted; keep it cached only for the duration of the write.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return src.checkpoint(eager=True)
+    finally:
+        src.unpersist(blocking=False)
 
 
 def cached(df: DataFrame) -> DataFrame:
