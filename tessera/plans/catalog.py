@@ -1050,3 +1050,108 @@ select floor(round(label * 10, 6)) / 10.0 as bin, count(*) as n from c group by
 """)
 def validation_histogram(spark, sf_dir):
     return _validation(spark, sf_dir)["label_histogram"]
+
+
+# ---------------------------------------------------------------------------
+# Typed load from text - every orders column written as text, read back
+# as strings, coerced with try_cast / try_to_timestamp (bad values -> null)
+
+@query("typed_coercion", """
+select o_orderkey, o_custkey, o_totalprice, cast(o_orderdate as date) as o_orderdate,
+       o_orderpriority
+from orders
+""")
+def typed_coercion(spark, sf_dir):
+    from pyspark.sql import types as T
+
+    from ..sources import csv as S
+
+    o = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
+             "o_orderpriority")
+    text = o.select("o_orderkey", "o_custkey", "o_totalprice",
+                    F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority")
+    path = _scratch(spark, "csv-orders")
+    S.write_csv(text, path)
+    raw = S.read_csv(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in text.columns]))
+    return S.coerce(raw, {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double",
+                          "o_orderdate": "date"}, date_formats={"o_orderdate": "yyyy-MM-dd"})
+
+
+# Report and prediction sinks, read back from the shared folder
+
+@query("leaderboard_sink", _board_sql() + """
+select model, round(rmse, 6) as rmse, round(mae, 6) as mae, round(r2, 6) as r2 from board
+""")
+def leaderboard_sink(spark, sf_dir):
+    from ..sources import sinks
+
+    board = evaluate.metrics_by(_long_predictions(_predictions(spark, sf_dir)), "model")
+    path = _scratch(spark, "report")
+    sinks.write_report(evaluate.leaderboard(board).select(
+        "model", *[rnd(c).alias(c) for c in ("rmse", "mae", "r2")]), path)
+    return spark.read.schema("model string, rmse double, mae double, r2 double").json(path)
+
+
+@query("worst_predictions_sink", _PRED_SQL + """
+select o_orderkey, round(label, 6) as label, round(p_priority, 6) as prediction,
+       round(abs(label - p_priority), 6) as error
+from p order by abs(label - p_priority) desc, o_orderkey limit 20
+""")
+def worst_predictions_sink(spark, sf_dir):
+    from ..sources import sinks
+
+    path = _scratch(spark, "worst")
+    sinks.write_predictions(worst_predictions(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+# Values that do not parse as a year, under both rules
+
+@query("unparsed_years", """
+select count(*) filter (where try_cast(source as integer) is null) as strict_unparsed,
+       count(*) filter (where try_cast(regexp_replace(source, '[^0-9]', '', 'g') as integer) is null)
+         as digits_unparsed,
+       count(*) as n_rows
+from documents
+""")
+def unparsed_years(spark, sf_dir):
+    d = load(spark, sf_dir, "documents", "source")
+    return d.agg(F.count_if(H.year_strict("source").isNull()).alias("strict_unparsed"),
+                 F.count_if(H.year_digits("source").isNull()).alias("digits_unparsed"),
+                 F.count(F.lit(1)).alias("n_rows"))
+
+
+# Size of a fitted encoder, including its default entry
+
+@query("encoder_size", f"""
+with {_SPLIT_SQL}
+select count(distinct o_custkey) + 1 as entries from tr
+""")
+def encoder_size(spark, sf_dir):
+    train, _ = split.hash_split(_orders_xy(spark, sf_dir), "o_orderkey")
+    return profile.distinct_count(encode.fit_frequency(train, "o_custkey").table)
+
+
+# A11 at scale: one-pass sketch quantiles (approximate: rows-only check)
+
+@query("approx_wide_stats")
+def approx_wide_stats(spark, sf_dir):
+    return profile.approx_wide_stats(load(spark, sf_dir, "lineitem", *_WIDE_COLS), _WIDE_COLS)
+
+
+# The ridge and boosted-tree searches the reference defines
+
+@query("grid_search_ridge")
+def grid_search_ridge(spark, sf_dir):
+    from . import tune
+
+    res = tune.search(_doc_prepared(spark, sf_dir), "ridge")
+    return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
+
+
+@query("grid_search_gbt")
+def grid_search_gbt(spark, sf_dir):
+    from . import tune
+
+    res = tune.search(_doc_prepared(spark, sf_dir), "gbt")
+    return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
