@@ -164,11 +164,12 @@ def time_encode(df: DataFrame, col: str, target: str, ts: str,
     number of earlier rows). Rows are pre-aggregated per (category, time),
     running sums come from the two-level scan in ``operators.ordered`` (a hot
     category spans many tasks), and the result is joined back to the rows
-    with a skew-safe lookup. Time is compared in microseconds, so equal
-    timestamps never see each other.
+    with a skew-safe lookup. The time column is used as it is (any orderable
+    type), so the result does not depend on the session time zone; equal
+    times never see each other.
     """
     out = out or f"{col}_past_mean"
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    t = F.col(ts)
     g = (df.withColumn("__t", t).groupBy(col, "__t")
          .agg(F.sum(target).alias("__s"), _count().alias("__n")))
     past = exclusive_prefix(g, [col], "__t", ["__s", "__n"]).drop("__s")

@@ -33,11 +33,12 @@ def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
     ``rows`` must hold one row per (group, order) value (pre-aggregated).
     Output keeps all input columns.
     """
-    spark = rows.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordering = [F.col(g).asc_nulls_first() for g in group] + [F.col(order).asc()]
-    blocks = materialize(rows.repartitionByRange(parts, *ordering)
-                         .withColumn("__pid", F.spark_partition_id()))
+    # Without an explicit count AQE may merge adjacent ranges; merged blocks
+    # are still contiguous in (group, order), which is all the scan needs.
+    ranged = (rows.repartitionByRange(partitions, *ordering) if partitions
+              else rows.repartitionByRange(*ordering))
+    blocks = materialize(ranged.withColumn("__pid", F.spark_partition_id()))
     keys = ["__pid", *group]
     w_in = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = blocks.select(*rows.columns, "__pid",

@@ -20,7 +20,7 @@ from ..functions.text import english_stop_words, tokens
 def stop_table(spark, stop=None) -> DataFrame:
     """The stop list as a one-column DataFrame (fixed size: safe to broadcast)."""
     stop = stop if stop is not None else english_stop_words()
-    return spark.createDataFrame([(w,) for w in stop], "term string")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in stop])).alias("term"))
 
 
 def token_rows(docs: DataFrame, text: str, keep: list[str] | None = None,
@@ -34,7 +34,7 @@ def token_rows(docs: DataFrame, text: str, keep: list[str] | None = None,
     if first_flag:
         # The sorted array is its own column so the lambda reads it instead
         # of re-sorting per element.
-        sorted_docs = docs.select(*keep, F.array_sort(toks).alias("__toks"))
+        sorted_docs = docs.select(*keep, F.sort_array(toks).alias("__toks"))
         s = F.col("__toks")
         flags = F.transform(s, lambda x, i: F.when(i == 0, F.lit(True))
                             .otherwise(x != F.element_at(s, i)))
