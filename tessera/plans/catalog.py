@@ -983,16 +983,23 @@ def target_encoded_run(spark, sf_dir):
         F.lit("ensemble").alias("model"), "rmse", "mae", "r2", "mse", "n",
         F.lit(None).cast("double").alias("seconds"))
     board = fit.board.unionByName(em)
-    return evaluate.leaderboard(board).withColumn("verdict", evaluate.r2_verdict(F.col("r2")))
+    gain = evaluate.improvement(board, "ridge").select(
+        "model", "rmse_improvement_pct", "r2_improvement_pct")
+    lb = evaluate.leaderboard(board).withColumn("verdict", evaluate.r2_verdict(F.col("r2")))
+    return lb.join(gain, on="model", how="left").orderBy("rmse", "model")
 
 
 @query("worst_model_predictions")
 def worst_model_predictions(spark, sf_dir):
     from . import models
 
-    prep = _doc_prepared(spark, sf_dir)
+    prep = _doc_prepared(spark, sf_dir, kind="target")
     fit = models.fit_all(prep, ("ridge", "random_forest", "gbt"))
-    return models.worst(fit, "doc_id", "quality", 20)
+    ens = models.ensemble(prep, fit.models["ridge"], fit.models["random_forest"], fit.models["gbt"])
+    # The ensemble's listing goes through the same sorted top-20 path.
+    ens_worst = evaluate.worst_predictions(ens, "doc_id", 20, label="quality") \
+        .withColumn("model", F.lit("ensemble"))
+    return models.worst(fit, "doc_id", "quality", 20).unionByName(ens_worst)
 
 
 @query("grid_search")
