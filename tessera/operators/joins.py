@@ -40,6 +40,13 @@ def unique_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
+def assert_unique(df: DataFrame, key: str | list[str]) -> None:
+    """Raise when ``key`` repeats (one aggregate; at most one row comes back)."""
+    dup = unique_keys(df, key).limit(1).collect()
+    if dup:
+        raise ValueError(f"key {key!r} is not unique, e.g. {dup[0].asDict()}")
+
+
 def join_on_key(left: DataFrame, right: DataFrame, key: str | list[str],
                 how: str = "inner") -> DataFrame:
     """J1 (``how='left'``) and J2 (``how='inner'``): USING-style equi-join.

@@ -1162,3 +1162,14 @@ def grid_search_gbt(spark, sf_dir):
 
     res = tune.search(_doc_prepared(spark, sf_dir), "gbt")
     return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
+
+
+# Key uniqueness as an expectation (rows whose key repeats)
+
+@query("key_uniqueness", """
+select l_orderkey, l_linenumber, count(*) as n from lineitem
+group by l_orderkey, l_linenumber having count(*) > 1
+""")
+def key_uniqueness(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
+    return joins.unique_keys(li, ["l_orderkey", "l_linenumber"])

@@ -111,7 +111,12 @@ def fit_all(prep: Prepared, names=CLEAN_RUN, specs: dict | None = None,
             overrides: dict | None = None) -> FitResult:
     """L7 + L1: fit each named model (fit timed alone), score all in one pass."""
     spark = prep.train.sparkSession
-    specs = specs or registry()
+    if specs is None:
+        # Isotonic regression reads one named feature (the first numeric
+        # column), not whatever happens to sit in vector slot 0.
+        slots = prep.feature_names()
+        first = prep.spec.numeric[0] if prep.spec.numeric else None
+        specs = registry(slots.index(first) if first in slots else 0)
     overrides = overrides or {}
     key, label = prep.spec.key, prep.spec.label
     models, seconds, preds = {}, {}, []

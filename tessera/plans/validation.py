@@ -31,7 +31,10 @@ PREVIEW = ("title", "year_clean", "genre", "label", "votes")
 def validation_report(left: DataFrame, right: DataFrame, key: str = "imdb_title_id",
                       target: str = "avg_vote", columns=MODEL_COLUMNS, profiled=PROFILED,
                       not_null=NOT_NULL, not_empty=NOT_EMPTY, preview=PREVIEW,
-                      year: str | None = "year", preview_rows: int = 5) -> dict[str, DataFrame]:
+                      year: str | None = "year", preview_rows: int = 5,
+                      check_keys: bool = True) -> dict[str, DataFrame]:
+    if check_keys:
+        joins.assert_unique(right, key)
     joined = joins.join_on_key(left, right, key, "left")
     selected = joined.select(*columns, F.col(target).alias("label"))
     if year:

@@ -19,6 +19,11 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def land_parquet(df: DataFrame, path: str, partitions: int | None = None) -> None:
+    """S2 follow-up: land an unsplittable text read as splittable Parquet once."""
+    (spread(df, partitions) if partitions else df).write.mode("overwrite").parquet(path)
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Round-robin repartition, sized to the cluster by default.
 
