@@ -8,8 +8,9 @@ table:
 * the table has a proven row bound (top-N, a fixed list) -> broadcast;
 * otherwise a shuffle join whose hot keys are salted: the few keys with the
   largest counts (a top-K list, so its size is bounded by K) are spread over
-  ``salt`` sub-keys on the fact side and replicated on the table side, so a
-  key holding a third of all rows is split across ``salt`` tasks;
+  sub-keys on the fact side and replicated on the table side, in proportion
+  to each key's share of the rows, so a key holding a third of all rows is
+  split across about two thirds of the shuffle partitions;
 * AQE may still turn the shuffle join into a broadcast when the runtime
   size of the table is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
   (Spark's own size check), and its skew-join rule is a second line.
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 # Tables with a proven bound at or under this many rows are broadcast.
 BROADCAST_MAX_ROWS = 100_000
-# How many of the largest keys are salted, and into how many sub-keys.
+# How many of the largest keys are candidates for salting. The number of
+# sub-keys per hot key follows its share of the rows (see ``lookup``).
 HOT_KEYS = 32
-SALT_BUCKETS = 16
+SALT_BUCKETS = None
 
 _SALT = "__salt"
 _HOT = "__hot"
@@ -72,14 +74,16 @@ def _match(lcols, rcols, null_safe: bool) -> Column:
 def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
            count_col: str | None = None, bound: int | None = None,
            salt_by: list[str] | None = None, null_safe: bool = True,
-           hot_keys: int = HOT_KEYS, salt_buckets: int = SALT_BUCKETS) -> DataFrame:
+           hot_keys: int = HOT_KEYS, salt_buckets: int | None = SALT_BUCKETS) -> DataFrame:
     """Left-join ``facts`` to a one-row-per-key ``table`` on ``key``.
 
     Every fact row is kept exactly once; table columns are null where the key
     is unseen. ``bound`` is a proven upper bound on the table's rows (e.g.
     the N of a top-N fit): at or under ``BROADCAST_MAX_ROWS`` the table is
     broadcast. Otherwise hot keys are salted; they are the ``hot_keys``
-    largest by ``count_col`` (the fit-time count of each key). ``salt_by``
+    largest by ``count_col`` (the fit-time count of each key), each split
+    into sub-keys in proportion to its share of the rows (at most
+    ``salt_buckets``, default the shuffle partition count). ``salt_by``
     names the fact columns hashed into the salt (a row key when there is
     one; all columns by default), so the salt is deterministic across task
     retries. ``null_safe`` lets a null key match a null category, as a map
@@ -102,22 +106,30 @@ def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
         return j.drop(*tkeys)
 
     # Hot keys: the K largest counts. A top-K result has at most K rows, so
-    # broadcasting it is safe at any data size.
+    # broadcasting it is safe at any data size. Each hot key gets a salt
+    # count proportional to its share of the rows: about two salts per
+    # shuffle partition's worth of rows, so a key holding a third of the
+    # data is spread over two thirds of the partitions. Salts over all hot
+    # keys add up to at most 2P + K replicated table rows.
+    parts = salt_buckets or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = t0.select(F.sum(count_col).cast("double")).scalar()
+    n_salts = F.least(F.lit(parts), F.greatest(
+        F.lit(1), F.ceil(F.col(count_col) / total * F.lit(2 * parts)))).cast("int")
     hkeys = [f"__hk_{i}" for i in range(len(keys))]
     hot = F.broadcast(
         t0.orderBy(F.col(count_col).desc(), *[F.col(k).asc_nulls_last() for k in tkeys])
         .limit(hot_keys)
-        .select(*[F.col(tk).alias(hk) for tk, hk in zip(tkeys, hkeys)], F.lit(True).alias(_HOT)))
+        .select(*[F.col(tk).alias(hk) for tk, hk in zip(tkeys, hkeys)], n_salts.alias(_HOT)))
     salt_cols = salt_by or facts.columns
     f = (facts.join(hot, _match(fk, [F.col(h) for h in hkeys], null_safe), "left")
          .drop(*hkeys)
-         .withColumn(_SALT, F.when(F.col(_HOT), F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]),
-                                                     F.lit(salt_buckets)))
+         .withColumn(_SALT, F.when(F.col(_HOT) > 1,
+                                   F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.col(_HOT)))
                      .otherwise(F.lit(0)).cast("int"))
          .drop(_HOT))
     t = (t0.join(hot, _match([F.col(tk) for tk in tkeys], [F.col(h) for h in hkeys], null_safe), "left")
          .drop(*hkeys)
-         .withColumn("__tsalt", F.explode(F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
+         .withColumn("__tsalt", F.explode(F.when(F.col(_HOT) > 1, F.sequence(F.lit(0), F.col(_HOT) - 1))
                                           .otherwise(F.array(F.lit(0)))))
          .drop(_HOT))
     cond = _match(fk, [F.col(tk) for tk in tkeys], null_safe) & (F.col(_SALT) == F.col("__tsalt"))
