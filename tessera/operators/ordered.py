@@ -69,10 +69,12 @@ def value_counts(df: DataFrame, value: str, group: list[str] | None = None) -> D
     vc = (df.filter(F.col(value).isNotNull()).groupBy(*group, value)
           .agg(F.count(F.lit(1)).alias("cnt")))
     ranked = exclusive_prefix(vc, group, value, ["cnt"])
+    # Totals come from the ranked table (checkpointed blocks), not from
+    # another scan of the raw rows.
     if group:
-        tot = vc.groupBy(*group).agg(F.sum("cnt").alias("n"))
+        tot = ranked.groupBy(*group).agg(F.sum("cnt").alias("n"))
         return ranked.join(tot, on=group, how="inner")
-    n = vc.select(F.sum("cnt")).scalar()
+    n = ranked.select(F.sum("cnt")).scalar()
     return ranked.withColumn("n", n)
 
 

@@ -197,7 +197,9 @@ def boxplot(df: DataFrame, col: str, group: str | None = None, k: float = 1.5) -
         cnt = j.groupBy(*g).agg(*counts(F.col("__lo"), F.col("__hi")))
         out = q.join(cnt, on=g, how="inner")
     else:
-        sc = {c: q.select(c).scalar() for c in stats}
+        # One scalar subquery for all six statistics (a one-row struct).
+        row = q.select(F.struct(*stats).alias("s")).scalar()
+        sc = {c: row.getField(c) for c in stats}
         out = df.agg(*counts(sc["lo_fence"], sc["hi_fence"])).select(
             *[sc[c].alias(c) for c in stats], "*")
     return out.select(*g, *stats, "whisker_lo", "whisker_hi", "n", "outliers")

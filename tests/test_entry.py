@@ -1,10 +1,16 @@
 """Driver contract: entry smoke, oracle agreement at sf0.001, plan hygiene."""
 
+import os
+import sys
+
 import pytest
 
 import __spark_entry__ as E
 from tests.oracle_compare import compare, duck
 
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+from plan_audit import WHOLE_ROW, audit_plan, final_only  # noqa: E402
+
 SMOKE = "/root/testdata/sf0.001"
 SQL_NAMES = sorted(E.oracle_sql())
 
@@ -32,7 +38,18 @@ def test_oracle_agrees(spark, con, name):
 
 
 @pytest.mark.parametrize("name", SQL_NAMES)
-def test_no_python_udf_in_plan(spark, name):
+def test_plan_hygiene(spark, name):
+    """The executed (final AQE) plan: no Python evaluation, no nested-loop or
+    cartesian join, every single-partition exchange fed by a partial
+    aggregate or a top-k, and no scan wider than the query needs."""
     df = E.queries()[name](spark, SMOKE)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    df.collect()
+    plan = final_only(df._jdf.queryExecution().executedPlan().toString())
+    a = audit_plan(plan, {})
+    assert a["python"] == 0, plan
+    assert a["nested_loop"] == 0, plan
+    assert a["single_unbounded"] == [], plan
+    if name not in WHOLE_ROW and not name.startswith("csv_roundtrip"):
+        for table, ncols, _, _ in a["scans"]:
+            width = len(spark.read.parquet(f"{SMOKE}/{table}.parquet").columns)
+            assert ncols < width, f"{name} reads every column of {table}"
