@@ -950,25 +950,41 @@ def _doc_prepared(spark, sf_dir, kind: str = "frequency"):
     return prepare(train, test, _doc_spec(kind, extra))
 
 
+def _on_prepared(spark, sf_dir, body, kind: str = "frequency") -> DataFrame:
+    """Run ``body(prep)`` on one shared feature fit; return its result checkpointed.
+
+    The result no longer depends on the cached train/test tables, which are
+    released in ``finally`` (S7), so a session running many queries does not
+    keep every prepared table in executor memory.
+    """
+    from ..session import materialize
+
+    prep = _doc_prepared(spark, sf_dir, kind)
+    try:
+        return materialize(body(prep))
+    finally:
+        prep.release()
+
+
 @query("hashed_features")
 def hashed_features(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
-    prep = _doc_prepared(spark, sf_dir)
-    both = prep.train.withColumn("side", F.lit("train")).unionByName(
-        prep.test.withColumn("side", F.lit("test")))
-    arr = vector_to_array("scaled_features")
-    return both.select("doc_id", "side", "quality", F.size(arr).alias("n_features"),
-                       F.size(F.filter(arr, lambda v: v != 0)).alias("nnz"))
+    def body(prep):
+        both = prep.train.withColumn("side", F.lit("train")).unionByName(
+            prep.test.withColumn("side", F.lit("test")))
+        arr = vector_to_array("scaled_features")
+        return both.select("doc_id", "side", "quality", F.size(arr).alias("n_features"),
+                           F.size(F.filter(arr, lambda v: v != 0)).alias("nnz"))
+    return _on_prepared(spark, sf_dir, body)
 
 
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
     from . import models
 
-    prep = _doc_prepared(spark, sf_dir)
-    fit = models.fit_all(prep, models.CLEAN_RUN)
-    return models.report(fit)
+    return _on_prepared(spark, sf_dir,
+                        lambda prep: models.report(models.fit_all(prep, models.CLEAN_RUN)))
 
 
 @query("target_encoded_run")
@@ -976,50 +992,57 @@ def target_encoded_run(spark, sf_dir):
     """The target-encoded run: nine models plus the weighted ensemble."""
     from . import models
 
-    prep = _doc_prepared(spark, sf_dir, kind="target")
-    fit = models.fit_all(prep, models.LEAK_RUN)
-    ens = models.ensemble(prep, fit.models["ridge"], fit.models["random_forest"], fit.models["gbt"])
-    em = evaluate.metrics(ens, "quality", "prediction").select(
-        F.lit("ensemble").alias("model"), "rmse", "mae", "r2", "mse", "n",
-        F.lit(None).cast("double").alias("seconds"))
-    board = fit.board.unionByName(em)
-    gain = evaluate.improvement(board, "ridge").select(
-        "model", "rmse_improvement_pct", "r2_improvement_pct")
-    lb = evaluate.leaderboard(board).withColumn("verdict", evaluate.r2_verdict(F.col("r2")))
-    return lb.join(gain, on="model", how="left").orderBy("rmse", "model")
+    def body(prep):
+        fit = models.fit_all(prep, models.LEAK_RUN)
+        ens = models.ensemble(prep, fit.models["ridge"], fit.models["random_forest"],
+                              fit.models["gbt"])
+        em = evaluate.metrics(ens, "quality", "prediction").select(
+            F.lit("ensemble").alias("model"), "rmse", "mae", "r2", "mse", "n",
+            F.lit(None).cast("double").alias("seconds"))
+        board = fit.board.unionByName(em)
+        gain = evaluate.improvement(board, "ridge").select(
+            "model", "rmse_improvement_pct", "r2_improvement_pct")
+        lb = evaluate.leaderboard(board).withColumn("verdict", evaluate.r2_verdict(F.col("r2")))
+        return lb.join(gain, on="model", how="left").orderBy("rmse", "model")
+    return _on_prepared(spark, sf_dir, body, kind="target")
 
 
 @query("worst_model_predictions")
 def worst_model_predictions(spark, sf_dir):
     from . import models
 
-    prep = _doc_prepared(spark, sf_dir, kind="target")
-    fit = models.fit_all(prep, ("ridge", "random_forest", "gbt"))
-    ens = models.ensemble(prep, fit.models["ridge"], fit.models["random_forest"], fit.models["gbt"])
-    # The ensemble's listing goes through the same sorted top-20 path.
-    ens_worst = evaluate.worst_predictions(ens, "doc_id", 20, label="quality") \
-        .withColumn("model", F.lit("ensemble"))
-    return models.worst(fit, "doc_id", "quality", 20).unionByName(ens_worst)
+    def body(prep):
+        fit = models.fit_all(prep, ("ridge", "random_forest", "gbt"))
+        ens = models.ensemble(prep, fit.models["ridge"], fit.models["random_forest"],
+                              fit.models["gbt"])
+        # The ensemble's listing goes through the same sorted top-20 path.
+        ens_worst = evaluate.worst_predictions(ens, "doc_id", 20, label="quality") \
+            .withColumn("model", F.lit("ensemble"))
+        return models.worst(fit, "doc_id", "quality", 20).unionByName(ens_worst)
+    return _on_prepared(spark, sf_dir, body, kind="target")
+
+
+def _grid_table(res) -> DataFrame:
+    """One row per grid point with its validation RMSE, winner flagged."""
+    return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
 
 
 @query("grid_search")
 def grid_search(spark, sf_dir):
     from . import tune
 
-    prep = _doc_prepared(spark, sf_dir)
-    res = tune.search(prep, "random_forest")
-    return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
+    return _on_prepared(spark, sf_dir, lambda prep: _grid_table(tune.search(prep, "random_forest")))
 
 
 @query("feature_importances")
 def feature_importances(spark, sf_dir):
     from . import models
 
-    prep = _doc_prepared(spark, sf_dir)
-    fit = models.fit_all(prep, ("random_forest",))
-    imp = models.importances(fit.models["random_forest"], prep.feature_names())
-    shares = audit.dominance_audit(imp)
-    return topk.top_importances(shares, 10)
+    def body(prep):
+        fit = models.fit_all(prep, ("random_forest",))
+        imp = models.importances(fit.models["random_forest"], prep.feature_names())
+        return topk.top_importances(audit.dominance_audit(imp), 10)
+    return _on_prepared(spark, sf_dir, body)
 
 
 # ---------------------------------------------------------------------------
@@ -1152,16 +1175,14 @@ def approx_wide_stats(spark, sf_dir):
 def grid_search_ridge(spark, sf_dir):
     from . import tune
 
-    res = tune.search(_doc_prepared(spark, sf_dir), "ridge")
-    return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
+    return _on_prepared(spark, sf_dir, lambda prep: _grid_table(tune.search(prep, "ridge")))
 
 
 @query("grid_search_gbt")
 def grid_search_gbt(spark, sf_dir):
     from . import tune
 
-    res = tune.search(_doc_prepared(spark, sf_dir), "gbt")
-    return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
+    return _on_prepared(spark, sf_dir, lambda prep: _grid_table(tune.search(prep, "gbt")))
 
 
 # Key uniqueness as an expectation (rows whose key repeats)

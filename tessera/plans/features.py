@@ -130,6 +130,11 @@ class Prepared:
     features: PipelineModel
     spec: FeatureSpec
 
+    def release(self) -> None:
+        """Drop the cached tables; their lineage starts at the checkpoints."""
+        self.train.unpersist()
+        self.test.unpersist()
+
     def feature_names(self) -> list[str]:
         """Names of the assembled vector slots (from the ML attribute metadata)."""
         meta = self.train.schema["features"].metadata.get("ml_attr", {})

@@ -64,3 +64,16 @@ def test_feature_plan_on_documents(spark):
     assert fit.board.count() == 2
     imp = models.importances(fit.models["decision_tree"], names)
     assert abs(imp.agg(F.sum("importance")).first()[0] - 1.0) < 1e-9 or imp.count() == len(names)
+
+
+def test_ml_query_releases_its_cache(spark):
+    """A registered ML query returns a checkpointed result and leaves
+    nothing cached behind (the prepared train/test tables are released)."""
+    import __spark_entry__ as E
+
+    cache = spark._jsparkSession.sharedState().cacheManager()
+    spark.catalog.clearCache()
+    out = E.queries()["feature_importances"](spark, "/root/testdata/sf0.001")
+    assert cache.isEmpty()
+    rows = out.collect()
+    assert 0 < len(rows) <= 10
