@@ -27,11 +27,15 @@ from ..session import materialize
 
 
 def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
-                     sums: list[str], partitions: int | None = None) -> DataFrame:
+                     sums: list[str], partitions: int | None = None,
+                     totals: bool = False) -> DataFrame:
     """Add ``<s>_before`` = sum of ``s`` over earlier rows of the same group.
 
     ``rows`` must hold one row per (group, order) value (pre-aggregated).
-    Output keeps all input columns.
+    Output keeps all input columns. With ``totals``, ``<s>_total`` (the sum
+    over the whole group) is added too, from the per-block totals, so no
+    join keyed on the group alone is needed (a hot group would make it one
+    task).
     """
     ordering = [F.col(g).asc_nulls_first() for g in group] + [F.col(order).asc()]
     # Without an explicit count AQE may merge adjacent ranges; merged blocks
@@ -40,13 +44,18 @@ def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
               else rows.repartitionByRange(*ordering))
     blocks = materialize(ranged.withColumn("__pid", F.spark_partition_id()))
     keys = ["__pid", *group]
+    # Block totals: at most one row per (partition, group), so the windows
+    # over them below are small even when one group spans every partition.
     w_in = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = blocks.select(*rows.columns, "__pid",
                           *[F.sum(s).over(w_in).alias(f"__in_{s}") for s in sums])
     totals = blocks.groupBy(*keys).agg(*[F.sum(s).alias(f"__bt_{s}") for s in sums])
     w_off = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("__pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *[F.sum(f"__bt_{s}").over(w_off).alias(f"__off_{s}") for s in sums])
+    w_all = Window.partitionBy(*group) if group else Window.partitionBy()
+    offsets = totals.select(
+        *keys, *[F.sum(f"__bt_{s}").over(w_off).alias(f"__off_{s}") for s in sums],
+        *([F.sum(f"__bt_{s}").over(w_all).alias(f"__tot_{s}") for s in sums] if totals else []))
     # Null-safe on the group so a null category keeps its rows. Without a
     # group the offsets table has at most one row per partition: broadcast.
     okeys = {k: f"__ok_{i}" for i, k in enumerate(keys)}
@@ -60,7 +69,8 @@ def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
     return joined.select(
         *rows.columns,
         *[(F.coalesce(F.col(f"__in_{s}"), F.lit(0)) + F.coalesce(F.col(f"__off_{s}"), F.lit(0)))
-          .alias(f"{s}_before") for s in sums])
+          .alias(f"{s}_before") for s in sums],
+        *([F.col(f"__tot_{s}").alias(f"{s}_total") for s in sums] if totals else []))
 
 
 def value_counts(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
@@ -68,14 +78,10 @@ def value_counts(df: DataFrame, value: str, group: list[str] | None = None) -> D
     group = group or []
     vc = (df.filter(F.col(value).isNotNull()).groupBy(*group, value)
           .agg(F.count(F.lit(1)).alias("cnt")))
-    ranked = exclusive_prefix(vc, group, value, ["cnt"])
-    # Totals come from the ranked table (checkpointed blocks), not from
-    # another scan of the raw rows.
-    if group:
-        tot = ranked.groupBy(*group).agg(F.sum("cnt").alias("n"))
-        return ranked.join(tot, on=group, how="inner")
-    n = ranked.select(F.sum("cnt")).scalar()
-    return ranked.withColumn("n", n)
+    # Group sizes come from the scan's block totals: no second scan of the
+    # raw rows and no join keyed on the group alone.
+    ranked = exclusive_prefix(vc, group, value, ["cnt"], totals=True)
+    return ranked.withColumnRenamed("cnt_total", "n")
 
 
 def _value_at(rank: Column, value: str) -> Column:
@@ -84,11 +90,12 @@ def _value_at(rank: Column, value: str) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, group: list[str] | None = None,
-                    names: list[str] | None = None) -> DataFrame:
+                    names: list[str] | None = None, with_n: bool = False) -> DataFrame:
     """Linear-interpolated quantiles (``quantile_cont`` / ``percentile``), exact.
 
     One row per group with one column per probability. Position p*(n-1)
-    between the values at ranks floor and ceil of it.
+    between the values at ranks floor and ceil of it. ``with_n`` adds the
+    group's non-null count ``n``.
     """
     group = group or []
     names = names or [f"p{int(round(p * 100))}" for p in probs]
@@ -101,9 +108,11 @@ def exact_quantiles(df: DataFrame, value: str, probs, group: list[str] | None =
         aggs.append(F.first(pp, ignorenulls=True).alias(f"__pos_{name}"))
         aggs.append(_value_at(F.floor(pp), value).alias(f"__lo_{name}"))
         aggs.append(_value_at(F.ceil(pp), value).alias(f"__hi_{name}"))
+    if with_n:
+        aggs.append(F.max("n").alias("n"))
     agg = prepared.groupBy(*group).agg(*aggs) if group else prepared.agg(*aggs)
     outs = []
     for name in names:
         lo, hi, ps = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__pos_{name}")
         outs.append((lo + (ps - F.floor(ps)) * (hi - lo)).alias(name))
-    return agg.select(*group, *outs)
+    return agg.select(*group, *outs, *(["n"] if with_n else []))

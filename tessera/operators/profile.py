@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import missing
 from ..functions.scalars import pct, tenth_bin, width_bin
+from .joins import lookup
 from .ordered import exact_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -178,7 +179,8 @@ def boxplot(df: DataFrame, col: str, group: str | None = None, k: float = 1.5) -
     scalar subqueries. Either way the outlier count is one more aggregate.
     """
     g = [group] if group else []
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], group=g, names=["q1", "median", "q3"])
+    q = exact_quantiles(df, col, [0.25, 0.5, 0.75], group=g, names=["q1", "median", "q3"],
+                        with_n=bool(g))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
         .withColumn("lo_fence", F.col("q1") - F.lit(k) * F.col("iqr")) \
         .withColumn("hi_fence", F.col("q3") + F.lit(k) * F.col("iqr"))
@@ -192,10 +194,13 @@ def boxplot(df: DataFrame, col: str, group: str | None = None, k: float = 1.5) -
 
     stats = ["q1", "median", "q3", "iqr", "lo_fence", "hi_fence"]
     if g:
-        fences = q.select(*g, F.col("lo_fence").alias("__lo"), F.col("hi_fence").alias("__hi"))
-        j = df.select(*g, col).join(fences, on=g, how="inner")
+        # Fences reach the rows through the skew-safe lookup (a hot group is
+        # salted by its share of the rows); the counts aggregate partially.
+        fences = q.select(*g, F.col("lo_fence").alias("__lo"), F.col("hi_fence").alias("__hi"),
+                          F.col("n").alias("__gn"))
+        j = lookup(df.select(*g, col), fences, g, count_col="__gn")
         cnt = j.groupBy(*g).agg(*counts(F.col("__lo"), F.col("__hi")))
-        out = q.join(cnt, on=g, how="inner")
+        out = q.drop("n").join(cnt, on=g, how="inner")
     else:
         # One scalar subquery for all six statistics (a one-row struct).
         row = q.select(F.struct(*stats).alias("s")).scalar()
