@@ -74,7 +74,8 @@ def _match(lcols, rcols, null_safe: bool) -> Column:
 def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
            count_col: str | None = None, bound: int | None = None,
            salt_by: list[str] | None = None, null_safe: bool = True,
-           hot_keys: int = HOT_KEYS, salt_buckets: int | None = SALT_BUCKETS) -> DataFrame:
+           hot_keys: int = HOT_KEYS, salt_buckets: int | None = SALT_BUCKETS,
+           total: float | None = None) -> DataFrame:
     """Left-join ``facts`` to a one-row-per-key ``table`` on ``key``.
 
     Every fact row is kept exactly once; table columns are null where the key
@@ -87,7 +88,9 @@ def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
     names the fact columns hashed into the salt (a row key when there is
     one; all columns by default), so the salt is deterministic across task
     retries. ``null_safe`` lets a null key match a null category, as a map
-    lookup of a null value would.
+    lookup of a null value would. ``total`` is the sum of ``count_col`` when
+    already known (a streaming plan takes no scalar subquery); by default it
+    is a scalar subquery over the table.
     """
     keys = _keys(key)
     other = [c for c in table.columns if c not in keys]
@@ -112,7 +115,8 @@ def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
     # data is spread over two thirds of the partitions. Salts over all hot
     # keys add up to at most 2P + K replicated table rows.
     parts = salt_buckets or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = t0.select(F.sum(count_col).cast("double")).scalar()
+    total = (F.lit(float(total)) if total is not None
+             else t0.select(F.sum(count_col).cast("double")).scalar())
     n_salts = F.least(F.lit(parts), F.greatest(
         F.lit(1), F.ceil(F.col(count_col) / total * F.lit(2 * parts)))).cast("int")
     hkeys = [f"__hk_{i}" for i in range(len(keys))]

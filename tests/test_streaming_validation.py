@@ -18,7 +18,7 @@ def test_stream_scoring_matches_batch(spark):
     stream = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet") \
         .parquet(SF) \
         .select("o_orderkey", "o_custkey", "o_totalprice")
-    scored = apply_stream(stream, [enc])
+    scored = apply_stream(stream, [enc], salt_by=["o_orderkey"])
     ck = tempfile.mkdtemp(prefix="stream-ck-", dir="/tmp")
     q = (scored.writeStream.format("memory").queryName("scored_orders").outputMode("append")
          .option("checkpointLocation", ck).start())
@@ -50,3 +50,30 @@ def test_validation_report_shapes(spark):
     assert nulls["label"] == 1 and nulls["genre"] == 1 and nulls["description"] == 1
     assert [r.imdb_title_id for r in rep["preview"].collect()] == ["t1"]
     assert rep["label_histogram"].first().bin == 7.0
+
+
+def test_stream_scoring_salts_a_hot_category(spark):
+    """A category with a third of the rows is salted inside the streaming
+    plan; every streamed row is scored exactly once, as in batch."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    keys = np.concatenate([np.full(1000, "hot"), rng.choice([f"k{i}" for i in range(200)], 2000)])
+    pdf = pd.DataFrame({"id": np.arange(3000), "cat": keys, "y": rng.normal(0, 1, 3000)})
+    src = tempfile.mkdtemp(prefix="stream-src-", dir="/tmp")
+    batch = spark.createDataFrame(pdf)
+    batch.write.mode("overwrite").parquet(os.path.join(src, "part"))
+    enc = freeze(encode.fit_frequency(batch, "cat"))
+    stream = spark.readStream.schema(batch.schema).parquet(os.path.join(src, "part"))
+    scored = apply_stream(stream, [enc], salt_by=["id"])
+    ck = tempfile.mkdtemp(prefix="stream-ck-", dir="/tmp")
+    q = (scored.writeStream.format("memory").queryName("scored_hot").outputMode("append")
+         .option("checkpointLocation", ck).start())
+    q.processAllAvailable()
+    q.stop()
+    rows = spark.sql("select * from scored_hot").collect()
+    assert len(rows) == 3000 and len({r.id for r in rows}) == 3000
+    want = {r.id: r.cat_freq for r in enc.apply(batch, salt_by=["id"]).collect()}
+    assert all(abs(r.cat_freq - want[r.id]) < 1e-12 for r in rows)
+    assert abs(next(r.cat_freq for r in rows if r.id == 0) - 1000 / 3000) < 1e-12
