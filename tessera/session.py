@@ -26,18 +26,53 @@ DEFAULT_CONF = {
 }
 
 
+# Partition sizing: scan splits, AQE's target reducer size, the size above
+# which AQE splits a skewed join partition, and a cap on the initial shuffle
+# width (map statuses on the driver grow with maps x reducers).
+SCAN_SPLIT_BYTES = 512 << 20
+ADVISORY_BYTES = 256 << 20
+SKEW_PARTITION_BYTES = 1 << 30
+SHUFFLE_BYTES_PER_PARTITION = 1 << 30
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def scale_conf(input_bytes: int, cores: int) -> dict[str, str]:
+    """Partition settings for reading ``input_bytes`` on ``cores`` task slots.
+
+    Scans split at 512 MB. The initial shuffle width is one partition per GB
+    of input (at least two per core, at most 100,000): the widest shuffles
+    here carry projected columns after map-side partial aggregation, well
+    under the input size, and AQE coalesces every shuffle toward 256 MB
+    reducers and splits join partitions over 1 GB. The salted lookup sizes
+    its salts from this width, so a hot key spreads over the cluster. For
+    100 TB on 8,000 cores: 204,800 scan tasks, 100,000 shuffle partitions.
+    """
+    width = -(-input_bytes // SHUFFLE_BYTES_PER_PARTITION)
+    partitions = max(2 * cores, min(MAX_SHUFFLE_PARTITIONS, width))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(SCAN_SPLIT_BYTES),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(ADVISORY_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(SKEW_PARTITION_BYTES),
+    }
+
+
 def get_session(master: str | None = None, app: str = "tessera",
                 shuffle_partitions: int | None = None,
-                extra: dict[str, str] | None = None) -> SparkSession:
+                extra: dict[str, str] | None = None,
+                input_bytes: int | None = None, cores: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.
 
     On a cluster ``master`` is left to ``spark-submit``; tests pass
-    ``local[N]``.
+    ``local[N]``. With ``input_bytes`` and ``cores`` the partition settings
+    come from ``scale_conf``; an explicit ``shuffle_partitions`` wins.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if input_bytes is not None and cores is not None:
+        conf.update(scale_conf(input_bytes, cores))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
