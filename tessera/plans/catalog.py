@@ -387,7 +387,7 @@ def histogram_tenths(spark, sf_dir):
 
 @query("histogram_width", """
 select cast(floor((value - 0.0) / 25.0) as bigint) as bin, count(*) as n,
-       0.0 + cast(floor((value - 0.0) / 25.0) as bigint) * 25.0 as bin_lo
+       cast(0.0 + cast(floor((value - 0.0) / 25.0) as bigint) * 25.0 as double) as bin_lo
 from events where value is not null group by 1
 """)
 def histogram_width(spark, sf_dir):

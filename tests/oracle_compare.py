@@ -49,18 +49,41 @@ def _rows(cols, rows):
     return sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+# Type families, so the check is on what the driver's schema match sees.
+_SPARK_T = {"bigint": "int64", "int": "int32", "smallint": "int16", "tinyint": "int8",
+            "double": "double", "float": "float", "string": "string", "boolean": "bool",
+            "date": "date", "timestamp": "timestamp"}
+_DUCK_T = {"BIGINT": "int64", "INTEGER": "int32", "SMALLINT": "int16", "TINYINT": "int8",
+           "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string", "BOOLEAN": "bool",
+           "DATE": "date", "TIMESTAMP": "timestamp", "TIMESTAMP WITH TIME ZONE": "timestamp"}
+
+
+def _family(t: str, table: dict) -> str:
+    if t.lower().startswith("decimal"):
+        return t.lower().replace(" ", "")
+    return table.get(t, t)
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
     s_cols = sdf.columns
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
-    res = con.execute(sql)
-    d_cols = [d[0] for d in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(sql)
+    d_cols = list(rel.columns)
+    d_types = dict(zip(d_cols, (str(t) for t in rel.types)))
+    d_rows = rel.fetchall()
     problems = []
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns spark={s_cols} duck={d_cols}")
+    else:
+        for f in sdf.schema.fields:
+            a = _family(f.dataType.simpleString(), _SPARK_T)
+            b = _family(d_types[f.name], _DUCK_T)
+            if a != b:
+                problems.append(f"type of {f.name}: spark {f.dataType.simpleString()} "
+                                f"duck {d_types[f.name]}")
     if len(s_rows) != len(d_rows):
         problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
     elif not problems:
