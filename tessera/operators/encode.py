@@ -177,3 +177,59 @@ def time_encode(df: DataFrame, col: str, target: str, ts: str,
     return (j.withColumn(out, F.col("__s_before") / F.nullif(F.col("__n_before"), F.lit(0)))
             .withColumn(out + "_n", F.col("__n_before"))
             .drop("__t", "__n", "__s_before", "__n_before"))
+
+
+ENCODING_SUFFIX = {"target": "_encoded", "loo": "_loo", "kfold": "_kfold", "frequency": "_freq"}
+
+
+def encodings(df: DataFrame, col: str, target: str, kinds=("target", "loo", "frequency"),
+              key: str | None = None, k: int = 5, seed: int = 42,
+              smoothing: float = SMOOTHING, salt_by: list[str] | None = None) -> DataFrame:
+    """Several in-sample encodings of one column (X4's input) from one fit.
+
+    E2 (``target``), X1 (``loo``), X2 (``kfold``, needs ``key``) and E1
+    (``frequency``) all derive from per-category sums and counts, and the
+    k-fold one from the same per (category, fold) - so one grouped aggregate
+    of the rows feeds all of them, and at most two skew-safe lookups bring
+    the totals back (the separate encoders take one scan and one lookup
+    each). Columns are named as the encoders name them; values follow the
+    same formulas, with the same defaults.
+    """
+    unknown = set(kinds) - set(ENCODING_SUFFIX)
+    if unknown:
+        raise ValueError(f"unknown encodings {sorted(unknown)}")
+    kfold = "kfold" in kinds
+    if kfold and key is None:
+        raise ValueError("k-fold encoding needs a row key")
+    salt_by = salt_by or ([key] if key else None)
+    d = df.withColumn("__fold", hash_bucket(key, seed, k)) if kfold else df
+    if kfold:
+        cf_full = _target_stats(d, [col, "__fold"], target)
+        c_full = materialize(cf_full.groupBy(col).agg(
+            F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("nt").alias("nt")))
+    else:
+        c_full = _target_stats(d, [col], target)
+    mu = _global_mean(c_full)
+    total = c_full.select(F.sum("n").cast("double")).scalar()
+    c = c_full.select(col, F.col("s").alias("__cs"), F.col("n").alias("__cn"),
+                      F.col("nt").alias("__cnt"))
+    j = lookup(d, c, col, count_col="__cn", salt_by=salt_by)
+    if kfold:
+        cf = cf_full.select(col, "__fold", F.col("s").alias("__fs"), F.col("n").alias("__fn"))
+        j = lookup(j, cf, [col, "__fold"], count_col="__fn", salt_by=salt_by)
+    cs, cn, y = F.col("__cs"), F.col("__cn"), F.col(target)
+    mean = cs / F.nullif(F.col("__cnt"), F.lit(0))
+    exprs = {
+        "target": (mean * cn + mu * F.lit(smoothing)) / (cn + F.lit(smoothing)),
+        "loo": (cs - y) / F.nullif(cn - F.lit(1), F.lit(0)),
+        "kfold": (cs - F.col("__fs")) / F.nullif(cn - F.col("__fn"), F.lit(0)) if kfold else None,
+    }
+    out = {}
+    for kind in kinds:
+        name = col + ENCODING_SUFFIX[kind]
+        if kind == "frequency":
+            out[name] = F.coalesce(cn / total, F.lit(1.0) / total)
+        else:
+            out[name] = F.coalesce(exprs[kind], mu)
+    return (j.withColumns(out)
+            .drop("__cs", "__cn", "__cnt", *(["__fs", "__fn", "__fold"] if kfold else [])))

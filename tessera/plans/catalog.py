@@ -883,10 +883,9 @@ from r
 """)
 def leakage_audit(spark, sf_dir):
     o = _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey", "y")
-    e = encode.fit_target(o, "o_custkey", "y").apply(o, drop=False, salt_by=["o_orderkey"])
-    e = encode.loo_encode(e, "o_custkey", "y", salt_by=["o_orderkey"])
-    e = encode.kfold_encode(e, "o_custkey", "y", key="o_orderkey", k=5)
-    e = encode.fit_frequency(o, "o_custkey").apply(e, drop=False, salt_by=["o_orderkey"])
+    # E2, X1, X2, E1 of the same column from one fit and two lookups.
+    e = encode.encodings(o, "o_custkey", "y", kinds=("target", "loo", "kfold", "frequency"),
+                         key="o_orderkey", k=5)
     cols = ["o_custkey_encoded", "o_custkey_loo", "o_custkey_kfold", "o_custkey_freq"]
     a = audit.correlation_audit(e, cols, "y")
     return a.select("column_name", rnd("r").alias("r"), rnd("abs_r").alias("abs_r"), "verdict")

@@ -117,3 +117,24 @@ def test_lookup_salted_keeps_every_row_once(spark):
 def test_unique_keys_check(spark):
     df = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert [r.k for r in joins.unique_keys(df, "k").collect()] == [1]
+
+
+def test_combined_encodings_equal_the_separate_encoders(spark):
+    """One fit for E2, X1, X2, E1 gives what the four encoders give, under a
+    hot key, with a null category and null targets."""
+    df = _skewed(spark).withColumn("c", F.when(F.col("id") % 17 == 0, None).otherwise(F.col("c"))) \
+        .withColumn("y", F.when(F.col("id") % 23 == 0, None).otherwise(F.col("y")))
+    got = {r.id: r for r in encode.encodings(df, "c", "y", kinds=("target", "loo", "kfold",
+                                                                    "frequency"),
+                                             key="id", k=5).collect()}
+    sep = encode.fit_target(df, "c", "y").apply(df, drop=False, salt_by=["id"])
+    sep = encode.loo_encode(sep, "c", "y", salt_by=["id"])
+    sep = encode.kfold_encode(sep, "c", "y", key="id", k=5)
+    sep = encode.fit_frequency(df, "c").apply(sep, drop=False, salt_by=["id"])
+    want = {r.id: r for r in sep.collect()}
+    assert got.keys() == want.keys() and len(got) == 3000
+    for i, w in want.items():
+        g = got[i]
+        for c in ("c_encoded", "c_loo", "c_kfold", "c_freq"):
+            a, b = g[c], w[c]
+            assert (a is None and b is None) or abs(a - b) < 1e-9, (i, c, a, b)
