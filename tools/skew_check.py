@@ -3,7 +3,8 @@
 Runs a fact table where one key holds a third of the rows through
 (a) a plain shuffle join to its encoder table, (b) ``joins.lookup`` with
 hot-key salting, (c) a running mean over ``Window.partitionBy(key)`` and
-(d) ``encode.time_encode`` (two-level prefix scan), with AQE's skew-join
+(d) ``encode.time_encode`` (two-level prefix scan) and (e) a box plot per
+key (exact quartiles, fences joined back by the salted lookup), with AQE's skew-join
 rule switched off to isolate the effect. Per-task shuffle records come from Spark's event log, written to a
 fresh scratch folder. Prints one JSON line per variant: the largest task's
 share of the rows in the join stage.
@@ -46,12 +47,12 @@ def main(rows: int) -> None:
 
     from pyspark.sql import Window
 
-    from tessera.operators import encode, joins
+    from tessera.operators import encode, joins, profile
     from tessera.session import DEFAULT_CONF, ensure_checkpoint_dir
 
     scratch = tempfile.mkdtemp(prefix="skew-check-", dir="/tmp")
     results = {}
-    for variant in ("plain", "salted", "window", "prefix"):
+    for variant in ("plain", "salted", "window", "prefix", "boxplot"):
         log_dir = os.path.join(scratch, variant)
         os.makedirs(log_dir)
         b = SparkSession.builder.master("local[8]").appName(f"skew-{variant}")
@@ -79,8 +80,10 @@ def main(rows: int) -> None:
         elif variant == "window":
             w = Window.partitionBy("c").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
             out = timed.withColumn("past", F.avg("y").over(w))
-        else:
+        elif variant == "prefix":
             out = encode.time_encode(timed, "c", "y", "ts", salt_by=["id"])
+        else:
+            out = profile.boxplot(facts, "y", group="c")
         out.write.format("noop").mode("overwrite").save()
         spark.stop()
         per_stage = stage_task_records(log_dir)
