@@ -24,6 +24,7 @@ from ..functions import scalars as H
 from ..functions import text as M
 from ..operators import clean, encode, evaluate, joins, profile, split, topk, audit
 from ..operators import text as text_ops
+from ..sources.sinks import spread_if_narrow
 from ..sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -670,7 +671,7 @@ with t as (select doc_id, unnest({_tokens_sql()}) as term from documents)
 select term, count(*) as n, count(distinct doc_id) as docs from t group by term
 """)
 def token_counts(spark, sf_dir):
-    d = load(spark, sf_dir, "documents", "text")
+    d = spread_if_narrow(load(spark, sf_dir, "documents", "text"))
     return text_ops.term_counts(d, "text")
 
 
@@ -681,7 +682,7 @@ select term, count(*) as df, round(ln(((select m from m) + 1) / (count(*) + 1)),
 from t group by term
 """)
 def tfidf_terms(spark, sf_dir):
-    t = text_ops.idf_terms(load(spark, sf_dir, "documents", "text"), "text")
+    t = text_ops.idf_terms(spread_if_narrow(load(spark, sf_dir, "documents", "text")), "text")
     return t.select("term", "df", rnd("idf").alias("idf"))
 
 
@@ -937,7 +938,8 @@ def _doc_spec(kind: str = "frequency", extra_numeric=()):
 def _doc_prepared(spark, sf_dir, kind: str = "frequency"):
     from .features import prepare
 
-    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
+    docs = spread_if_narrow(load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source",
+                                 "n_chars"))
     labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     rows = clean.drop_nulls(joins.join_on_key(docs, labels, "doc_id", "inner"),
                             ["text", "lang", "source", "n_chars", "quality"])

@@ -32,3 +32,22 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n)
+
+
+def spread_if_narrow(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """S8 before heavy per-row work (tokenising whole texts) on a narrow scan.
+
+    A parquet file with one large row group is read by one task however it
+    is split. When ``df`` is a plain scan (no exchange in its plan) with
+    fewer splits than the session's parallelism, its rows are dealt
+    round-robin over that many partitions first; the shuffle moves the
+    input once so the expensive work runs on every core. A large input
+    already has more splits than cores and is returned unchanged, as is any
+    plan with an exchange (AQE sizes those partitions itself).
+    """
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        return df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
