@@ -45,9 +45,11 @@ def spread_if_narrow(df: DataFrame, partitions: int | None = None) -> DataFrame:
     already has more splits than cores and is returned unchanged, as is any
     plan with an exchange (AQE sizes those partitions itself).
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan:
+    try:
+        n = partitions or df.sparkSession.sparkContext.defaultParallelism
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        splits = None if "Exchange" in plan else df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): leave as is
         return df
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if splits is not None and splits < n else df
 
