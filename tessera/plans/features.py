@@ -176,6 +176,24 @@ def prepare(train: DataFrame, test: DataFrame, spec: FeatureSpec,
     tr = post.transform(train_t).select(*keep)
     te = post.transform(test_t).select(*keep)
     if checkpoint:
-        tr, te = cached(tr), cached(te)
+        tr, te = cached(_sized(tr, train_t)), cached(_sized(te, test_t))
         tr.count(), te.count()
     return Prepared(tr, te, model, spec)
+
+
+# Rows of assembled feature vectors per partition of the cached tables
+# (about 100 MB at a thousand dense slots).
+FEATURE_ROWS_PER_PARTITION = 100_000
+
+
+def _sized(df: DataFrame, checkpointed: DataFrame) -> DataFrame:
+    """Fewer partitions for a small feature table; never more, never a shuffle.
+
+    Iterative fits (trees level by level, SGD, L-BFGS) run one job per
+    step, and each step pays per task: a few thousand rows spread over many
+    partitions make every step slower. The row count is read from the
+    checkpoint. A large table keeps its partitions (the target exceeds them).
+    """
+    rows = checkpointed.count()
+    target = max(1, -(-rows // FEATURE_ROWS_PER_PARTITION))
+    return df.coalesce(target) if target < df.rdd.getNumPartitions() else df
