@@ -182,8 +182,10 @@ def prepare(train: DataFrame, test: DataFrame, spec: FeatureSpec,
 
 
 # Rows of assembled feature vectors per partition of the cached tables
-# (about 100 MB at a thousand dense slots).
+# (about 100 MB at a thousand dense slots), and how many fits may run at
+# once on them (the grid search's parallelism, ``tune.PARALLELISM``).
 FEATURE_ROWS_PER_PARTITION = 100_000
+CONCURRENT_FITS = 4
 
 
 def _sized(df: DataFrame, checkpointed: DataFrame) -> DataFrame:
@@ -192,8 +194,11 @@ def _sized(df: DataFrame, checkpointed: DataFrame) -> DataFrame:
     Iterative fits (trees level by level, SGD, L-BFGS) run one job per
     step, and each step pays per task: a few thousand rows spread over many
     partitions make every step slower. The row count is read from the
-    checkpoint. A large table keeps its partitions (the target exceeds them).
+    checkpoint. The floor is the task slots over the fits that may run at
+    once, so concurrent grid fits still fill the cores. A large table keeps
+    its partitions (the target exceeds them).
     """
     rows = checkpointed.count()
-    target = max(1, -(-rows // FEATURE_ROWS_PER_PARTITION))
+    floor = max(1, df.sparkSession.sparkContext.defaultParallelism // CONCURRENT_FITS)
+    target = max(floor, -(-rows // FEATURE_ROWS_PER_PARTITION))
     return df.coalesce(target) if target < df.rdd.getNumPartitions() else df
