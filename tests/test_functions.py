@@ -75,7 +75,7 @@ def test_tokens_match_ml_tokenizer(spark):
     df = spark.createDataFrame([(1, "The été movie, a GREAT one: isn't it? Yes!!"), (2, "")], "id int, t string")
     tok = RegexTokenizer(inputCol="t", outputCol="w", pattern=r"\W+", minTokenLength=3).transform(df)
     ml = StopWordsRemover(inputCol="w", outputCol="f").transform(tok)
-    sql = df.select("id", M.content_tokens("t").alias("f2"))
+    sql = df.select("id", M.without_stop_words(M.tokens("t")).alias("f2"))
     got = {r.id: (r.f, r.f2) for r in ml.join(sql, "id").collect()}
     assert all(a == b for a, b in got.values())
     assert got[1][0] == ["movie", "great", "one", "isn", "yes"]
