@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules, sharding, url_filters
+from . import bpe, html_extract, quality_rules, sharding, simhash, url_filters
 
 QUERIES = {
+    "op1_bpe": bpe.query,
+    "op2_html_extract": html_extract.query,
     "op3_url_filters": url_filters.query,
     "op4_sharding": sharding.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_simhash": simhash.query,
 }
 ORACLE = {"op3_url_filters": url_filters.ORACLE}
