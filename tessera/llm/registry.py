@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, quality_rules, sharding, simhash, url_filters
+from . import bpe, html_extract, language_id, quality_rules, sharding, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_html_extract": html_extract.query,
     "op3_url_filters": url_filters.query,
     "op4_sharding": sharding.query,
+    "op5_toxicity": toxicity.query,
     "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
+    "op10_language_id": language_id.query,
 }
 ORACLE = {"op3_url_filters": url_filters.ORACLE}
