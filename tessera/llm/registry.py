@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_extract, language_id, quality_rules, sharding, simhash, toxicity, url_filters
+from . import bpe, decontamination, html_extract, language_id, quality_rules, sharding, simhash, toxicity, url_filters
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
+    "op9_decontamination": decontamination.query,
     "op10_language_id": language_id.query,
 }
-ORACLE = {"op3_url_filters": url_filters.ORACLE}
+ORACLE = {"op3_url_filters": url_filters.ORACLE, "op9_decontamination": decontamination.ORACLE}

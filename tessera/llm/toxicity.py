@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 HASH_BITS = 20
 #: Documented bound of the fit: expected number of labelled texts, groups, passes.
-SAMPLE, GROUPS, PASSES = 16_384, 4, 2
+SAMPLE, GROUPS, PASSES = 16_384, 2, 2
 #: FTRL-proximal: learning rate scale and smoothing, L2 strength, and L1 strength per
 #: square root of a group's rows (a coordinate without signal drifts that far).
 ALPHA, BETA, L2, L1_ROOT = 1.0, 1.0, 1.0, 0.19
