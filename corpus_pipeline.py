@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules
+from tessera.llm import bpe, decontamination, quality_rules, simhash, suffix_dedup
 from tessera.llm.common import stored
 
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("simhash", simhash.stage),
+    ("suffix_dedup", suffix_dedup.stage),
+    ("decontamination", decontamination.stage),
+    ("bpe", bpe.stage),
 ]
 
 #: Several stages (quantile sketches, fingerprints, suffix order, merges) have no SQL form.

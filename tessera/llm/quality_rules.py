@@ -128,7 +128,9 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         F.col("__n_symbols").alias("n_symbols"), F.col("__dup_lines").alias("n_dup_lines"),
         F.col("__n_repeat").alias("n_repeat_words"), base_failed.alias("base_failed"),
         (~base_failed & ~outlier).alias("kept"))
-    return d.select(*names, verdict.alias(out))
+    # A one-row generator: a caller's filter on the verdict must not be pushed below
+    # it, where the optimizer would write the window expressions out many times over.
+    return d.select(*names, F.explode(F.array(verdict)).alias(out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extract, language_id, quality_rules, sharding, simhash, toxicity, url_filters
+from . import bpe, decontamination, html_extract, language_id, quality_rules, sharding, simhash, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": url_filters.query,
     "op4_sharding": sharding.query,
     "op5_toxicity": toxicity.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_quality_rules": quality_rules.query,
     "op8_simhash": simhash.query,
     "op9_decontamination": decontamination.query,
