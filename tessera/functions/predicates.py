@@ -19,10 +19,6 @@ def missing(df: DataFrame, name: str) -> Column:
     return c.isNull()
 
 
-def present(df: DataFrame, name: str) -> Column:
-    return ~missing(df, name)
-
-
 def null_unless(cond: Column, value: Column) -> Column:
     """``value`` where ``cond`` holds, else null."""
     return F.when(cond, value)

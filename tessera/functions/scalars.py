@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .predicates import null_unless
+
 
 def year_digits(c: str | Column) -> Column:
     """H1: keep the digits and read them as an int ("TV Movie 2019" -> 2019).
@@ -20,8 +22,8 @@ def year_strict(c: str | Column) -> Column:
 
 
 def in_range(c: Column, lo: int = 1870, hi: int = 2100) -> Column:
-    """Optional plausibility check for parsed years."""
-    return F.when(c.between(lo, hi), c)
+    """Optional plausibility check for parsed years (D14): null outside."""
+    return null_unless(c.between(lo, hi), c)
 
 
 def decade(year: str | Column) -> Column:
@@ -110,11 +112,6 @@ def width_bin(x: str | Column, lo: float, width: float) -> Column:
     return F.floor((c - F.lit(lo)) / F.lit(width)).cast("long")
 
 
-def text_length(c: str | Column) -> Column:
-    """H13."""
-    return F.length(F.col(c) if isinstance(c, str) else c)
-
-
 # Ensemble weights of ridge, forest and boosted trees.
 BLEND_WEIGHTS = (0.2, 0.3, 0.5)
 
@@ -128,25 +125,21 @@ def blend(cols, weights=BLEND_WEIGHTS) -> Column:
     return expr
 
 
-def row_id() -> Column:
-    """Surrogate key inside one plan; never used to align two plans."""
-    return F.monotonically_increasing_id()
-
-
 def round_half_up(x: Column, digits: int) -> Column:
     """Round half-up on the value snapped to 10 decimals.
 
     Summation order moves a double by a few ulps; values that sit exactly on
     a rounding tie (common with decimal data) would then round either way.
     Snapping to decimal(38,10) first removes that noise, so every engine
-    that rounds the same decimal gets the same digits.
+    that rounds the same decimal gets the same digits. NaN, infinities and
+    values beyond the decimal (1e28) are returned as they are.
     """
-    return F.round(x.try_cast("decimal(38,10)"), digits).cast("double")
+    return F.coalesce(F.round(x.try_cast("decimal(38,10)"), digits).cast("double"), x.cast("double"))
 
 
 def pct(x: Column, n: Column, digits: int = 2) -> Column:
-    """Percentage rounded to ``digits``."""
-    return round_half_up(F.lit(100.0) * x / n, digits)
+    """Percentage rounded to ``digits``; null of nothing (n = 0)."""
+    return round_half_up(F.try_divide(F.lit(100.0) * x, n), digits)
 
 
 # Money strings such as "$ 2250" or "INR 1000": a currency token

@@ -115,9 +115,25 @@ def reduce_cardinality(df: DataFrame, col: str, top: DataFrame, n: int = TOP_N,
     return keep_or_other(df, top.select(col), col, bound=n, other=other)
 
 
+def _without_own(target: str, total: str, known: str) -> Column:
+    """Category mean without the row's own target."""
+    y = F.col(target)
+    others = F.col(known) - F.when(y.isNull(), F.lit(0)).otherwise(F.lit(1))
+    return (F.col(total) - F.coalesce(y, F.lit(0))) / F.nullif(others, F.lit(0))
+
+
+def _without_fold() -> Column:
+    """Category mean without the row's fold (a fold without targets sums to nothing)."""
+    others = F.col("__cnt") - F.col("__fnt")
+    return (F.col("__cs") - F.coalesce("__fs", F.lit(0))) / F.nullif(others, F.lit(0))
+
+
 def loo_encode(df: DataFrame, col: str, target: str, out: str | None = None,
                salt_by: list[str] | None = None) -> DataFrame:
-    """Leave-one-out mean, (sum_c - y) / (n_c - 1); mu when the row is alone.
+    """Mean of the other rows' known targets, (sum_c - y) / (known_c - [y known]).
+
+    mu when no other row of the category has a target; a null target counts
+    for nothing.
 
     Category totals are pre-aggregated and joined back (a skew-safe lookup)
     instead of a window over the category, so no task ever holds a whole
@@ -126,10 +142,9 @@ def loo_encode(df: DataFrame, col: str, target: str, out: str | None = None,
     out = out or f"{col}_loo"
     full = _target_stats(df, [col], target)
     mu = _global_mean(full)
-    stats = full.select(col, F.col("s").alias("__s"), F.col("n").alias("__n"))
+    stats = full.select(col, F.col("s").alias("__s"), F.col("n").alias("__n"), F.col("nt").alias("__nt"))
     j = lookup(df, stats, col, count_col="__n", salt_by=salt_by)
-    loo = (F.col("__s") - F.col(target)) / F.nullif(F.col("__n") - F.lit(1), F.lit(0))
-    return j.withColumn(out, F.coalesce(loo, mu)).drop("__s", "__n")
+    return j.withColumn(out, F.coalesce(_without_own(target, "__s", "__nt"), mu)).drop("__s", "__n", "__nt")
 
 
 def kfold_encode(df: DataFrame, col: str, target: str, key: str, k: int = 5,
@@ -137,7 +152,7 @@ def kfold_encode(df: DataFrame, col: str, target: str, key: str, k: int = 5,
     """Category mean over the other folds; fold = hash bucket of the row key.
 
     Category totals minus own-fold totals: two grouped aggregates and two
-    skew-safe lookups; mu where the other folds hold no row of the category.
+    skew-safe lookups; mu where the other folds hold no target of the category.
     """
     out = out or f"{col}_kfold"
     d = df.withColumn("__fold", hash_bucket(key, seed, k))
@@ -147,13 +162,13 @@ def kfold_encode(df: DataFrame, col: str, target: str, key: str, k: int = 5,
     c_full = materialize(cf_full.groupBy(col).agg(F.sum("s").alias("s"), F.sum("n").alias("n"),
                                                   F.sum("nt").alias("nt")))
     mu = _global_mean(c_full)
-    c = c_full.select(col, F.col("s").alias("__cs"), F.col("n").alias("__cn"))
-    cf = cf_full.select(col, "__fold", F.col("s").alias("__fs"), F.col("n").alias("__fn"))
+    c = c_full.select(col, F.col("s").alias("__cs"), F.col("n").alias("__cn"), F.col("nt").alias("__cnt"))
+    cf = cf_full.select(col, "__fold", F.col("s").alias("__fs"), F.col("n").alias("__fn"),
+                        F.col("nt").alias("__fnt"))
     j = lookup(d, c, col, count_col="__cn", salt_by=[key])
     j = lookup(j, cf, [col, "__fold"], count_col="__fn", salt_by=[key])
-    enc = (F.col("__cs") - F.col("__fs")) / F.nullif(F.col("__cn") - F.col("__fn"), F.lit(0))
-    return (j.withColumn(out, F.coalesce(enc, mu))
-            .drop("__cs", "__cn", "__fs", "__fn", "__fold"))
+    return (j.withColumn(out, F.coalesce(_without_fold(), mu))
+            .drop("__cs", "__cn", "__cnt", "__fs", "__fn", "__fnt", "__fold"))
 
 
 def time_encode(df: DataFrame, col: str, target: str, ts: str,
@@ -215,14 +230,15 @@ def encodings(df: DataFrame, col: str, target: str, kinds=("target", "loo", "fre
                       F.col("nt").alias("__cnt"))
     j = lookup(d, c, col, count_col="__cn", salt_by=salt_by)
     if kfold:
-        cf = cf_full.select(col, "__fold", F.col("s").alias("__fs"), F.col("n").alias("__fn"))
+        cf = cf_full.select(col, "__fold", F.col("s").alias("__fs"), F.col("n").alias("__fn"),
+                            F.col("nt").alias("__fnt"))
         j = lookup(j, cf, [col, "__fold"], count_col="__fn", salt_by=salt_by)
-    cs, cn, y = F.col("__cs"), F.col("__cn"), F.col(target)
+    cs, cn = F.col("__cs"), F.col("__cn")
     mean = cs / F.nullif(F.col("__cnt"), F.lit(0))
     exprs = {
         "target": (mean * cn + mu * F.lit(smoothing)) / (cn + F.lit(smoothing)),
-        "loo": (cs - y) / F.nullif(cn - F.lit(1), F.lit(0)),
-        "kfold": (cs - F.col("__fs")) / F.nullif(cn - F.col("__fn"), F.lit(0)) if kfold else None,
+        "loo": _without_own(target, "__cs", "__cnt"),
+        "kfold": _without_fold() if kfold else None,
     }
     out = {}
     for kind in kinds:
@@ -232,4 +248,4 @@ def encodings(df: DataFrame, col: str, target: str, kinds=("target", "loo", "fre
         else:
             out[name] = F.coalesce(exprs[kind], mu)
     return (j.withColumns(out)
-            .drop("__cs", "__cn", "__cnt", *(["__fs", "__fn", "__fold"] if kfold else [])))
+            .drop("__cs", "__cn", "__cnt", *(["__fs", "__fn", "__fnt", "__fold"] if kfold else [])))

@@ -23,18 +23,23 @@ WORST_K = 20
 def _metric_aggs(y, p):
     # SST = n * population variance of the label: one pass, and Spark's
     # variance is a stable mergeable moment (no sum-of-squares cancellation).
+    # Rows without a label or a prediction are not scored.
+    y = F.when(p.isNotNull(), y)
     return [F.avg(F.pow(y - p, 2)).alias("mse"), F.avg(F.abs(y - p)).alias("mae"),
             F.sum(F.pow(y - p, 2)).alias("__sse"), F.var_pop(y).alias("__vp"),
-            F.count(F.lit(1)).alias("n")]
+            F.count(y).alias("n")]
 
 
 def _metric_cols():
     return [F.sqrt("mse").alias("rmse"), "mae",
-            (F.lit(1.0) - F.col("__sse") / (F.col("__vp") * F.col("n"))).alias("r2"), "mse", "n"]
+            (F.lit(1.0) - F.try_divide(F.col("__sse"), F.col("__vp") * F.col("n"))).alias("r2"), "mse", "n"]
 
 
 def metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """One row (rmse, mae, r2, mse, n) from a single aggregate."""
+    """One row (rmse, mae, r2, mse, n) from a single aggregate.
+
+    ``r2`` is null when all scored labels are equal.
+    """
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     return pred.agg(*_metric_aggs(y, p)).select(*_metric_cols())
 
@@ -67,7 +72,7 @@ def leaderboard(board: DataFrame) -> DataFrame:
 
 
 def improvement(board: DataFrame, baseline: str) -> DataFrame:
-    """L4: each model's RMSE and R2 change against ``baseline``, in percent.
+    """L4: each model's RMSE and R2 change against ``baseline``, in percent (null against 0).
 
     The board has one row per model, so it is checkpointed first (a bounded
     table) and the baseline row is read from that through one scalar
@@ -80,8 +85,8 @@ def improvement(board: DataFrame, baseline: str) -> DataFrame:
     b_rmse, b_r2 = base.getField("rmse"), base.getField("r2")
     return board.select(
         "model", "rmse", "r2",
-        ((b_rmse - F.col("rmse")) / b_rmse * 100).alias("rmse_improvement_pct"),
-        ((F.col("r2") - b_r2) / F.abs(b_r2) * 100).alias("r2_improvement_pct"))
+        (F.try_divide(b_rmse - F.col("rmse"), b_rmse) * 100).alias("rmse_improvement_pct"),
+        (F.try_divide(F.col("r2") - b_r2, F.abs(b_r2)) * 100).alias("r2_improvement_pct"))
 
 
 def r2_verdict(r2: Column) -> Column:

@@ -6,11 +6,11 @@ captured in a UDF. Three physical shapes, chosen by what is known about the
 table:
 
 * the table has a proven row bound (top-N, a fixed list) -> broadcast;
-* otherwise a shuffle join whose hot keys are salted: the few keys with the
-  largest counts (a top-K list, so its size is bounded by K) are spread over
-  sub-keys on the fact side and replicated on the table side, in proportion
-  to each key's share of the rows, so a key holding a third of all rows is
-  split across about two thirds of the shuffle partitions;
+* otherwise a shuffle join whose hot keys are salted: every key that holds
+  more than one shuffle partition's share of the rows (at most as many keys
+  as partitions, by counting) is spread over sub-keys on the fact side and
+  replicated on the table side, in proportion to its share, so a key holding
+  a third of all rows is split across about two thirds of the partitions;
 * AQE may still turn the shuffle join into a broadcast when the runtime
   size of the table is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
   (Spark's own size check), and its skew-join rule is a second line.
@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 
 # Tables with a proven bound at or under this many rows are broadcast.
 BROADCAST_MAX_ROWS = 100_000
-# How many of the largest keys are candidates for salting. The number of
-# sub-keys per hot key follows its share of the rows (see ``lookup``).
-HOT_KEYS = 32
+# Sub-keys of the hottest key at most; None: the shuffle partition count.
 SALT_BUCKETS = None
 
 _SALT = "__salt"
@@ -74,15 +72,15 @@ def _match(lcols, rcols, null_safe: bool) -> Column:
 def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
            count_col: str | None = None, bound: int | None = None,
            salt_by: list[str] | None = None, null_safe: bool = True,
-           hot_keys: int = HOT_KEYS, salt_buckets: int | None = SALT_BUCKETS,
+           salt_buckets: int | None = SALT_BUCKETS,
            total: float | None = None) -> DataFrame:
     """Left-join ``facts`` to a one-row-per-key ``table`` on ``key``.
 
     Every fact row is kept exactly once; table columns are null where the key
     is unseen. ``bound`` is a proven upper bound on the table's rows (e.g.
     the N of a top-N fit): at or under ``BROADCAST_MAX_ROWS`` the table is
-    broadcast. Otherwise hot keys are salted; they are the ``hot_keys``
-    largest by ``count_col`` (the fit-time count of each key), each split
+    broadcast. Otherwise hot keys are salted: those whose share of
+    ``count_col`` (the fit-time count of each key) is over 1 / P, each split
     into sub-keys in proportion to its share of the rows (at most
     ``salt_buckets``, default the shuffle partition count). ``salt_by``
     names the fact columns hashed into the salt (a row key when there is
@@ -108,12 +106,12 @@ def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
         j = facts.join(t, _match(fk, [F.col(tk) for tk in tkeys], null_safe), "left")
         return j.drop(*tkeys)
 
-    # Hot keys: the K largest counts. A top-K result has at most K rows, so
-    # broadcasting it is safe at any data size. Each hot key gets a salt
+    # Hot keys hold more than 1 / P of the rows each, so there are fewer than
+    # P of them: broadcasting that list is safe at any data size. Each gets a salt
     # count proportional to its share of the rows: about two salts per
     # shuffle partition's worth of rows, so a key holding a third of the
     # data is spread over two thirds of the partitions. Salts over all hot
-    # keys add up to at most 2P + K replicated table rows.
+    # keys add up to at most 3P replicated table rows.
     parts = salt_buckets or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = (F.lit(float(total)) if total is not None
              else t0.select(F.sum(count_col).cast("double")).scalar())
@@ -121,8 +119,7 @@ def lookup(facts: DataFrame, table: DataFrame, key: str | list[str], *,
         F.lit(1), F.ceil(F.col(count_col) / total * F.lit(2 * parts)))).cast("int")
     hkeys = [f"__hk_{i}" for i in range(len(keys))]
     hot = F.broadcast(
-        t0.orderBy(F.col(count_col).desc(), *[F.col(k).asc_nulls_last() for k in tkeys])
-        .limit(hot_keys)
+        t0.filter(F.col(count_col) * F.lit(parts) > total)
         .select(*[F.col(tk).alias(hk) for tk, hk in zip(tkeys, hkeys)], n_salts.alias(_HOT)))
     salt_cols = salt_by or facts.columns
     f = (facts.join(hot, _match(fk, [F.col(h) for h in hkeys], null_safe), "left")

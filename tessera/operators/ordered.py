@@ -49,11 +49,11 @@ def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
     w_in = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = blocks.select(*rows.columns, "__pid",
                           *[F.sum(s).over(w_in).alias(f"__in_{s}") for s in sums])
-    totals = blocks.groupBy(*keys).agg(*[F.sum(s).alias(f"__bt_{s}") for s in sums])
+    block_totals = blocks.groupBy(*keys).agg(*[F.sum(s).alias(f"__bt_{s}") for s in sums])
     w_off = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("__pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*group) if group else Window.partitionBy()
-    offsets = totals.select(
+    offsets = block_totals.select(
         *keys, *[F.sum(f"__bt_{s}").over(w_off).alias(f"__off_{s}") for s in sums],
         *([F.sum(f"__bt_{s}").over(w_all).alias(f"__tot_{s}") for s in sums] if totals else []))
     # Null-safe on the group so a null category keeps its rows. Without a

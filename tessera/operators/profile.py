@@ -20,11 +20,6 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    """A1 as a one-row DataFrame."""
-    return df.agg(F.count(F.lit(1)).alias("rows"))
-
-
 def null_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(column, nulls, pct) for each column in one aggregate.
 

@@ -24,7 +24,7 @@ from ..functions import scalars as H
 from ..functions import text as M
 from ..operators import clean, encode, evaluate, joins, profile, split, topk, audit
 from ..operators import text as text_ops
-from ..sources.sinks import spread_if_narrow
+from ..sources.sinks import spread_if_asked
 from ..sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,8 +36,8 @@ R = 6  # decimal places kept for doubles on both sides
 def _snap_rounding(sql: str) -> str:
     """Give every ``round(x, d)`` of an oracle string the Spark-side rounding.
 
-    ``round(x, d)`` becomes ``round(try_cast((x) as decimal(38,10)), d)::double``,
-    the same snap-then-round as ``functions.scalars.round_half_up``.
+    ``round(x, d)`` becomes ``round(try_cast((x) as decimal(38,10)), d)::double``
+    or x itself where it does not fit, as ``functions.scalars.round_half_up`` does.
     """
     out, i, key = [], 0, "round("
     while True:
@@ -62,7 +62,7 @@ def _snap_rounding(sql: str) -> str:
         inner = _snap_rounding(sql[j + len(key):comma])
         digits = sql[comma + 1:k - 1].strip()
         out.append(sql[i:j])
-        out.append(f"round(try_cast(({inner}) as decimal(38,10)), {digits})::double")
+        out.append(f"coalesce(round(try_cast(({inner}) as decimal(38,10)), {digits})::double, ({inner})::double)")
         i = k
 
 
@@ -535,24 +535,24 @@ with {_SPLIT_SQL},
 nt as (select count(*)::double as nt from tr),
 f as (select o_custkey, count(*) as n from tr group by o_custkey)
 select te.o_orderkey,
-       round(coalesce(f.n / (select nt from nt), 1.0 / (select nt from nt)), 6) as o_custkey_freq
+       coalesce(f.n / (select nt from nt), 1.0::double / (select nt from nt)) as o_custkey_freq
 from te left join f using (o_custkey)
 """)
 def freq_encode(spark, sf_dir):
     train, test = split.hash_split(_orders_xy(spark, sf_dir), "o_orderkey")
     enc = encode.fit_frequency(train, "o_custkey")
     out = enc.apply(test.select("o_orderkey", "o_custkey"), salt_by=["o_orderkey"])
-    return out.select("o_orderkey", rnd("o_custkey_freq").alias("o_custkey_freq"))
+    return out.select("o_orderkey", "o_custkey_freq")  # one division: exact, whatever the size
 
 
 @query("frequency_table", """
 with nt as (select count(*)::double as nt from documents)
-select lang, count(*) as n, round(count(*) / (select nt from nt), 6) as freq
+select lang, count(*) as n, count(*) / (select nt from nt) as freq
 from documents group by lang
 """)
 def frequency_table(spark, sf_dir):
     t = encode.frequency_table(load(spark, sf_dir, "documents", "lang"), "lang")
-    return t.select("lang", "n", rnd("freq").alias("freq"))
+    return t.select("lang", "n", "freq")
 
 
 @query("target_encode", f"""
@@ -571,32 +571,40 @@ def target_encode(spark, sf_dir):
     return out.select("o_orderkey", rnd("o_custkey_encoded").alias("o_custkey_encoded"))
 
 
+def _with_unknown_targets(spark, sf_dir):
+    """Orders whose target is null where the key is divisible by seven."""
+    return _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey",
+                                            F.when(F.col("o_orderkey") % 7 != 0, F.col("y")).alias("y"))
+
+
 @query("loo_encode", """
-with b as (select o_orderkey, o_custkey, o_totalprice / 1000.0 as y from orders),
+with b as (select o_orderkey, o_custkey, case when o_orderkey % 7 <> 0 then o_totalprice / 1000.0 end as y
+           from orders),
 mu as (select avg(y) as m from b)
 select o_orderkey,
-       round(coalesce(((sum(y) over w) - y) / nullif((count(*) over w) - 1, 0), (select m from mu)), 6)
-         as o_custkey_loo
+       round(coalesce(((sum(y) over w) - coalesce(y, 0)) / nullif((count(y) over w) - (y is not null)::int, 0),
+                      (select m from mu)), 6) as o_custkey_loo
 from b window w as (partition by o_custkey)
 """)
 def loo_encode(spark, sf_dir):
-    o = _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey", "y")
+    o = _with_unknown_targets(spark, sf_dir)
     out = encode.loo_encode(o, "o_custkey", "y", salt_by=["o_orderkey"])
     return out.select("o_orderkey", rnd("o_custkey_loo").alias("o_custkey_loo"))
 
 
 @query("kfold_encode", f"""
-with b as (select o_orderkey, o_custkey, o_totalprice / 1000.0 as y, {_bucket_sql('o_orderkey', 5)} as fold
+with b as (select o_orderkey, o_custkey, case when o_orderkey % 7 <> 0 then o_totalprice / 1000.0 end as y,
+                  {_bucket_sql('o_orderkey', 5)} as fold
            from orders),
 mu as (select avg(y) as m from b),
-c as (select o_custkey, sum(y) as s, count(*) as n from b group by o_custkey),
-cf as (select o_custkey, fold, sum(y) as s, count(*) as n from b group by o_custkey, fold)
+c as (select o_custkey, sum(y) as s, count(y) as n from b group by o_custkey),
+cf as (select o_custkey, fold, sum(y) as s, count(y) as n from b group by o_custkey, fold)
 select b.o_orderkey,
-       round(coalesce((c.s - cf.s) / nullif(c.n - cf.n, 0), (select m from mu)), 6) as o_custkey_kfold
+       round(coalesce((c.s - coalesce(cf.s, 0)) / nullif(c.n - cf.n, 0), (select m from mu)), 6) as o_custkey_kfold
 from b join c using (o_custkey) join cf using (o_custkey, fold)
 """)
 def kfold_encode(spark, sf_dir):
-    o = _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey", "y")
+    o = _with_unknown_targets(spark, sf_dir)
     out = encode.kfold_encode(o, "o_custkey", "y", key="o_orderkey", k=5)
     return out.select("o_orderkey", rnd("o_custkey_kfold").alias("o_custkey_kfold"))
 
@@ -671,7 +679,7 @@ with t as (select doc_id, unnest({_tokens_sql()}) as term from documents)
 select term, count(*) as n, count(distinct doc_id) as docs from t group by term
 """)
 def token_counts(spark, sf_dir):
-    d = spread_if_narrow(load(spark, sf_dir, "documents", "text"))
+    d = spread_if_asked(load(spark, sf_dir, "documents", "text"))
     return text_ops.term_counts(d, "text")
 
 
@@ -682,7 +690,7 @@ select term, count(*) as df, round(ln(((select m from m) + 1) / (count(*) + 1)),
 from t group by term
 """)
 def tfidf_terms(spark, sf_dir):
-    t = text_ops.idf_terms(spread_if_narrow(load(spark, sf_dir, "documents", "text")), "text")
+    t = text_ops.idf_terms(spread_if_asked(load(spark, sf_dir, "documents", "text")), "text")
     return t.select("term", "df", rnd("idf").alias("idf"))
 
 
@@ -697,7 +705,7 @@ from orders
 def money_parse(spark, sf_dir):
     o = load(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")
     money = F.concat(F.when(F.col("o_orderpriority").startswith("1"), F.lit("USD "))
-                     .otherwise(F.lit("$ ")), F.col("o_totalprice").cast("string"))
+                     .otherwise(F.lit("$ ")), F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
     m = o.select("o_orderkey", money.alias("money"))
     return m.select("o_orderkey", H.money_currency("money").alias("currency"),
                     H.money_amount("money").alias("amount"))
@@ -938,7 +946,7 @@ def _doc_spec(kind: str = "frequency", extra_numeric=()):
 def _doc_prepared(spark, sf_dir, kind: str = "frequency"):
     from .features import prepare
 
-    docs = spread_if_narrow(load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source",
+    docs = spread_if_asked(load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source",
                                  "n_chars"))
     labels = load(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     rows = clean.drop_nulls(joins.join_on_key(docs, labels, "doc_id", "inner"),
@@ -1023,16 +1031,11 @@ def worst_model_predictions(spark, sf_dir):
     return _on_prepared(spark, sf_dir, body, kind="target")
 
 
-def _grid_table(res) -> DataFrame:
-    """One row per grid point with its validation RMSE, winner flagged."""
-    return res.grid.withColumn("is_best", F.col("rmse") == res.best.select("rmse").scalar())
-
-
 @query("grid_search")
 def grid_search(spark, sf_dir):
     from . import tune
 
-    return _on_prepared(spark, sf_dir, lambda prep: _grid_table(tune.search(prep, "random_forest")))
+    return _on_prepared(spark, sf_dir, lambda prep: tune.report(tune.search(prep, "random_forest")))
 
 
 @query("feature_importances")
@@ -1040,9 +1043,7 @@ def feature_importances(spark, sf_dir):
     from . import models
 
     def body(prep):
-        fit = models.fit_all(prep, ("random_forest",))
-        imp = models.importances(fit.models["random_forest"], prep.feature_names())
-        return topk.top_importances(audit.dominance_audit(imp), 10)
+        return models.all_importances(models.fit_all(prep, models.TREE_MODELS), prep.feature_names(), 10)
     return _on_prepared(spark, sf_dir, body)
 
 
@@ -1176,14 +1177,14 @@ def approx_wide_stats(spark, sf_dir):
 def grid_search_ridge(spark, sf_dir):
     from . import tune
 
-    return _on_prepared(spark, sf_dir, lambda prep: _grid_table(tune.search(prep, "ridge")))
+    return _on_prepared(spark, sf_dir, lambda prep: tune.report(tune.search(prep, "ridge")))
 
 
 @query("grid_search_gbt")
 def grid_search_gbt(spark, sf_dir):
     from . import tune
 
-    return _on_prepared(spark, sf_dir, lambda prep: _grid_table(tune.search(prep, "gbt")))
+    return _on_prepared(spark, sf_dir, lambda prep: tune.report(tune.search(prep, "gbt")))
 
 
 # Key uniqueness as an expectation (rows whose key repeats)
@@ -1195,3 +1196,129 @@ group by l_orderkey, l_linenumber having count(*) > 1
 def key_uniqueness(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber")
     return joins.unique_keys(li, ["l_orderkey", "l_linenumber"])
+
+
+# Entry points 1 to 3 whole, over the given tables in the movie schema
+
+def _movies(spark, sf_dir):
+    """documents and labels as the movie and rating sources (names and types of the runs)."""
+    d = spread_if_asked(load(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars"))
+    o = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    o = o.select(F.col("o_orderkey").alias("k"), "o_custkey", "o_totalprice",
+                 F.year("o_orderdate").cast("string").alias("year"))
+    return d.join(o, F.col("doc_id") == F.col("k")).select(
+        F.col("doc_id").alias("imdb_title_id"), F.substring("text", 1, 40).alias("title"), "year",
+        F.col("source").alias("genre"), F.pmod("n_chars", F.lit(240)).cast("int").alias("duration"),
+        F.col("o_custkey").cast("string").alias("director"), F.col("source").alias("writer"),
+        F.concat_ws(", ", "lang", "source").alias("actors"), F.col("lang").alias("production_company"),
+        F.col("text").alias("description"), (F.col("o_totalprice") / 1000.0).alias("avg_vote"),
+        F.col("n_chars").cast("long").alias("votes"),
+        F.pmod("n_chars", F.lit(97)).cast("double").alias("reviews_from_users"),
+        F.pmod("n_chars", F.lit(31)).cast("double").alias("reviews_from_critics"))
+
+
+def _run(spark, sf_dir, config, names, part):
+    from . import runs
+
+    movies = _movies(spark, sf_dir)
+    ratings = load(spark, sf_dir, "labels", "doc_id").select(F.col("doc_id").alias("imdb_title_id"))
+    return runs.train_and_compare(movies, ratings, config, model_names=names)[part]
+
+
+@query("clean_run")
+def clean_run(spark, sf_dir):
+    """Entry point 2, clean configuration: leaderboard on a continuous label."""
+    from . import runs
+
+    return _run(spark, sf_dir, runs.CLEAN, ("ridge", "decision_tree", "random_forest"), "leaderboard")
+
+
+@query("clean_run_slots", "select 'clean' as run, 124::integer as slots")
+def clean_run_slots(spark, sf_dir):
+    from . import runs
+
+    return _run(spark, sf_dir, runs.CLEAN, ("ridge",), "slots")
+
+
+@query("target_run_slots", "select 'target_encoded' as run, 130::integer as slots")
+def target_run_slots(spark, sf_dir):
+    from . import runs
+
+    return _run(spark, sf_dir, runs.TARGET_ENCODED, ("ridge",), "slots")
+
+
+def _movie_validation(spark, sf_dir):
+    """Entry point 1 as it is called: every movie column, the year parsed strictly."""
+    from .validation import validation_report
+
+    labels = load(spark, sf_dir, "labels", "doc_id", "quality").select(
+        F.col("doc_id").alias("imdb_title_id"), F.col("quality").alias("quality"))
+    movies = _movies(spark, sf_dir)
+    # Every third year is dirty text, so the strict parse has something to refuse.
+    dirty = F.when(F.col("imdb_title_id") % 3 == 0, F.concat(F.lit("TV "), F.col("year"))).otherwise(F.col("year"))
+    return validation_report(movies.withColumn("year", dirty).drop("avg_vote"), labels, target="quality")
+
+
+_MOVIE_SQL = """
+with m as (
+  select d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality as label, o.o_custkey,
+         case when d.doc_id % 3 = 0 then 'TV ' || year(o.o_orderdate) else year(o.o_orderdate)::varchar end as year
+  from documents d join orders o on d.doc_id = o.o_orderkey left join labels l on d.doc_id = l.doc_id),
+c as (select *, try_cast(year as integer) as year_clean from m),
+k as (select *, label is not null and source is not null and source <> '' and text is not null and text <> ''
+                and n_chars is not null and year_clean is not null and concat_ws(', ', lang, source) <> '' as ok
+      from c)
+"""
+
+
+@query("validation_accounting", _MOVIE_SQL + f"""
+, a as (select count(*) as original, count(*) filter (where ok) as kept from k)
+select original, kept, original - kept as removed, {_pct_sql('original - kept', 'original')} as pct_lost,
+       {_pct_sql('kept', 'original')} as pct_usable,
+       case when kept > 10000 then 'sufficient' when kept > 5000 then 'caution'
+            else 'insufficient' end as verdict
+from a
+""")
+def validation_accounting(spark, sf_dir):
+    return _movie_validation(spark, sf_dir)["accounting"]
+
+
+@query("validation_unparsed_years", _MOVIE_SQL + """
+select count(*) filter (where year_clean is null) as unparsed from k
+""")
+def validation_unparsed_years(spark, sf_dir):
+    return _movie_validation(spark, sf_dir)["unparsed_years"]
+
+
+@query("validation_null_profile", _MOVIE_SQL + """
+, p as (select count(*) as n, count(*) filter (where label is null) as label,
+               count(*) filter (where source is null or source = '') as genre,
+               count(*) filter (where year is null or year = '') as year,
+               count(*) filter (where text is null or text = '') as description from k)
+select column_name, nulls, """ + _pct_sql("nulls", "n") + """ as pct
+from (unpivot p on label, genre, year, description into name column_name value nulls)
+""")
+def validation_null_profile(spark, sf_dir):
+    return _movie_validation(spark, sf_dir)["null_profile"].filter(
+        F.col("column_name").isin("label", "genre", "year", "description"))
+
+
+@query("validation_label_summary", _MOVIE_SQL + """
+select count(*) as count, round(avg(label), 4) as mean, round(stddev_samp(label), 4) as stddev,
+       min(label)::double as min, max(label)::double as max
+from k where ok
+""")
+def validation_label_summary(spark, sf_dir):
+    d = _movie_validation(spark, sf_dir)["label_summary"]
+    return d.select("count", rnd("mean", 4).alias("mean"), rnd("stddev", 4).alias("stddev"), "min", "max")
+
+
+@query("plausible_years", """
+select doc_id, case when y between 1870 and 2100 then y end as year
+from (select doc_id, try_cast(regexp_replace(source || doc_id, '[^0-9]', '', 'g') as integer) as y from documents)
+""")
+def plausible_years(spark, sf_dir):
+    """H1 with the D14 range check."""
+    d = load(spark, sf_dir, "documents", "doc_id", "source")
+    text = F.concat("source", F.col("doc_id").cast("string"))
+    return d.select("doc_id", H.in_range(H.year_digits(text)).alias("year"))

@@ -51,6 +51,10 @@ class FeatureSpec:
     smoothing: float = encode.SMOOTHING
     text_features: int = TEXT_FEATURES
     hash_features: int = HASH_FEATURES
+    # Partitions of the tables that the fits read; a part of the result (see
+    # ``_placed``), so a stated number and not taken from the cluster. For a
+    # large table use about one per 100,000 rows.
+    fit_partitions: int = 8
 
     def encoded_names(self) -> list[str]:
         return [c + ("_freq" if kind == "frequency" else "_encoded") for c, kind in self.encoders]
@@ -73,13 +77,16 @@ def encode_train_test(train: DataFrame, test: DataFrame, spec: FeatureSpec):
         top = encode.fit_top_n(train, c, spec.top_n)
         train = encode.reduce_cardinality(train, c, top, n=spec.top_n)
         test = encode.reduce_cardinality(test, c, top, n=spec.top_n)
+    # Every encoder is fitted on the base rows; only then are they applied.
+    fitted = []
     for c, kind in spec.encoders:
         if kind == "frequency":
-            enc = encode.fit_frequency(train, c)
+            fitted.append(encode.fit_frequency(train, c))
         elif kind == "target":
-            enc = encode.fit_target(train, c, spec.label, spec.smoothing)
+            fitted.append(encode.fit_target(train, c, spec.label, spec.smoothing))
         else:
             raise ValueError(f"unknown encoder {kind!r}")
+    for enc in fitted:
         train = enc.apply(train, salt_by=[spec.key])
         test = enc.apply(test, salt_by=[spec.key])
     return train, test
@@ -176,29 +183,20 @@ def prepare(train: DataFrame, test: DataFrame, spec: FeatureSpec,
     tr = post.transform(train_t).select(*keep)
     te = post.transform(test_t).select(*keep)
     if checkpoint:
-        tr, te = cached(_sized(tr, train_t)), cached(_sized(te, test_t))
+        tr, te = cached(_placed(tr, spec)), cached(_placed(te, spec))
         tr.count(), te.count()
     return Prepared(tr, te, model, spec)
 
 
-# Rows of assembled feature vectors per partition of the cached tables
-# (about 100 MB at a thousand dense slots), and how many fits may run at
-# once on them (the grid search's parallelism, ``tune.PARALLELISM``).
-FEATURE_ROWS_PER_PARTITION = 100_000
+# How many fits may run at once on the tables (the grid search's parallelism).
 CONCURRENT_FITS = 4
 
 
-def _sized(df: DataFrame, checkpointed: DataFrame) -> DataFrame:
-    """Fewer partitions for a small feature table; never more, never a shuffle.
+def _placed(df: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """Rows dealt by key into ``spec.fit_partitions`` partitions, in key order.
 
-    Iterative fits (trees level by level, SGD, L-BFGS) run one job per
-    step, and each step pays per task: a few thousand rows spread over many
-    partitions make every step slower. The row count is read from the
-    checkpoint. The floor is the task slots over the fits that may run at
-    once, so concurrent grid fits still fill the cores. A large table keeps
-    its partitions (the target exceeds them).
+    Bagging, mini-batches and the inner train/validation split draw random
+    numbers per partition and row. With partitions and their order fixed by
+    the key, a fit repeats on any cluster; only ``fit_partitions`` matters.
     """
-    rows = checkpointed.count()
-    floor = max(1, df.sparkSession.sparkContext.defaultParallelism // CONCURRENT_FITS)
-    target = max(floor, -(-rows // FEATURE_ROWS_PER_PARTITION))
-    return df.coalesce(target) if target < df.rdd.getNumPartitions() else df
+    return df.repartition(spec.fit_partitions, spec.key).sortWithinPartitions(spec.key)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor,
                                    GeneralizedLinearRegression, IsotonicRegression,
                                    LinearRegression, RandomForestRegressor)
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BLEND_WEIGHTS, blend
-from ..operators import evaluate
+from ..operators import audit, evaluate, topk
 from .features import Prepared
 
 SEED = 42
@@ -32,6 +33,8 @@ class ModelSpec:
     params: dict = field(default_factory=dict)
 
 
+# The parameters of each regressor in the builders below.
+
 def _ridge(elastic: float):
     def build(fc, lc, pc, **kw):
         return LinearRegression(featuresCol=fc, labelCol=lc, predictionCol=pc, maxIter=100,
@@ -76,6 +79,27 @@ def _isotonic(feature_index: int):
     return build
 
 
+# Equal-width bins of the isotonic feature: the pooling step gathers its points
+# on the driver, so their number is bounded here.
+ISOTONIC_BINS = 100_000
+
+
+def isotonic_points(train: DataFrame, feature_index: int, label: str) -> DataFrame:
+    """K8's input: per bin of the feature its mean value, mean label and row count.
+
+    Weighted points give the same fit as the rows where a bin holds one value.
+    The feature column keeps its name, so the fitted model scores vectors.
+    """
+    x = vector_to_array("scaled_features")[feature_index]
+    rows = train.select(x.alias("x"), F.col(label).alias("y"))
+    span = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    lo, width = span["lo"] or 0.0, ((span["hi"] or 0.0) - (span["lo"] or 0.0)) / ISOTONIC_BINS
+    at = F.floor((F.col("x") - lo) / width) if width > 0 else F.lit(0)
+    return rows.groupBy(at.alias("bin")).agg(
+        F.avg("x").alias("scaled_features"), F.avg("y").alias(label),
+        F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def _glm(fc, lc, pc, **kw):
     return GeneralizedLinearRegression(featuresCol=fc, labelCol=lc, predictionCol=pc,
                                        family="gaussian", link="identity", maxIter=100,
@@ -128,7 +152,11 @@ def fit_all(prep: Prepared, names=CLEAN_RUN, specs: dict | None = None,
     for name in names:
         est = specs[name].build("scaled_features", label, "prediction", **overrides.get(name, {}))
         t0 = time.perf_counter()
-        models[name] = est.fit(prep.train)
+        if isinstance(est, IsotonicRegression):
+            est = est.setWeightCol("weight")
+            models[name] = est.fit(isotonic_points(prep.train, est.getFeatureIndex(), label))
+        else:
+            models[name] = est.fit(prep.train)
         seconds[name] = time.perf_counter() - t0
         preds.append(models[name].transform(prep.test)
                      .select(F.lit(name).alias("model"), key, label, "prediction"))
@@ -166,6 +194,19 @@ def importances(model, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+TREE_MODELS = ("random_forest", "decision_tree", "gbt")
+
+
+def all_importances(fit: FitResult, names: list[str], k: int) -> DataFrame:
+    """L2 + T3 + X5: the k largest importances of every fitted tree model, audited."""
+    out = None
+    for name in (n for n in TREE_MODELS if n in fit.models):
+        top = topk.top_importances(audit.dominance_audit(importances(fit.models[name], names)), k)
+        top = top.select(F.lit(name).alias("model"), "*")
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 def report(fit: FitResult) -> DataFrame:
     """L3 + L5 + T4: leaderboard with minutes and the R2 verdict."""
     lb = evaluate.leaderboard(fit.board)

@@ -36,11 +36,14 @@ SHUFFLE_BYTES_PER_PARTITION = 1 << 30
 MAX_SHUFFLE_PARTITIONS = 100_000
 
 
-def scale_conf(input_bytes: int, cores: int) -> dict[str, str]:
+def scale_conf(input_bytes: int, cores: int,
+               max_partitions: int = MAX_SHUFFLE_PARTITIONS) -> dict[str, str]:
     """Partition settings for reading ``input_bytes`` on ``cores`` task slots.
 
     Scans split at 512 MB. The initial shuffle width is one partition per GB
-    of input (at least two per core, at most 100,000): the widest shuffles
+    of input (at least two per core, at most ``max_partitions``, because map
+    statuses on the driver grow with maps x reducers; beyond it the initial
+    partitions grow past 1 GB and spill, nothing is dropped): the widest shuffles
     here carry projected columns after map-side partial aggregation, well
     under the input size, and AQE coalesces every shuffle toward 256 MB
     reducers and splits join partitions over 1 GB. The salted lookup sizes
@@ -48,7 +51,7 @@ def scale_conf(input_bytes: int, cores: int) -> dict[str, str]:
     100 TB on 8,000 cores: 204,800 scan tasks, 100,000 shuffle partitions.
     """
     width = -(-input_bytes // SHUFFLE_BYTES_PER_PARTITION)
-    partitions = max(2 * cores, min(MAX_SHUFFLE_PARTITIONS, width))
+    partitions = max(2 * cores, min(max_partitions, width))
     return {
         "spark.sql.files.maxPartitionBytes": str(SCAN_SPLIT_BYTES),
         "spark.sql.shuffle.partitions": str(partitions),

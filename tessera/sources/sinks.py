@@ -34,22 +34,16 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return df.repartition(n)
 
 
-def spread_if_narrow(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """S8 before heavy per-row work (tokenising whole texts) on a narrow scan.
-
-    A parquet file with one large row group is read by one task however it
-    is split. When ``df`` is a plain scan (no exchange in its plan) with
-    fewer splits than the session's parallelism, its rows are dealt
-    round-robin over that many partitions first; the shuffle moves the
-    input once so the expensive work runs on every core. A large input
-    already has more splits than cores and is returned unchanged, as is any
-    plan with an exchange (AQE sizes those partitions itself).
-    """
-    try:
-        n = partitions or df.sparkSession.sparkContext.defaultParallelism
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        splits = None if "Exchange" in plan else df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): leave as is
-        return df
-    return df.repartition(n) if splits is not None and splits < n else df
+#: Session setting that names the width text-heavy queries are spread to.
+SPREAD_CONF = "spark.tessera.spreadPartitions"
+
 
+def spread_if_asked(df: DataFrame) -> DataFrame:
+    """S8 before heavy per-row work on a table stored as a few large row groups.
+
+    Only where the session sets ``SPREAD_CONF``: then rows are dealt
+    round-robin over that many partitions. A table with many splits needs no
+    shuffle, so by default there is none. Never changes the rows.
+    """
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n)) if n else df

@@ -27,9 +27,3 @@ def table_path(sf_dir: str, name: str) -> str:
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Expose the tables to ``spark.sql`` under their own names."""
-    for name in names:
-        load(spark, sf_dir, name).createOrReplaceTempView(name)

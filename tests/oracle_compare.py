@@ -35,7 +35,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 5)
+        return v + 0.0
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):

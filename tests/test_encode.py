@@ -104,7 +104,7 @@ def test_time_encode_matches_brute_force_under_skew(spark):
 def test_lookup_salted_keeps_every_row_once(spark):
     df = _skewed(spark)
     table = df.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"))
-    out = joins.lookup(df, table, "c", count_col="n", salt_by=["id"], hot_keys=4, salt_buckets=8)
+    out = joins.lookup(df, table, "c", count_col="n", salt_by=["id"], salt_buckets=8)
     assert out.count() == df.count()
     assert out.select("id").distinct().count() == df.count()
     pd_out = out.toPandas()

@@ -18,17 +18,14 @@ def test_checkpoint_dir_is_reliable_and_reused(spark):
     assert a and ensure_checkpoint_dir(spark) == a
 
 
-def test_spread_if_narrow_only_touches_narrow_scans(spark):
-    from tessera.sources.sinks import spread_if_narrow
-
-    one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")  # one row group
-    n = spark.sparkContext.defaultParallelism
-    if one.rdd.getNumPartitions() < n:
-        spread = spread_if_narrow(one)
-        assert spread.rdd.getNumPartitions() == n
-        assert sorted(spread.select("doc_id").toPandas().doc_id) == \
-            sorted(one.select("doc_id").toPandas().doc_id)
-    wide = spark.range(0, 1000, numPartitions=n * 2)
-    assert spread_if_narrow(wide) is wide
-    shuffled = one.groupBy("lang").count()
-    assert spread_if_narrow(shuffled) is shuffled
+def test_spread_only_where_asked(spark):
+    from tessera.sources.sinks import SPREAD_CONF, spread_if_asked
+
+    one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert spread_if_asked(one) is one
+    spark.conf.set(SPREAD_CONF, "3")
+    try:
+        assert spread_if_asked(one).rdd.getNumPartitions() == 3
+        assert spread_if_asked(one).count() == one.count()
+    finally:
+        spark.conf.unset(SPREAD_CONF)
