@@ -1322,3 +1322,12 @@ def plausible_years(spark, sf_dir):
     d = load(spark, sf_dir, "documents", "doc_id", "source")
     text = F.concat("source", F.col("doc_id").cast("string"))
     return d.select("doc_id", H.in_range(H.year_digits(text)).alias("year"))
+
+
+@query("surrogate_keys", """
+select source, count(*) as n, count(*) as distinct_ids from documents group by source
+""")
+def surrogate_keys(spark, sf_dir):
+    """A row number that is unique within the plan that makes it."""
+    d = load(spark, sf_dir, "documents", "source").withColumn("row_id", H.row_id())
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("distinct_ids"))
