@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_CHARS = 6_000_000
-CACHE_WORDS = 400_000
+BLOCK_CHARS = 2_000_000
+CACHE_WORDS = 250_000
 CACHE_WORD_CHARS = 64
 
 _NONE = np.int64(1 << 40)  # "this pair does not merge"
@@ -227,17 +227,24 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
         yield start, texts
 
 
-def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def _unpack(bytes_of: dict[int, bytes], ids: bytes) -> bytes:
+    return b"".join([bytes_of[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+
+def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", out: str = "ids",
+           decoded: str | None = None) -> DataFrame:
     """``df`` without ``text`` and with ``out``: packed ids (little-endian unsigned 32 bits).
 
     Null and empty texts give empty ids. Other columns, nulls and repeated
     rows pass through; a column already named ``out`` is replaced. The rank
-    file (bounded by the vocabulary) is read on the driver and broadcast.
+    file (bounded by the vocabulary) is read on the driver and broadcast. With
+    ``decoded`` the ids are decoded again in the same pass, into that column.
     """
     with open(rank_path, "rb") as f:
         ranks = df.sparkSession.sparkContext.broadcast(f.read())
-    keep = [c for c in df.columns if c not in (text, out)]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.BinaryType())])
+    keep = [c for c in df.columns if c not in (text, out, decoded)]
+    names = [*keep, out, *([decoded] if decoded else [])]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(c, T.BinaryType()) for c in names[len(keep):]])
 
     def run(batches):
         merges, split = _merges(ranks.value), regex.compile(pattern)
@@ -246,8 +253,10 @@ def encode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", out:
             for start, texts in _blocks(column):
                 ids = encode_block(merges, split, texts)
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(keep)], pa.array(ids, pa.binary())], names=[*keep, out])
+                columns = [*part.columns[:len(keep)], pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([_unpack(merges.bytes_of, x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.select(*keep, text).mapInArrow(run, schema)
 
@@ -263,8 +272,7 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids", out: str = "decoded"
     def run(batches):
         bytes_of = _merges(ranks.value).bytes_of
         for batch in batches:
-            texts = [b"".join([bytes_of[i] for i in np.frombuffer(x.as_py() or b"", "<u4").tolist()])
-                     for x in batch.column(at)]
+            texts = [_unpack(bytes_of, x.as_py() or b"") for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*keep, out])
 
     return df.select(*keep).mapInArrow(run, schema)
@@ -279,8 +287,8 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(RANK_FILE)
-    ids = encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, out="__ids")
-    both = decode(ids, path, ids="__ids", out="__decoded")
+    # One pass, so a task needs one Python worker and one copy of the tables.
+    both = encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, out="__ids", decoded="__decoded")
     return both.select("doc_id", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
 
