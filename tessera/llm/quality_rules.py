@@ -3,8 +3,13 @@
 Two layers. The base layer is fixed: enough words, not mostly repeated
 phrases. The adaptive layer compares a document's symbol share, duplicate-line
 share and mean word length with fences taken from quantile sketches of its own
-(language, source) group: third quartile + ``SPREAD`` x interquartile range +
-a documented slack (and the mirrored lower fence for word length).
+(language, source) group: third quartile + ``SPREAD`` x spread, and for word
+length, on the log scale, the mirrored lower fence too. The spread is the
+interquartile range, or how far the mean lies above the third quartile where
+that is more (most documents of a group have no symbol and no repeated line);
+``SLACK`` is the least. A share is judged as a count out of the document's
+letters or lines: it may pass the fence by one standard deviation of such a
+count, and a single symbol or repeated line never decides.
 
 Sketches are KLL sketches, aggregated map-side, so a source with a third of
 all rows is pre-aggregated before any shuffle. Group sketches are merged into
@@ -25,10 +30,10 @@ from .common import SPACES, split_words, stored
 
 #: Base layer.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Adaptive layer: interquartile ranges beyond the quartile, and slack per
-#: feature so that a group without any spread still tolerates small values.
+#: Adaptive layer: spreads beyond the quartile, and the least spread per
+#: feature. Shares need none; that of the word length is on the log scale.
 SPREAD = 3.0
-SLACK = {"symbol_share": 0.03, "dup_share": 0.5, "word_len": 6.0}
+SLACK = {"symbol_share": 0.0, "dup_share": 0.0, "word_len": 0.2}
 #: Groups below this many documents use their language's merged sketch.
 MIN_GROUP = 50
 #: KLL accuracy parameter (rank error about 0.7 %).
@@ -47,7 +52,7 @@ def _cheap(df: DataFrame, text: str) -> DataFrame:
     d = d.withColumn("__dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     return (d.withColumn("__symbol_share", F.try_divide(F.col("__n_symbols"), F.col("__word_chars")))
             .withColumn("__dup_share", F.try_divide(F.col("__dup_lines"), F.size("__lines")))
-            .withColumn("__word_len", F.try_divide(F.col("__word_chars"), F.col("__n_words"))))
+            .withColumn("__word_len", F.ln(F.try_divide(F.col("__word_chars"), F.col("__n_words")))))
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -90,20 +95,32 @@ def fences(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
                            F.col(text).alias("__text")), "__text").filter("__n_words > 0")
     group = d.groupBy("__lang", "__source").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.kll_sketch_agg_double(F.col(f"__{f}"), F.lit(SKETCH_K)).alias(f) for f in _FEATURES])
+        *[F.kll_sketch_agg_double(F.col(f"__{f}"), F.lit(SKETCH_K)).alias(f) for f in _FEATURES],
+        *[F.sum(f"__{f}").alias(f"sum_{f}") for f in _FEATURES])
     group = stored(group, "quality-sketches")
     language = group.groupBy(F.col("__lang").alias("__l")).agg(
-        *[F.kll_merge_agg_double(F.col(f), F.lit(SKETCH_K)).alias(f"l_{f}") for f in _FEATURES])
+        F.sum("n").alias("l_n"),
+        *[F.kll_merge_agg_double(F.col(f), F.lit(SKETCH_K)).alias(f"l_{f}") for f in _FEATURES],
+        *[F.sum(f"sum_{f}").alias(f"l_sum_{f}") for f in _FEATURES])
     g = group.join(language, F.col("__lang").eqNullSafe(F.col("__l")))
     out = []
     for f in _FEATURES:
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(f)).otherwise(F.col(f"l_{f}"))
+        own = F.col("n") >= MIN_GROUP
+        sketch = F.when(own, F.col(f)).otherwise(F.col(f"l_{f}"))
+        mean = F.when(own, F.col(f"sum_{f}") / F.col("n")).otherwise(F.col(f"l_sum_{f}") / F.col("l_n"))
         lo, hi = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        out += [(hi + F.lit(SPREAD) * (hi - lo) + SLACK[f]).alias(f"__max_{f}"),
-                (lo - F.lit(SPREAD) * (hi - lo) - SLACK[f]).alias(f"__min_{f}")]
+        spread = F.greatest(hi - lo, F.lit(SLACK[f]), *([] if f == "word_len" else [mean - hi]))
+        out += [(hi + F.lit(SPREAD) * spread).alias(f"__max_{f}"), (lo - F.lit(SPREAD) * spread).alias(f"__min_{f}")]
     return stored(g.select("__lang", "__source", *out), "quality-fences")
 
 
+def _above(count: Column, size: Column, fence: Column) -> Column:
+    """Whether a count out of ``size`` is more than the fence, one deviation of such a count and one explain."""
+    usual = fence * size
+    return F.coalesce(count > F.greatest(F.lit(1.0), usual + F.sqrt(usual * F.greatest(F.lit(0.0), 1 - fence))),
+                      F.lit(False))
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
           out: str = "rules") -> DataFrame:
     """All rows and columns of ``docs`` plus a struct column ``out``.
@@ -119,8 +136,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     d = d.join(table, F.col(lang).eqNullSafe(F.col("__fl")) & F.col(source).eqNullSafe(F.col("__fs")), "left")
     base_failed = (F.col("__n_words") < MIN_WORDS) | (
         100 * F.col("__n_repeat") > MAX_REPEAT_PERCENT * F.col("__n_words"))
-    outlier = (F.coalesce(F.col("__symbol_share") > F.col("__max_symbol_share"), F.lit(False))
-               | F.coalesce(F.col("__dup_share") > F.col("__max_dup_share"), F.lit(False))
+    outlier = (_above(F.col("__n_symbols"), F.col("__word_chars"), F.col("__max_symbol_share"))
+               | _above(F.col("__dup_lines"), F.size("__lines"), F.col("__max_dup_share"))
                | F.coalesce(F.col("__word_len") > F.col("__max_word_len"), F.lit(False))
                | F.coalesce(F.col("__word_len") < F.col("__min_word_len"), F.lit(False)))
     verdict = F.struct(

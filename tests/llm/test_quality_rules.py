@@ -66,3 +66,35 @@ def test_sketch_quartiles_are_close(spark):
     shares = sorted((k % 100) / (1 + k % 100) for k in range(20_000))
     lo, hi = shares[5000], shares[15000]
     assert abs(f["__max_symbol_share"] - (hi + Q.SPREAD * (hi - lo) + Q.SLACK["symbol_share"])) < 0.1
+
+
+def test_short_words_and_half_duplicate_lines_are_rejected(spark):
+    def words(i, n=60):
+        return [f"word{i * 7 + k}" for k in range(n)]
+
+    def lines(i, n=20):
+        return [" ".join(words(i * 100 + k, 3)) for k in range(n)]
+
+    clean = [(i, "\n".join(lines(i)), "en", f"s{i % 3}") for i in range(300)]
+    # One repeated line, one symbol and somewhat shorter words are nothing unusual.
+    clean += [(500 + i, "\n".join(lines(i) + ["the end"] * 2 + ["a & b"]), "en", f"s{i % 3}") for i in range(9)]
+    clean += [(520 + i, " ".join(w[1:] for w in words(i + 300)), "en", f"s{i % 3}") for i in range(9)]
+    soup = [(1000 + i, " ".join(chr(97 + (i + k * k) % 26) + (str(k) if k % 9 == 0 else "") for k in range(60)), "en",
+             f"s{i % 3}") for i in range(9)]
+    # Lines of three words repeat at a distance, so no five-word window does.
+    half = [(2000 + i, "\n".join(lines(i, 10) + lines(i, 10)[::-2] + lines(i, 10)[::-2]), "en", f"s{i % 3}")
+            for i in range(9)]
+    df = spark.createDataFrame(clean + soup + half, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["rules"] for r in Q.judge(df, out="rules").select("doc_id", "rules").collect()}
+    assert {k for k, r in got.items() if r["kept"]} == {r[0] for r in clean}
+
+
+def test_half_duplicates_fail_the_adaptive_layer_alone(spark):
+    clean = [(i, "\n".join(f"line{i} text{k} words{i * k}" for k in range(20)), "en", "s") for i in range(100)]
+    # Every line twice, words apart: windows that repeat are too few for the base layer.
+    half = [(1000 + i, "\n".join(x for k in range(10) for x in (f"same{k}", f"own{i} a{k} b{k} c{k} d{k} e{k}", f"same{k}",
+                                                               f"same{k}")), "en", "s") for i in range(10)]
+    df = spark.createDataFrame(clean + half, "doc_id long, text string, lang string, source string")
+    rows = Q.judge(df, out="rules").select("doc_id", "rules.*").collect()
+    assert not any(r["base_failed"] for r in rows)
+    assert {r["doc_id"] for r in rows if r["kept"]} == {r[0] for r in clean}
