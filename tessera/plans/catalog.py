@@ -1227,10 +1227,10 @@ def _run(spark, sf_dir, config, names, part):
 
 @query("clean_run")
 def clean_run(spark, sf_dir):
-    """Entry point 2, clean configuration: leaderboard on a continuous label."""
-    from . import runs
+    """Entry point 2, clean configuration: leaderboard of all its models on a continuous label."""
+    from . import models, runs
 
-    return _run(spark, sf_dir, runs.CLEAN, ("ridge", "decision_tree", "random_forest"), "leaderboard")
+    return _run(spark, sf_dir, runs.CLEAN, models.CLEAN_RUN, "leaderboard")
 
 
 @query("clean_run_slots", "select 'clean' as run, 124::integer as slots")
