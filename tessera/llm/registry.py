@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_extract, language_id, quality_rules, sharding, simhash, suffix_dedup, toxicity, url_filters
+from . import (
+    bpe, collocations, decontamination, html_extract, language_id, neighbours, quality_rules, sharding, simhash,
+    suffix_dedup, toxicity, url_filters, whitening,
+)
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -15,5 +18,11 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_decontamination": decontamination.query,
     "op10_language_id": language_id.query,
+    "op11_nearest_neighbours": neighbours.query,
+    "op12_whitening": whitening.query,
+    "op13_collocations": collocations.query,
+}
+ORACLE = {
+    "op3_url_filters": url_filters.ORACLE, "op9_decontamination": decontamination.ORACLE,
+    "op11_nearest_neighbours": neighbours.ORACLE, "op13_collocations": collocations.ORACLE,
 }
-ORACLE = {"op3_url_filters": url_filters.ORACLE, "op9_decontamination": decontamination.ORACLE}
