@@ -19,9 +19,9 @@
    that share a hash only make a sum larger, so no frequent phrase is lost. With those
    bits shards extend what can be frequent to three words (on the left) and four (on
    the right), where every two neighbouring words must be able to be, and ask again.
-4. *Sum.* Shards send the text and count of each phrase whose bit is set;
-   a grouped sum gives exact counts, and those under ``least`` go. What shares a
-   hash is told apart here, so hashes never decide a result.
+4. *Sum.* Shards send the text and count of each phrase whose bit is set, packed by
+   language and bucket; grouped sums by text are exact, and those under ``least`` go.
+   What shares a hash is told apart here, so hashes never decide a result.
 
 A word or phrase that fills a third of all texts is one entry a shard. A bucket gets
 about ``BUCKET_WORDS`` entries, dealt by hash. Nothing is collected to the driver but the
@@ -46,7 +46,9 @@ LEAST, LONGEST, HELD_PERCENT, SCORE_SCALE, TOP = 30, 4, 80, 2_000_000, 2000
 #: Bytes that end a piece, and bytes that separate words in one.
 PIECE_ENDS, WORD_GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Words of a shard, bytes split into words at once, words' entries in a bucket on average.
-SHARD_WORDS, SPLIT_BYTES, BUCKET_WORDS = 1_500_000, 1 << 20, 1_000_000
+SHARD_WORDS, SPLIT_BYTES, BUCKET_WORDS = 1_000_000, 1 << 20, 1_000_000
+#: Groups in which a language's phrases are ranked before they are ranked together.
+RANK_GROUPS = 64
 #: Bits of a phrase's hash that are sent.
 HASH_BITS = 64
 #: Bits of a word's number for which three numbers sort as one.
@@ -64,6 +66,8 @@ class _Gather:
     def __init__(self):
         self.known: dict[bytes, int] = {b".": 0}
         self.parts, self.size = [np.zeros(1, np.int32)], 0
+        self.waiting: list[bytes] = []
+        self.bytes = 0
 
     def add(self, piece: bytes) -> None:
         """Folded bytes in which each "." stands alone between spaces and ends a piece."""
@@ -115,27 +119,30 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
                  pa.array([numbers], pa.binary()), pa.array([words], pa.binary())],
                 names=["shard", "lang", "n_words", "numbers", "words"])
 
+        def split_up(language):
+            gather = held[language]
+            texts, gather.waiting, gather.bytes = gather.waiting, [], 0
+            for portion in _splits(b".".join(texts) + b".", split):
+                gather = held.setdefault(language, _Gather())
+                gather.add(portion)
+                # Between two texts a shard can end anywhere, within one only after a piece.
+                if gather.size >= full and portion.endswith(b"."):
+                    yield emit(language)
+            if language in held and held[language].size >= full:
+                yield emit(language)
+
         for batch in batches:
-            by: dict[str, list[bytes]] = {}
-            for language, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if one:
-                    by.setdefault(language, []).append(one.encode("utf-8"))
-            for language, texts in by.items():
-                waiting, size = [], 0
-                for k, one in enumerate(texts):
-                    waiting.append(one)
-                    size += len(one)
-                    if size < split and k + 1 < len(texts):
-                        continue
-                    for portion in _splits(b".".join(waiting) + b".", split):
-                        gather = held.setdefault(language, _Gather())
-                        gather.add(portion)
-                        # Between two texts a shard can end anywhere, within one only after a piece.
-                        if gather.size >= full and portion.endswith(b"."):
-                            yield emit(language)
-                    waiting, size = [], 0
-                    if language in held and held[language].size >= full:
-                        yield emit(language)
+            texts = batch.column(1).cast(pa.binary())
+            for language, one in zip(batch.column(0).to_pylist(), texts, strict=True):
+                if not one.is_valid:
+                    continue
+                gather = held.setdefault(language, _Gather())
+                gather.waiting.append(one.as_py())
+                gather.bytes += len(gather.waiting[-1])
+                if gather.bytes >= split:
+                    yield from split_up(language)
+        for language in list(held):
+            yield from split_up(language)
         for language in list(held):
             yield emit(language)
 
@@ -308,17 +315,22 @@ def _marks(sent: DataFrame, least: int) -> DataFrame:
     return answers.groupBy("shard").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("marks"))
 
 
-def _sent(keys: np.ndarray, counts: np.ndarray, shard: str, buckets: int, least: int):
-    """Hashes and counts (up to ``least``) of a shard's phrases, a row a bucket."""
+def _by_bucket(keys: np.ndarray, buckets: int):
+    """(bucket, places of its keys in their order) of every bucket that has keys."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    bucket, keys = bucket[order], keys[order]
-    counts = np.minimum(counts[order], least).astype(np.uint8)
-    cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
-    for a, b in zip([0, *cuts], [*cuts, len(bucket)], strict=True) if len(bucket) else ():
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for at in np.split(order, cuts) if len(order) else ():
+        yield bucket[at[0]], at
+
+
+def _sent(keys: np.ndarray, counts: np.ndarray, shard: str, buckets: int, least: int):
+    """Hashes and counts (up to ``least``) of a shard's phrases, a row a bucket."""
+    counts = np.minimum(counts, least).astype(np.uint8)
+    for bucket, at in _by_bucket(keys, buckets):
         yield pa.RecordBatch.from_arrays(
-            [pa.array([bucket[a]], pa.int64()), pa.array([shard]), pa.array([keys[a:b].tobytes()], pa.binary()),
-             pa.array([counts[a:b].tobytes()], pa.binary())], names=["bucket", "shard", "keys", "counts"])
+            [pa.array([bucket], pa.int64()), pa.array([shard]), pa.array([keys[at].tobytes()], pa.binary()),
+             pa.array([counts[at].tobytes()], pa.binary())], names=["bucket", "shard", "keys", "counts"])
 
 
 _SENT = "bucket long, shard string, keys binary, counts binary"
@@ -357,26 +369,40 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     def texts(batches):
         for row in _rows(batches):
             shard = Shard(row["lang"], row["numbers"], row["words"], bits)
-            columns, counts = shard.low()
-            marks = _bits(row["marks"], shard.keys(columns), buckets)
-            longer, more = shard.high(marks)
-            again = _bits(row["more"], shard.keys(longer), buckets)
-            for cols, n, keep in ((columns, counts, marks), (longer, more, again)):
-                cols, n = [c[keep] for c in cols], n[keep]
-                words = sum((c > 0).astype(np.int32) for c in cols)
-                for at in range(0, len(n), 1 << 16):
-                    part = slice(at, at + (1 << 16))
-                    found = shard.texts([c[part] for c in cols])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["lang"]] * len(found), pa.string()), pa.array(words[part]), found,
-                         pa.array(n[part].astype(np.int64))], names=["lang", "words", "phrase", "count"])
+            low_columns, low_counts = shard.low()
+            low_keys = shard.keys(low_columns)
+            marks = _bits(row["marks"], low_keys, buckets)
+            columns, counts = shard.high(marks)
+            keys = shard.keys(columns)
+            more = _bits(row["more"], keys, buckets)
+            none = np.zeros(int(marks.sum()), np.int64)
+            columns = [np.concatenate([low_columns[k][marks] if k < 2 else none, c[more]]) for k, c in enumerate(columns)]
+            counts, keys = np.concatenate([low_counts[marks], counts[more]]), np.concatenate([low_keys[marks], keys[more]])
+            found = shard.texts(columns)
+            for bucket, at in _by_bucket(keys, buckets):
+                whole = pa.array([0, len(at)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["lang"]], pa.string()), pa.array([bucket], pa.int64()),
+                     pa.ListArray.from_arrays(whole, found.take(pa.array(at))),
+                     pa.ListArray.from_arrays(whole, pa.array(counts[at].astype(np.int64)))],
+                    names=["lang", "bucket", "phrases", "counts"])
+
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        flat = pa.table({"phrase": pc.list_flatten(table.column("phrases")), "count": pc.list_flatten(table.column("counts"))})
+        sums = flat.group_by("phrase").aggregate([("count", "sum")])
+        sums = sums.filter(pc.greater_equal(sums.column("count_sum"), least))
+        words = pc.add(pc.count_substring(sums.column("phrase"), " "), 1).cast(pa.int32())
+        lang = pa.array([key[0].as_py()] * len(sums), pa.string())
+        return pa.table([lang, words, sums.column("phrase"), sums.column("count_sum")],
+                        names=["lang", "words", "phrase", "count"])
 
     kinds = "shard", "lang", "numbers", "words"
     marks = stored(_marks(made.select(*kinds).mapInArrow(low, _SENT), least), "marks")
     marked = made.select(*kinds).join(marks, "shard")
     more = _marks(marked.mapInArrow(high, _SENT), least).withColumnRenamed("marks", "more")
-    sums = (marked.join(more, "shard", "left").mapInArrow(texts, "lang string, words int, phrase string, count long")
-            .groupBy("lang", "words", "phrase").agg(F.sum("count").alias("count")).filter(F.col("count") >= least))
+    sent = marked.join(more, "shard", "left").mapInArrow(
+        texts, "lang string, bucket long, phrases array<string>, counts array<long>")
+    sums = sent.groupBy("lang", "bucket").applyInArrow(add, "lang string, words int, phrase string, count long")
     return stored(sums, "phrases"), made.groupBy("lang").agg(F.sum("n_words").alias("n"))
 
 
@@ -414,8 +440,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     kept = best.join(held, ["lang", "phrase"], "left").filter(
         F.expr(f"held is null or cast(100 as decimal(10,0)) * held < cast({HELD_PERCENT} as decimal(10,0)) * a"))
     kept = kept.select("lang", "phrase", "a", "b.l", "b.r", "b.score", "b.cut", "held")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    # Each of a language's groups keeps its first ones, so ranking a language takes a bounded number of rows.
+    group = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_GROUPS))).orderBy(*order)
+    first = kept.withColumn("rank", F.row_number().over(group)).filter(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.join(F.broadcast(totals), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "cut", "held")
 
