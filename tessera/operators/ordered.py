@@ -1,9 +1,8 @@
-"""Distributed running sums over an ordered key, and exact quantiles on top.
+"""Distributed running sums over an ordered key.
 
-Spark's exact ``percentile`` merges a map of every distinct value in one
-final task, and a window ordered over a whole group runs that group in one
-task. Both break when one group or value holds a large share of the rows.
-The helpers here are the textbook two-level scan instead:
+A window ordered over a whole group runs that group in one task, which breaks
+when one group holds a large share of the rows. The helper here is the textbook
+two-level scan instead:
 
 1. pre-aggregate to one row per (group, order value) - repeated values, the
    usual source of skew, collapse to one row with a count;
@@ -13,29 +12,28 @@ The helpers here are the textbook two-level scan instead:
    same blocks), take running sums inside each (partition, group) block;
 4. add, per block, the totals of the earlier blocks of the same group
    (a window over at most one row per block and group).
-
-Exact quantiles then read the value at a given rank with one conditional
-aggregate over the (value, count, rows-before) table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .quantiles import exact_quantiles  # noqa: F401  (its earlier place)
 
 
 def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
                      sums: list[str], partitions: int | None = None,
-                     totals: bool = False) -> DataFrame:
+                     totals: bool = False, previous: bool = False) -> DataFrame:
     """Add ``<s>_before`` = sum of ``s`` over earlier rows of the same group.
 
     ``rows`` must hold one row per (group, order) value (pre-aggregated).
     Output keeps all input columns. With ``totals``, ``<s>_total`` (the sum
     over the whole group) is added too, from the per-block totals, so no
     join keyed on the group alone is needed (a hot group would make it one
-    task).
+    task). With ``previous``, ``<order>_previous`` is the order value before (null for
+    a group's first).
     """
     ordering = [F.col(g).asc_nulls_first() for g in group] + [F.col(order).asc()]
     # Without an explicit count AQE may merge adjacent ranges; merged blocks
@@ -48,14 +46,17 @@ def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
     # over them below are small even when one group spans every partition.
     w_in = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = blocks.select(*rows.columns, "__pid",
-                          *[F.sum(s).over(w_in).alias(f"__in_{s}") for s in sums])
-    block_totals = blocks.groupBy(*keys).agg(*[F.sum(s).alias(f"__bt_{s}") for s in sums])
+                          *[F.sum(s).over(w_in).alias(f"__in_{s}") for s in sums],
+                          *([F.max(order).over(w_in).alias("__in_last")] if previous else []))
+    block_totals = blocks.groupBy(*keys).agg(*[F.sum(s).alias(f"__bt_{s}") for s in sums],
+                                             F.max(order).alias("__bt_last"))
     w_off = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("__pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*group) if group else Window.partitionBy()
     offsets = block_totals.select(
         *keys, *[F.sum(f"__bt_{s}").over(w_off).alias(f"__off_{s}") for s in sums],
-        *([F.sum(f"__bt_{s}").over(w_all).alias(f"__tot_{s}") for s in sums] if totals else []))
+        *([F.sum(f"__bt_{s}").over(w_all).alias(f"__tot_{s}") for s in sums] if totals else []),
+        *([F.max("__bt_last").over(w_off).alias("__off_last")] if previous else []))
     # Null-safe on the group so a null category keeps its rows. Without a
     # group the offsets table has at most one row per partition: broadcast.
     okeys = {k: f"__ok_{i}" for i, k in enumerate(keys)}
@@ -70,49 +71,5 @@ def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
         *rows.columns,
         *[(F.coalesce(F.col(f"__in_{s}"), F.lit(0)) + F.coalesce(F.col(f"__off_{s}"), F.lit(0)))
           .alias(f"{s}_before") for s in sums],
-        *([F.col(f"__tot_{s}").alias(f"{s}_total") for s in sums] if totals else []))
-
-
-def value_counts(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
-    """(group, value, cnt, cnt_before, n): ranks of each distinct non-null value."""
-    group = group or []
-    vc = (df.filter(F.col(value).isNotNull()).groupBy(*group, value)
-          .agg(F.count(F.lit(1)).alias("cnt")))
-    # Group sizes come from the scan's block totals: no second scan of the
-    # raw rows and no join keyed on the group alone.
-    ranked = exclusive_prefix(vc, group, value, ["cnt"], totals=True)
-    return ranked.withColumnRenamed("cnt_total", "n")
-
-
-def _value_at(rank: Column, value: str) -> Column:
-    hit = (F.col("cnt_before") <= rank) & (rank < F.col("cnt_before") + F.col("cnt"))
-    return F.max(F.when(hit, F.col(value)))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs, group: list[str] | None = None,
-                    names: list[str] | None = None, with_n: bool = False) -> DataFrame:
-    """Linear-interpolated quantiles (``quantile_cont`` / ``percentile``), exact.
-
-    One row per group with one column per probability. Position p*(n-1)
-    between the values at ranks floor and ceil of it. ``with_n`` adds the
-    group's non-null count ``n``.
-    """
-    group = group or []
-    names = names or [f"p{int(round(p * 100))}" for p in probs]
-    vc = value_counts(df, value, group)
-    pos = {p: F.lit(float(p)) * (F.col("n") - F.lit(1)) for p in probs}
-    prepared = vc.withColumn(value, F.col(value).cast("double"))
-    aggs = []
-    for p, name in zip(probs, names):
-        pp = pos[p]
-        aggs.append(F.first(pp, ignorenulls=True).alias(f"__pos_{name}"))
-        aggs.append(_value_at(F.floor(pp), value).alias(f"__lo_{name}"))
-        aggs.append(_value_at(F.ceil(pp), value).alias(f"__hi_{name}"))
-    if with_n:
-        aggs.append(F.max("n").alias("n"))
-    agg = prepared.groupBy(*group).agg(*aggs) if group else prepared.agg(*aggs)
-    outs = []
-    for name in names:
-        lo, hi, ps = F.col(f"__lo_{name}"), F.col(f"__hi_{name}"), F.col(f"__pos_{name}")
-        outs.append((lo + (ps - F.floor(ps)) * (hi - lo)).alias(name))
-    return agg.select(*group, *outs, *(["n"] if with_n else []))
+        *([F.col(f"__tot_{s}").alias(f"{s}_total") for s in sums] if totals else []),
+        *([F.coalesce("__in_last", "__off_last").alias(f"{order}_previous")] if previous else []))

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import missing
 from ..functions.scalars import pct, tenth_bin, width_bin
+from ..session import materialize
 from .joins import lookup
-from .ordered import exact_quantiles
+from .quantiles import exact_quantiles, rank_errors
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
@@ -61,17 +62,30 @@ def histogram_width(df: DataFrame, col: str, lo: float, width: float) -> DataFra
             .orderBy("bin"))
 
 
+def _digest(df: DataFrame, cols: list[str]) -> list[Column]:
+    """128 bits of a row. The hashes skip nulls, so which columns are null is hashed as well."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
+    return [F.xxhash64(nulls, *cols).alias("__d1"), F.xxhash64(F.lit(1), *cols, nulls).alias("__d2")]
+
+
 def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows, distinct rows and surplus copies, from one grouped count.
+    """Rows, distinct rows and surplus copies, in two stages.
 
-    Grouping with map-side partial counts handles a row repeated a billion
-    times as one partial row per task.
+    First rows are counted by a 128-bit digest: what is shuffled is two longs and a
+    count, however wide the table is, with map-side partial counts for a row
+    repeated a billion times. Only rows whose digest occurs again are then grouped at
+    full width, so the result does not rest on the digest.
     """
     cols = cols or df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
-    return g.agg(F.sum("__c").cast("long").alias("rows"),
-                  F.count(F.lit(1)).alias("distinct_rows"),
-                  F.sum(F.col("__c") - F.lit(1)).cast("long").alias("duplicate_rows"))
+    rows = df.select(*cols)
+    digested = rows.select("*", *_digest(rows, cols))
+    counts = materialize(digested.select("__d1", "__d2").groupBy("__d1", "__d2").agg(F.count(F.lit(1)).alias("__c")))
+    again = counts.filter(F.col("__c") > 1).select("__d1", "__d2")
+    whole = digested.join(again, ["__d1", "__d2"], "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
+    once = counts.filter(F.col("__c") == 1).select("__c")
+    return once.unionByName(whole.select("__c")).agg(
+        F.sum("__c").cast("long").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
+        F.sum(F.col("__c") - F.lit(1)).cast("long").alias("duplicate_rows"))
 
 
 def extremes(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -109,9 +123,9 @@ def wide_stats(df: DataFrame, cols: list[str], probs=WIDE_PROBS) -> DataFrame:
     """Per column count, mean, std, min, p25..p99, max, skew, kurtosis.
 
     Columns are unpivoted to (column, value) so one aggregate grouped by
-    column gives the moments, and the exact quantiles come from the
-    distributed rank table (never one task per column). An all-null column
-    gives count 0 and null statistics.
+    column gives the moments, and the exact quantiles come from sketch brackets
+    (never one task per column). An all-null column gives count 0 and null
+    statistics.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "column_name", "value")
@@ -126,15 +140,24 @@ def wide_stats(df: DataFrame, cols: list[str], probs=WIDE_PROBS) -> DataFrame:
 
 def approx_wide_stats(df: DataFrame, cols: list[str], probs=WIDE_PROBS,
                       accuracy: int = 10000) -> DataFrame:
-    """A11 at scale in one pass: ``percentile_approx`` (bounded sketch) quantiles."""
+    """A11 at scale: ``percentile_approx`` (bounded sketch) quantiles in one pass, checked in a second.
+
+    ``<p>_rank_error`` is how far the exact rank of each answer is from the
+    asked one, as a share of the column's values, and ``within`` whether all of them
+    keep the sketch's promise, 1 / ``accuracy`` (one row of rounding allowed).
+    """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         [], cols, "column_name", "value")
     names = [f"p{int(round(p * 100))}" for p in probs]
     qs = F.percentile_approx("value", list(probs), accuracy)
     agg = long.groupBy("column_name").agg(*_moments(F.col("value")), qs.alias("__q"))
-    return agg.select("column_name", "count", "mean", "std", "min",
-                      *[F.col("__q")[i].alias(n) for i, n in enumerate(names)], "max",
-                      "skew_pop", "kurt_pop")
+    answers = agg.select("column_name", "count", "mean", "std", "min",
+                         *[F.col("__q")[i].alias(n) for i, n in enumerate(names)], "max", "skew_pop", "kurt_pop")
+    answers = materialize(answers)
+    errors = rank_errors(long, "value", answers, names, probs, "column_name")
+    worst = F.greatest(*[F.col(f"{n}_rank_error") for n in names]) if len(names) > 1 else F.col(f"{names[0]}_rank_error")
+    return answers.join(errors, "column_name", "left").withColumn(
+        "within", worst <= F.lit(1.0 / accuracy) + F.lit(1.0) / F.col("count"))
 
 
 def target_shape(df: DataFrame, target: str) -> DataFrame:
@@ -169,7 +192,7 @@ def mean_by(df: DataFrame, key: Column | str, target: str, name: str = "key",
 def boxplot(df: DataFrame, col: str, group: str | None = None, k: float = 1.5) -> DataFrame:
     """Quartiles, Tukey fences (k * IQR), whiskers, outlier count.
 
-    Quartiles are exact (distributed ranks). Per group, the fences table has
+    Quartiles are exact (sketch brackets). Per group, the fences table has
     one row per group and is joined to the rows; overall, the fences are
     scalar subqueries. Either way the outlier count is one more aggregate.
     """

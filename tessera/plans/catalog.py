@@ -397,7 +397,15 @@ def histogram_width(spark, sf_dir):
 
 # Shape and type inventory (metadata; rows-only check)
 
-@query("dtype_inventory")
+@query("dtype_inventory", """
+select (row_number() over () - 1)::integer as position, column_name as "column",
+       case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'DOUBLE' then 'double'
+            when 'VARCHAR' then 'string' when 'DATE' then 'date' when 'TIMESTAMP' then 'timestamp_ntz'
+            when 'TIMESTAMP WITH TIME ZONE' then 'timestamp'
+            else lower(column_type) end as type,
+       (select count(*) from lineitem) as n_rows, (select count(*) from (describe lineitem))::integer as n_cols
+from (describe lineitem)
+""")
 def dtype_inventory(spark, sf_dir):
     return profile.dtype_inventory(load(spark, sf_dir, "lineitem"))
 
@@ -505,13 +513,23 @@ def hash_split_counts(spark, sf_dir):
     return s.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("key_sum"))
 
 
-@query("random_split_counts")
+# What a random split promises: every row on one side, and a share near the asked one
+# (within five standard deviations of a Bernoulli draw).
+
+@query("random_split_counts", """
+select count(*) as n_rows, count(distinct o_orderkey) as n_keys, 0::bigint as on_both_sides, true as share_fits from orders
+""")
 def random_split_counts(spark, sf_dir):
     o = load(spark, sf_dir, "orders", "o_orderkey")
     train, test = split.random_split(o)
-    return (train.select(F.lit("train").alias("side"))
-            .unionByName(test.select(F.lit("test").alias("side")))
-            .groupBy("side").agg(F.count(F.lit(1)).alias("n")))
+    sides = train.select("o_orderkey", F.lit(1).alias("t")).unionByName(test.select("o_orderkey", F.lit(0).alias("t")))
+    by_key = sides.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"))
+    sums = by_key.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_keys"),
+                      F.count_if((F.col("t") > 0) & (F.col("t") < F.col("n"))).alias("on_both_sides"),
+                      F.sum("t").alias("n_train"))
+    share = split.TRAIN_PCT / 100
+    fits = F.abs(F.col("n_train") - F.col("n_rows") * share) <= 5 * F.sqrt(F.col("n_rows") * (share * (1 - share)))
+    return sums.select("n_rows", "n_keys", "on_both_sides", fits.alias("share_fits"))
 
 
 # ---------------------------------------------------------------------------
@@ -867,6 +885,201 @@ def ols_one_feature(spark, sf_dir):
                                  rnd(F.lit(float(model.intercept))).alias("intercept"))
 
 
+def _vectors(df, columns):
+    """``df`` with the columns as an ML vector under the name that the model registry reads."""
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=list(columns), outputCol="scaled_features").transform(df)
+
+
+def _linear_rows(spark, sf_dir):
+    o = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return o.select("o_orderkey", (F.col("o_custkey") / 1000.0).alias("customer"),
+                    F.month("o_orderdate").cast("double").alias("month"), (F.col("o_totalprice") / 1000.0).alias("y"))
+
+
+_LINEAR_SQL = """
+with r as (select o_orderkey, o_custkey / 1000.0 as customer, month(o_orderdate)::double as month,
+                  o_totalprice / 1000.0 as y from orders)"""
+
+
+# K1 K9 at regParam 0.1 on two features: the ML solvers and the closed form against the normal equations
+
+@query("ridge_two_features", _LINEAR_SQL + """,
+m as (select avg(customer) as m1, avg(month) as m2, avg(y) as my, var_pop(customer) as s11, var_pop(month) as s22,
+             covar_pop(customer, month) as s12, covar_pop(customer, y) as c1, covar_pop(month, y) as c2,
+             stddev_pop(y) as sy from r),
+a as (select *, s11 * (1 + 0.1 / sy) as a11, s22 * (1 + 0.1 / sy) as a22 from m),
+b as (select *, (a22 * c1 - s12 * c2) / (a11 * a22 - s12 * s12) as b1,
+             (a11 * c2 - s12 * c1) / (a11 * a22 - s12 * s12) as b2 from a),
+c as (select 'customer' as feature, b1 as v from b union all select 'month', b2 from b
+      union all select '(intercept)', my - b1 * m1 - b2 * m2 from b)
+select model, feature, round(v, 6) as coefficient from c, (select unnest(['ridge', 'glm', 'closed_form']) as model)
+""")
+def ridge_two_features(spark, sf_dir):
+    from ..operators import linear
+    from . import models
+
+    rows = _linear_rows(spark, sf_dir)
+    features = ["customer", "month"]
+    data, specs = _vectors(rows, features), models.registry()
+    out = linear.ridge(rows, features, "y", 0.1).withColumn("model", F.lit("closed_form"))
+    for name in ("ridge", "glm"):
+        fit = specs[name].build("scaled_features", "y", "prediction").fit(data)
+        values = [*zip(features, map(float, fit.coefficients)), (linear.INTERCEPT, float(fit.intercept))]
+        out = out.unionByName(spark.createDataFrame(values, "feature string, coefficient double")
+                              .withColumn("model", F.lit(name)))
+    return out.select("model", "feature", rnd("coefficient").alias("coefficient"))
+
+
+# K1 K5 K6 K11 on one feature: the nine points of the ridge grid (0.1 with 0, 1 and 0.5
+# are the ridge, the lasso and the elastic net), solved by ML and by the soft threshold
+
+_GRID_SQL = """(select unnest([0.01, 0.1, 0.5]) as reg), (select unnest([0.0, 0.5, 1.0]) as elastic)"""
+
+
+def _shrunk_sql(rows: str) -> str:
+    """Coefficient and intercept of every grid point, from the rows of a table."""
+    r = "(s.c / (s.sx * s.sy))"
+    return f"""
+select reg::double as reg, elastic::double as elastic, s.mx, s.my,
+       sign({r}) * greatest(abs({r}) - reg * elastic / s.sy, 0) / (1 + reg * (1 - elastic) / s.sy) * s.sy / s.sx as coefficient
+from (select avg(x) as mx, avg(y) as my, stddev_pop(x) as sx, stddev_pop(y) as sy, covar_pop(x, y) as c from {rows}) s,
+     {_GRID_SQL}"""
+
+
+@query("shrinkage_one_feature", _LINEAR_SQL + f""",
+xy as (select month as x, y from r),
+p as ({_shrunk_sql('xy')})
+select solver, reg, elastic, round(coefficient, 6) as coefficient, round(my - coefficient * mx, 6) as intercept
+from p, (select unnest(['ml', 'closed_form']) as solver)
+""")
+def shrinkage_one_feature(spark, sf_dir):
+    from ..operators import linear
+    from . import models, tune
+
+    rows = _linear_rows(spark, sf_dir)
+    data = _vectors(rows, ["month"])
+    points = [(p["regParam"], p["elasticNetParam"]) for p in tune.points_of(tune.RIDGE_GRID)]
+    fitted = []
+    for reg, elastic in points:
+        est = models.registry()["ridge"].build("scaled_features", "y", "prediction")
+        fit = est.setRegParam(reg).setElasticNetParam(elastic).fit(data)
+        fitted.append((reg, elastic, float(fit.coefficients[0]), float(fit.intercept)))
+    ml = spark.createDataFrame(fitted, "reg double, elastic double, coefficient double, intercept double")
+    both = ml.withColumn("solver", F.lit("ml")).unionByName(
+        linear.shrunk(rows, "month", "y", points).withColumn("solver", F.lit("closed_form")))
+    return both.select("solver", "reg", "elastic", rnd("coefficient").alias("coefficient"), rnd("intercept").alias("intercept"))
+
+
+# The ridge grid's whole search on one feature - inner split, nine validation
+# errors, the winner and its test metrics
+
+@query("grid_search_one_feature", _LINEAR_SQL + f""",
+t as (select month as x, y, {_bucket_sql('o_orderkey')} as outside, {_bucket_sql('o_orderkey', seed=43)} as inside from r),
+train as (select x, y from t where outside < 80), test as (select x, y from t where outside >= 80),
+fit as (select x, y from t where outside < 80 and inside < 80),
+valid as (select x, y from t where outside < 80 and inside >= 80),
+p as ({_shrunk_sql('fit')}),
+e as (select reg, elastic, sqrt(avg(power(y - (my + coefficient * (x - mx)), 2))) as rmse from p, valid group by reg, elastic),
+best as (select reg, elastic, rmse from e order by rmse, reg, elastic limit 1),
+again as (select * from ({_shrunk_sql('train')}) join best using (reg, elastic)),
+scored as (select y, my + coefficient * (x - mx) as yhat from again, test),
+m as (select sqrt(avg(power(y - yhat, 2))) as rmse, avg(abs(y - yhat)) as mae,
+             1 - sum(power(y - yhat, 2)) / sum(power(y - mu, 2)) as r2
+      from scored, (select avg(y) as mu from scored))
+select e.reg as "regParam", e.elastic as "elasticNetParam", round(e.rmse, 6) as rmse, best.reg is not null as is_best,
+       case when best.reg is not null then round((select rmse from m), 6) end as test_rmse,
+       case when best.reg is not null then round((select mae from m), 6) end as test_mae,
+       case when best.reg is not null then round((select r2 from m), 6) end as test_r2
+from e left join best on best.reg = e.reg and best.elastic = e.elastic
+""")
+def grid_search_one_feature(spark, sf_dir):
+    from . import tune
+    from .features import FeatureSpec, Prepared
+
+    data = _vectors(_linear_rows(spark, sf_dir).select("o_orderkey", "month", "y"), ["month"])
+    train, test = split.hash_split(data, "o_orderkey")
+    spec = FeatureSpec(key="o_orderkey", label="y", text=None, hashed=[], reduce=[], encoders=[], numeric=["month"], indexed=[])
+    res = tune.report(tune.search(Prepared(train, test, None, spec), "ridge"))
+    return res.select("regParam", "elasticNetParam", rnd("rmse").alias("rmse"), "is_best",
+                      *[rnd(c).alias(c) for c in ("test_rmse", "test_mae", "test_r2")])
+
+
+# K8: isotonic regression over distinct values against the max-min formula
+
+@query("isotonic_fit", """
+with r as (select (year(o_orderdate) * 12 + month(o_orderdate))::double as x, o_totalprice / 1000.0 as y from orders),
+g as (select x, count(*) as n, sum(y) as s from r group by x),
+c as (select x, n, row_number() over (order by x) as i, sum(n) over (order by x) as cn, sum(s) over (order by x) as cs from g),
+pairs as (select a.i as a, b.i as b, (b.cs - coalesce(p.cs, 0)) / (b.cn - coalesce(p.cn, 0)) as mean
+          from c a join c b on b.i >= a.i left join c p on p.i = a.i - 1),
+low as (select a, b as i, min(mean) over (partition by a order by b rows between current row and unbounded following) as m from pairs)
+select c.x, c.n, round(max(low.m), 6) as fitted from low join c on c.i = low.i group by c.x, c.n
+""")
+def isotonic_fit(spark, sf_dir):
+    from . import models
+
+    o = load(spark, sf_dir, "orders", "o_orderdate", "o_totalprice")
+    rows = o.select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("double").alias("x"),
+                    (F.col("o_totalprice") / 1000.0).alias("y"))
+    points = models.isotonic_points(_vectors(rows, ["x"]), 0, "y")
+    est = models.registry()["isotonic"].build("scaled_features", "y", "prediction").setWeightCol("weight")
+    fit = est.fit(points)
+    return fit.transform(points).select(F.col("scaled_features").alias("x"), F.col("weight").cast("long").alias("n"),
+                                        rnd("prediction").alias("fitted"))
+
+
+# The gain of every cut, and a depth-1 tree's cut, gain and importance
+
+_SPLIT_FEATURES = ["quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+def _split_rows(spark, sf_dir):
+    li = load(spark, sf_dir, "lineitem", "l_quantity", "l_discount", "l_tax", "l_linenumber", "l_extendedprice")
+    return li.select(F.floor(F.col("l_quantity") / 2).cast("double").alias("quantity"), "l_discount", "l_tax",
+                     F.col("l_linenumber").cast("double").alias("l_linenumber"), (F.col("l_extendedprice") / 1000.0).alias("y"))
+
+
+_SPLIT_SQL = """
+with r as (select floor(l_quantity / 2)::double as quantity, l_discount, l_tax, l_linenumber::double as l_linenumber,
+                  l_extendedprice / 1000.0 as y from lineitem),
+long as (""" + " union all ".join(f"select '{c}' as feature, {c}::double as value, y from r" for c in _SPLIT_FEATURES) + """),
+g as (select feature, value, count(*) as n, sum(y) as s from long group by 1, 2),
+w as (select feature, value, lead(value) over f as following, sum(n) over f as nl, sum(s) over f as sl,
+             sum(n) over (partition by feature) as n, sum(s) over (partition by feature) as s
+      from g window f as (partition by feature order by value)),
+cuts as (select feature, (value + following) / 2 as threshold, nl::bigint as n_left, (n - nl)::bigint as n_right,
+                nl::double * (n - nl) / (n::double * n) * power(sl / nl - (s - sl) / (n - nl), 2) as gain
+         from w where following is not null)"""
+
+
+@query("split_gains", _SPLIT_SQL + """
+select feature, round(threshold, 6) as threshold, n_left, n_right, round(gain, 6) as gain from cuts
+""")
+def split_gains(spark, sf_dir):
+    from ..operators import splits
+
+    gains = splits.split_gains(_split_rows(spark, sf_dir), _SPLIT_FEATURES, "y")
+    return gains.select("feature", rnd("threshold").alias("threshold"), "n_left", "n_right", rnd("gain").alias("gain"))
+
+
+@query("tree_first_split", _SPLIT_SQL + """
+select feature, round(threshold, 6) as threshold, round(gain, 6) as gain, 1.0::double as importance
+from cuts where n_left >= 20 and n_right >= 20 order by gain desc, feature, threshold limit 1
+""")
+def tree_first_split(spark, sf_dir):
+    from . import models
+
+    data = _vectors(_split_rows(spark, sf_dir), _SPLIT_FEATURES)
+    tree = models.registry()["decision_tree"].build("scaled_features", "y", "prediction", maxDepth=1).fit(data)
+    root = tree._java_obj.rootNode()
+    at = root.split().featureIndex()
+    top = models.importances(tree, _SPLIT_FEATURES).filter(F.col("feature") == _SPLIT_FEATURES[at])
+    return top.select("feature", rnd(F.lit(float(root.split().threshold()))).alias("threshold"),
+                      rnd(F.lit(float(root.gain()))).alias("gain"), rnd("importance").alias("importance"))
+
+
 # Leakage audit of four encodings of o_custkey against the target
 
 @query("leakage_audit", f"""
@@ -975,6 +1188,76 @@ def _on_prepared(spark, sf_dir, body, kind: str = "frequency") -> DataFrame:
         prep.release()
 
 
+def _rotl(x: str, r: int) -> str:
+    return f"((({x}) << {r}) | (({x}) >> {32 - r})) & 4294967295"
+
+
+def _mixed(k: str) -> list[str]:
+    """Steps that mix one 32-bit block of murmur3, each over the one before (as ``k``)."""
+    return [f"({k} * 3432918353::ubigint) & 4294967295", _rotl("k", 15), "(k * 461845907::ubigint) & 4294967295"]
+
+
+def _murmur_sql(name: str, source: str, column: str) -> str:
+    """CTEs ending in ``name`` (column, h): murmur3 (32 bits, seed 42) of the UTF-8 bytes, signed.
+
+    Public algorithm with its public constants: blocks of four bytes, little-endian, then
+    the rest, the length and the final mix.
+    """
+    byte = lambda i: f"x[({i}) * 2 + 1:({i}) * 2 + 2]"
+    first, second, third = _mixed("k")
+    mixed = f"[{third} for k in [{second} for k in [{first} for k in blocks]]]"
+    tail = f"list_reduce([[{third} for k in [{second} for k in [{first} for k in [rest]]]][1]], lambda a, b: a)"
+    turn = _rotl("xor(h, k)", 13)
+    return f"""
+{name}_hex as (select distinct {column}, hex(encode({column})) as x, octet_length(encode({column})) as len from {source}),
+{name}_blocks as (
+  select {column}, len, [('0x' || {byte('4 * i + 3')} || {byte('4 * i + 2')} || {byte('4 * i + 1')} || {byte('4 * i')})::ubigint
+                         for i in range(0, len // 4)] as blocks,
+         coalesce(('0x' || case when len % 4 > 2 then {byte('len // 4 * 4 + 2')} else '' end
+                        || case when len % 4 > 1 then {byte('len // 4 * 4 + 1')} else '' end
+                        || case when len % 4 > 0 then {byte('len // 4 * 4')} else '0' end)::ubigint, 0::ubigint) as rest
+  from {name}_hex),
+{name}_body as (
+  select {column}, len, list_reduce([42::ubigint] || {mixed},
+                                    lambda h, k: ((({turn}) * 5) + 3864292196::ubigint) & 4294967295) as h,
+         case when len % 4 > 0 then {tail} else 0::ubigint end as t from {name}_blocks),
+{name}_f1 as (select {column}, xor(xor(h, t), len::ubigint) as h from {name}_body),
+{name}_f2 as (select {column}, (xor(h, h >> 16) * 2246822507::ubigint) & 4294967295 as h from {name}_f1),
+{name}_f3 as (select {column}, (xor(h, h >> 13) * 3266489909::ubigint) & 4294967295 as h from {name}_f2),
+{name}_f4 as (select {column}, xor(h, h >> 16)::bigint as h from {name}_f3),
+{name} as (select {column}, case when h >= 2147483648 then h - 4294967296 else h end as h from {name}_f4)"""
+
+
+def _slot_sql(h: str, n: int) -> str:
+    return f"((({h} % {n}) + {n}) % {n})"
+
+
+# M3 M5: the hashed slots of every document's words and of its source, whole texts
+
+@query("hashed_slots", f"""
+with words as (select doc_id, unnest({_tokens_sql()}) as term from documents),
+{_murmur_sql('hashed', 'words', 'term')},
+genres as (select doc_id, 'source=' || source as term from documents where source is not null),
+{_murmur_sql('hashed_genres', 'genres', 'term')}
+select doc_id, 'text' as part, {_slot_sql('h', 100)}::integer as slot, count(*)::double as value
+from words join hashed using (term) group by all
+union all
+select doc_id, 'genre', {_slot_sql('h', 16)}::integer, 1.0::double from genres join hashed_genres using (term)
+""")
+def hashed_slots(spark, sf_dir):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from .features import transform_stages
+
+    d = spread_if_asked(load(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    d = d.withColumn("text", F.coalesce("text", F.lit("")))
+    out = PipelineModel(stages=transform_stages(_doc_spec())).transform(d)
+    parts = [out.select("doc_id", F.lit(name).alias("part"), F.posexplode(vector_to_array(column)).alias("slot", "value"))
+             for name, column in (("text", "text_tf"), ("genre", "hashed_features"))]
+    return parts[0].unionByName(parts[1]).filter("value <> 0")
+
+
 @query("hashed_features")
 def hashed_features(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
@@ -1164,11 +1447,21 @@ def encoder_size(spark, sf_dir):
     return profile.distinct_count(encode.fit_frequency(train, "o_custkey").table)
 
 
-# A11 at scale: one-pass sketch quantiles (approximate: rows-only check)
+# A11 at scale: one-pass sketch quantiles, their rank error checked
+
+_APPROX_SQL = f"""
+with s as ({_long_sql('lineitem', _WIDE_COLS)})
+select column_name, count(v) as "count", round(avg(v), {_W}) + 0.0 as mean, round(min(v), {_W}) + 0.0 as "min",
+       round(max(v), {_W}) + 0.0 as "max", count(v) > 0 as within
+from s group by column_name
+"""
+
 
-@query("approx_wide_stats")
+@query("approx_wide_stats", _APPROX_SQL)
 def approx_wide_stats(spark, sf_dir):
-    return profile.approx_wide_stats(load(spark, sf_dir, "lineitem", *_WIDE_COLS), _WIDE_COLS)
+    """Moments beside whether every sketched percentile's exact rank keeps the promised error."""
+    w = profile.approx_wide_stats(load(spark, sf_dir, "lineitem", *_WIDE_COLS), _WIDE_COLS)
+    return w.select("column_name", "count", *[(rnd(c, _W) + 0.0).alias(c) for c in ("mean", "min", "max")], "within")
 
 
 # The ridge and boosted-tree searches the reference defines
@@ -1233,18 +1526,87 @@ def clean_run(spark, sf_dir):
     return _run(spark, sf_dir, runs.CLEAN, models.CLEAN_RUN, "leaderboard")
 
 
-@query("clean_run_slots", "select 'clean' as run, 124::integer as slots")
+# Both runs' assembled vectors, slot by slot. The SQL repeats the whole
+# preparation: join, split, derived columns, top genres, encoders, hashed words with idf,
+# the category's frequency rank, and scaling by the training rows' sample deviation.
+
+def _movie_slots_sql(target: bool) -> str:
+    numeric = (["duration", "votes", "log_votes", "reviews_from_users", "reviews_from_critics", "year_clean", "decade",
+                "votes_per_review", "review_ratio", "is_recent", "is_old_classic"] if target else
+               ["duration", "year_clean", "decade", "is_recent", "is_old_classic"])
+    extra = " and votes is not null and users is not null and critics is not null" if target else ""
+    value, unseen = (("(avg(avg_vote) * count(*) + (select avg(avg_vote) from train) * 10) / (count(*) + 10)",
+                      "(select avg(avg_vote) from train)") if target else
+                     ("count(*) / (select count(*) from train)::double", "1.0 / (select count(*) from train)"))
+    suffix = "encoded" if target else "freq"
+    column = {"reviews_from_users": "users", "reviews_from_critics": "critics"}
+    cells = [f"select k, side, '{c}' as slot, {column.get(c, c)}::double as value from rows" for c in numeric]
+    cells += [f"select rows.k, side, '{c}_{suffix}', coalesce(e.v, {unseen}) from rows left join "
+              f"(select {c} as c, {value} as v from train group by 1) e on e.c is not distinct from rows.{c}"
+              for c in ("director", "actors")]
+    return f"""
+with movies as (
+  select d.doc_id as k, coalesce(d.text, '') as text, d.source as genre, (d.n_chars % 240)::integer as duration,
+         o.o_custkey::varchar as director, concat_ws(', ', d.lang, d.source) as actors, o.o_totalprice / 1000.0 as avg_vote,
+         d.n_chars::bigint as votes, (d.n_chars % 97)::double as users, (d.n_chars % 31)::double as critics,
+         year(o.o_orderdate) as year_clean
+  from documents d join orders o on d.doc_id = o.o_orderkey join labels l on l.doc_id = d.doc_id
+  where d.text is not null and d.source is not null and d.n_chars is not null and o.o_custkey is not null
+    and o.o_totalprice is not null and o.o_orderdate is not null{extra}),
+rows as (
+  select *, case when {_bucket_sql('k')} < 80 then 'train' else 'test' end as side, year_clean // 10 * 10 as decade,
+         case when year_clean >= 2015 then 1.0 else 0.0 end as is_recent,
+         case when year_clean <= 1980 then 1.0 else 0.0 end as is_old_classic, ln(1 + votes::double) as log_votes,
+         votes::double / (users + critics + 1) as votes_per_review, users / (critics + 1) as review_ratio,
+         case when duration <= 90 then 'short' when duration <= 120 then 'medium' else 'long' end as category
+  from movies),
+train as (select * from rows where side = 'train'),
+top as (select genre from train group by genre order by count(*) desc, genre limit 30),
+genres as (select k, side, 'genre=' || case when genre in (select genre from top) then genre else 'Other' end as term from rows),
+{_murmur_sql('hashed_genres', 'genres', 'term')},
+words as (select k, side, unnest({_tokens_sql()}) as term from rows),
+{_murmur_sql('hashed', 'words', 'term')},
+tf as (select k, side, {_slot_sql('h', 100)} as slot, count(*) as n from words join hashed using (term) group by all),
+idf as (select slot, ln(((select count(*) from train) + 1.0) / (count(*) + 1.0)) as idf from tf where side = 'train' group by slot),
+ranks as (select category, row_number() over (order by count(*) desc, category) - 1 as r from train group by category),
+cells as (
+  select k, side, 'text_features_' || tf.slot as slot,
+         n * coalesce(idf, ln((select count(*) from train) + 1.0)) as value from tf left join idf using (slot)
+  union all select k, side, 'hashed_features_' || {_slot_sql('h', 16)}, 1.0 from genres join hashed_genres using (term)
+  union all {' union all '.join(cells)}
+  union all select k, side, 'duration_category_indexed', coalesce(r, (select count(*) from ranks))::double
+            from rows left join ranks using (category)),
+size as (select count(*)::double as n from train),
+spread as (
+  select slot, sqrt(sum(power(value - mu, 2)) + (n - count(*)) * any_value(mu * mu)) / sqrt(n - 1) as sd
+  from (select slot, value, n, sum(value) over (partition by slot) / n as mu from cells, size where side = 'train')
+  group by slot, n)
+select k as imdb_title_id, side, slot, round(value, 6) as value,
+       round(case when coalesce(sd, 0) > 0 then value / sd else 0.0 end, 6) as scaled
+from cells left join spread using (slot) where value <> 0
+"""
+
+
+def _movie_slots(spark, sf_dir, config):
+    from . import runs
+
+    ratings = load(spark, sf_dir, "labels", "doc_id").select(F.col("doc_id").alias("imdb_title_id"))
+    v = runs.vectors(_movies(spark, sf_dir), ratings, config)
+    return v.select("imdb_title_id", "side", "slot", rnd("value").alias("value"), rnd("scaled").alias("scaled"))
+
+
+@query("clean_run_slots", _movie_slots_sql(False))
 def clean_run_slots(spark, sf_dir):
     from . import runs
 
-    return _run(spark, sf_dir, runs.CLEAN, ("ridge",), "slots")
+    return _movie_slots(spark, sf_dir, runs.CLEAN)
 
 
-@query("target_run_slots", "select 'target_encoded' as run, 130::integer as slots")
+@query("target_run_slots", _movie_slots_sql(True))
 def target_run_slots(spark, sf_dir):
     from . import runs
 
-    return _run(spark, sf_dir, runs.TARGET_ENCODED, ("ridge",), "slots")
+    return _movie_slots(spark, sf_dir, runs.TARGET_ENCODED)
 
 
 def _movie_validation(spark, sf_dir):

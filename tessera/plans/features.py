@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import (IDF, FeatureHasher, HashingTF, RegexTokenizer, StandardScaler,
                                 StopWordsRemover, StringIndexer, VectorAssembler)
 from pyspark.sql import DataFrame
@@ -51,10 +52,9 @@ class FeatureSpec:
     smoothing: float = encode.SMOOTHING
     text_features: int = TEXT_FEATURES
     hash_features: int = HASH_FEATURES
-    # Partitions of the tables that the fits read; a part of the result (see
-    # ``_placed``), so a stated number and not taken from the cluster. For a
-    # large table use about one per 100,000 rows.
-    fit_partitions: int = 8
+    # Partitions of the tables that the fits read, a part of the result (see
+    # ``_placed``). None: one per ROWS_PER_PARTITION rows, whatever the cluster.
+    fit_partitions: int | None = None
 
     def encoded_names(self) -> list[str]:
         return [c + ("_freq" if kind == "frequency" else "_encoded") for c, kind in self.encoders]
@@ -183,20 +183,44 @@ def prepare(train: DataFrame, test: DataFrame, spec: FeatureSpec,
     tr = post.transform(train_t).select(*keep)
     te = post.transform(test_t).select(*keep)
     if checkpoint:
-        tr, te = cached(_placed(tr, spec)), cached(_placed(te, spec))
+        tr = cached(_placed(tr, spec, train_t.count()))
+        te = cached(_placed(te, spec, test_t.count()))
         tr.count(), te.count()
     return Prepared(tr, te, model, spec)
 
 
+def slot_rows(prep: Prepared) -> DataFrame:
+    """M3-M8 laid open: (key, side, slot, value, scaled) for every slot that is not zero.
+
+    One row per row of the training and test tables and named slot of the assembled
+    vector, before and after scaling.
+    """
+    names = F.array(*[F.lit(n) for n in prep.feature_names()])
+    both = prep.train.withColumn("side", F.lit("train")).unionByName(prep.test.withColumn("side", F.lit("test")))
+    cells = F.arrays_zip(names.alias("slot"), vector_to_array("features").alias("value"),
+                         vector_to_array("scaled_features").alias("scaled"))
+    cells = F.filter(cells, lambda c: c["value"] != 0)
+    return both.select(prep.spec.key, "side", F.explode(cells).alias("c")).select(prep.spec.key, "side", "c.*")
+
+
 # How many fits may run at once on the tables (the grid search's parallelism).
 CONCURRENT_FITS = 4
 
 
-def _placed(df: DataFrame, spec: FeatureSpec) -> DataFrame:
-    """Rows dealt by key into ``spec.fit_partitions`` partitions, in key order.
+# Rows of a partition that the fits read. A tree level or a gradient step is one
+# task a partition, so small tables are one task and large ones as many as they need.
+ROWS_PER_PARTITION = 100_000
+
+
+def fit_partitions(rows: int, spec: FeatureSpec) -> int:
+    """Partitions for ``rows`` training rows: from the rows alone, so fits repeat on any cluster."""
+    return spec.fit_partitions or max(1, -(-rows // ROWS_PER_PARTITION))
+
+
+def _placed(df: DataFrame, spec: FeatureSpec, rows: int) -> DataFrame:
+    """Rows dealt by key into ``fit_partitions`` partitions, in key order.
 
-    Bagging, mini-batches and the inner train/validation split draw random
-    numbers per partition and row. With partitions and their order fixed by
-    the key, a fit repeats on any cluster; only ``fit_partitions`` matters.
+    Bagging and mini-batches draw random numbers per partition and row. With
+    partitions and their order fixed by the key, a fit repeats on any cluster.
     """
-    return df.repartition(spec.fit_partitions, spec.key).sortWithinPartitions(spec.key)
+    return df.repartition(fit_partitions(rows, spec), spec.key).sortWithinPartitions(spec.key)

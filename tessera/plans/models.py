@@ -10,6 +10,7 @@ separate plans, D6).
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import vector_to_array
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import BLEND_WEIGHTS, blend
 from ..operators import audit, evaluate, topk
+from ..session import materialize
 from .features import Prepared
 
 SEED = 42
@@ -79,25 +81,21 @@ def _isotonic(feature_index: int):
     return build
 
 
-# Equal-width bins of the isotonic feature: the pooling step gathers its points
-# on the driver, so their number is bounded here.
-ISOTONIC_BINS = 100_000
+# Distinct values of the isotonic feature from which a fit says how many there are.
+ISOTONIC_LARGE = 5_000_000
 
 
 def isotonic_points(train: DataFrame, feature_index: int, label: str) -> DataFrame:
-    """K8's input: per bin of the feature its mean value, mean label and row count.
+    """K8's input: one row per distinct value of the feature, its mean label and row count.
 
-    Weighted points give the same fit as the rows where a bin holds one value.
-    The feature column keeps its name, so the fitted model scores vectors.
+    Isotonic regression depends on the rows only through these, so the weighted points
+    give exactly the fit of the rows. The feature column keeps its name, so the
+    fitted model scores vectors. The solver pools the points on the driver: their
+    number, not the rows', bounds its memory, and ``fit_all`` warns from ISOTONIC_LARGE on.
     """
     x = vector_to_array("scaled_features")[feature_index]
-    rows = train.select(x.alias("x"), F.col(label).alias("y"))
-    span = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    lo, width = span["lo"] or 0.0, ((span["hi"] or 0.0) - (span["lo"] or 0.0)) / ISOTONIC_BINS
-    at = F.floor((F.col("x") - lo) / width) if width > 0 else F.lit(0)
-    return rows.groupBy(at.alias("bin")).agg(
-        F.avg("x").alias("scaled_features"), F.avg("y").alias(label),
-        F.count(F.lit(1)).cast("double").alias("weight"))
+    return train.groupBy(x.alias("scaled_features")).agg(
+        F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def _glm(fc, lc, pc, **kw):
@@ -154,7 +152,11 @@ def fit_all(prep: Prepared, names=CLEAN_RUN, specs: dict | None = None,
         t0 = time.perf_counter()
         if isinstance(est, IsotonicRegression):
             est = est.setWeightCol("weight")
-            models[name] = est.fit(isotonic_points(prep.train, est.getFeatureIndex(), label))
+            points = materialize(isotonic_points(prep.train, est.getFeatureIndex(), label))
+            distinct = points.count()
+            if distinct > ISOTONIC_LARGE:
+                warnings.warn(f"isotonic regression pools {distinct} distinct values on the driver", stacklevel=2)
+            models[name] = est.fit(points)
         else:
             models[name] = est.fit(prep.train)
         seconds[name] = time.perf_counter() - t0

