@@ -445,7 +445,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     group = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(RANK_GROUPS))).orderBy(*order)
     first = kept.withColumn("rank", F.row_number().over(group)).filter(F.col("rank") <= top)
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
-    return ranked.join(F.broadcast(totals), "lang").select(
+    return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "cut", "held")
 
 
