@@ -28,6 +28,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], wish: str) -> str:
+    """``wish`` behind as many underscores as it takes to be no column's name, case aside."""
+    lower = {c.lower() for c in taken}
+    while wish.lower() in lower:
+        wish = f"_{wish}"
+    return wish
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
