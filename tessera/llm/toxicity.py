@@ -5,10 +5,10 @@ stem lengths, so unseen inflections of a known stem still count), word
 bigrams, and skip-grams that leave one word out, each hashed to one of
 2^HASH_BITS coordinates and counted once.
 
-Fitting is bounded: about ``SAMPLE`` labelled texts are chosen by a hash of
-their id, dealt into ``GROUPS`` groups, and each group is fitted in its own task
+Fitting is bounded: about ``SAMPLE`` labelled texts are chosen by hashes of
+their id and text, dealt into ``GROUPS`` groups, and each group is fitted in its own task
 with per-coordinate learning rates and L1 sparsity; the groups' weights are
-averaged by a Spark aggregate. What comes to the driver and is broadcast is at
+averaged by a Spark aggregate, each by its number of rows. What comes to the driver and is broadcast is at
 most 2^HASH_BITS weights, mostly zero. Scoring reads every text whole in one
 pass without a shuffle.
 """
@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import stored
+
 HASH_BITS = 20
 #: Documented bound of the fit: expected number of labelled texts, groups, passes.
 SAMPLE, GROUPS, PASSES = 16_384, 2, 2
@@ -108,33 +110,44 @@ def ftrl(texts: list[str | None], labels: np.ndarray, passes: int = PASSES) -> t
     return at, every[at]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(coordinate, weight) from about SAMPLE of ``labels`` (doc_id, label in 0/1).
+def _share(c, part: str, share: float):
+    """Rows whose hash falls into this share."""
+    return F.pmod(F.xxhash64(*c, F.lit(part)), F.lit(1 << 30)) < int(share * (1 << 30))
 
-    Rows without id or label are left out; an id labelled twice counts as
-    toxic if one label says so; ids without a document teach nothing. With no
-    usable row the weights are empty and every score is 0.5.
+
+def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(coordinate, weight) from about SAMPLE labelled texts; ``labels`` is (doc_id, label in 0/1).
+
+    First about SAMPLE ids are chosen by hash. If they have more than that many different
+    texts (an id can repeat), as many of these are chosen by a hash of id and text.
+    Rows without id or label are left out; a text that repeats under its id counts once;
+    an id labelled twice counts as toxic if one label says so; ids without a document
+    teach nothing. The groups' weights are averaged by their number of rows. With no usable
+    row the weights are empty and every score is 0.5.
     """
     known = (labels.filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max("label").alias("label")))
     total = known.count()
     share = min(1.0, SAMPLE / total) if total else 0.0
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    chosen = known.filter(place < int(share * (1 << 30))).select(
-        F.col("doc_id").alias("id"), F.col("label").cast("double"),
-        F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(GROUPS)).alias("g"))
-    # At most about SAMPLE rows of three numbers: a proven bound for a broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(
-        "g", "id", "label", "text")
+    chosen = known.filter(_share(["doc_id"], "sample", share)).select(
+        F.col("doc_id").alias("id"), F.col("label").cast("double"))
+    # At most about SAMPLE rows of two numbers: a proven bound for a broadcast.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select(
+        "id", "label", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    different = texts.select("id", "h").distinct().count()
+    rows = texts.filter(_share(["id", "h"], "text", min(1.0, SAMPLE / max(1, different))))
+    rows = rows.dropDuplicates(["id", "h"]).withColumn("g", F.pmod(F.xxhash64("id", "h", F.lit("group")), F.lit(GROUPS)))
 
     def train(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["id", "text"])
         order = np.random.default_rng(7).permutation(len(group))
         at, w = ftrl(group["text"].to_numpy()[order].tolist(), group["label"].to_numpy()[order])
-        return pd.DataFrame({"coordinate": at, "weight": w})
+        # The group's number of rows goes along as coordinate -1.
+        return pd.DataFrame({"coordinate": np.append(at, -1), "weight": np.append(w * len(group), len(group))})
 
-    parts = rows.groupBy("g").applyInPandas(train, "coordinate long, weight double")
-    return parts.groupBy("coordinate").agg((F.sum("weight") / GROUPS).alias("weight"))
+    parts = stored(rows.groupBy("g").applyInPandas(train, "coordinate long, weight double"), "toxicity-weights")
+    rows_seen = parts.filter("coordinate < 0").agg(F.sum("weight")).scalar()
+    return parts.filter("coordinate >= 0").groupBy("coordinate").agg((F.sum("weight") / rows_seen).alias("weight"))
 
 
 def score(docs: DataFrame, weights: DataFrame, text: str = "text", out: str = "score",

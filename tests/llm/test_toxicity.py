@@ -76,3 +76,23 @@ def test_query_shape(spark):
     df = X.query(spark, "/root/testdata/sf0.001")
     assert df.columns == ["doc_id", "held_out", "score", "predicted"]
     assert df.count() == 200 and df.filter(F.col("predicted") != (F.col("score") >= 0.5).cast("int")).count() == 0
+
+
+def test_groups_without_rows_do_not_halve_the_weights(spark):
+    docs = spark.createDataFrame([(1, "one vile text"), (2, "a fine text")], "doc_id long, text string")
+    one = X.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, label int")).collect()
+    at, w = X.ftrl(["one vile text"], np.array([1.0]))
+    assert {r["coordinate"]: round(r["weight"], 12) for r in one} == dict(zip(at.tolist(), w.round(12), strict=True))
+
+
+def test_one_id_with_many_texts_stays_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(X, "SAMPLE", 60)
+    rows = [(1, f"text {k % 700}") for k in range(2000)] + [(k, f"other {k}") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 40)], "doc_id long, label int")
+    seen = []
+    real = X.stored
+    monkeypatch.setattr(X, "stored", lambda df, name: seen.append(real(df, name)) or seen[-1])
+    X.fit(docs, labels).collect()
+    n = seen[0].filter("coordinate < 0").agg(F.sum("weight")).first()[0]
+    assert 20 <= n <= 120
