@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, split_words, stored
+from .common import SPACES, free_name, split_words, stored
 
 #: Base layer.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -127,13 +127,16 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
     Its fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept. Null and blank texts have no words and fail the base
-    layer. A column already named ``out`` is replaced; any other column stays.
-    Repeated rows stay repeated; an empty table gives an empty result.
+    layer. A column already named ``out`` is replaced; any other column stays,
+    whatever its name: a row's own columns travel as one struct. Repeated rows stay
+    repeated; an empty table gives an empty result.
     """
     names = [c for c in docs.columns if c != out]
     table = fences(docs, text, lang, source).withColumnsRenamed({"__lang": "__fl", "__source": "__fs"})
-    d = _repeat_words(_cheap(docs, text))
-    d = d.join(table, F.col(lang).eqNullSafe(F.col("__fl")) & F.col(source).eqNullSafe(F.col("__fs")), "left")
+    own = F.struct(*[F.col(c) for c in names], F.lit(True).alias(free_name(names, "any")))
+    d = docs.select(own.alias("__row"), F.col(text).alias("__text"), F.col(lang).alias("__lang"), F.col(source).alias("__source"))
+    d = _repeat_words(_cheap(d, "__text"))
+    d = d.join(table, F.col("__lang").eqNullSafe(F.col("__fl")) & F.col("__source").eqNullSafe(F.col("__fs")), "left")
     base_failed = (F.col("__n_words") < MIN_WORDS) | (
         100 * F.col("__n_repeat") > MAX_REPEAT_PERCENT * F.col("__n_words"))
     outlier = (_above(F.col("__n_symbols"), F.col("__word_chars"), F.col("__max_symbol_share"))
@@ -147,7 +150,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
         (~base_failed & ~outlier).alias("kept"))
     # A one-row generator: a caller's filter on the verdict must not be pushed below
     # it, where the optimizer would write the window expressions out many times over.
-    return d.select(*names, F.explode(F.array(verdict)).alias(out))
+    judged = d.select("__row", F.explode(F.array(verdict)).alias("__verdict"))
+    return judged.select(*[F.col("__row")[c].alias(c) for c in names], F.col("__verdict").alias(out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -157,5 +161,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that both layers keep, with their own columns."""
-    return judge(docs, out="__rules").filter("__rules.kept").select(*docs.columns)
+    """Pipeline stage: documents that both layers keep, with their own columns, whatever these are called."""
+    out = free_name(docs.columns, "rules")
+    return judge(docs, out=out).filter(F.col(out)["kept"]).select(*docs.columns)

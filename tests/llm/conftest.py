@@ -31,5 +31,9 @@ def clash(docs):
     from pyspark.sql import functions as F
 
     taken = ["ids", "decoded", "host", "path", "rule", "verdict", "shard", "slot", "score", "lang_pred", "spans",
-             "component", "fp", "n_words", "bucket", "start", "rules"]
+             "component", "fp", "n_words", "bucket", "start", "rules",
+             # Names that operators use inside.
+             "__words", "__n_words", "__lines", "__grams", "__sorted", "__places", "__rules", "__row", "__text", "__lang",
+             "__source", "__kept", "__verdict", "__d", "__t", "__key", "__hash", "__k", "__h", "row", "id", "digest", "hash",
+             "h", "p", "found", "shapes", "__null", "__tie", "__z", "kept_sha256", "n_removed"]
     return docs.select("*", *[F.lit("taken").alias(c) for c in taken])

@@ -98,3 +98,46 @@ def test_half_duplicates_fail_the_adaptive_layer_alone(spark):
     rows = Q.judge(df, out="rules").select("doc_id", "rules.*").collect()
     assert not any(r["base_failed"] for r in rows)
     assert {r["doc_id"] for r in rows if r["kept"]} == {r[0] for r in clean}
+
+
+def test_stage_returns_every_column_unchanged(spark, clash):
+    taken = [c for c, kind in clash.dtypes if c not in ("doc_id", "text", "lang", "source", "n_chars", "kept")]
+    rows = Q.stage(spark, clash, "").collect()
+    assert rows and all(r[c] == "taken" for r in rows for c in taken)
+
+
+def test_query_equals_brute_force(spark):
+    """Base figures and verdicts; sketches of so few documents hold every value, so fences are exact."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    values = {}
+    for r in docs:
+        n, chars, symbols, dup, *_ = brute(r["text"])
+        lines = [x for x in (r["text"] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        if n:
+            values.setdefault(r["lang"], []).append((symbols / chars, dup / len(lines), math.log(chars / n)))
+    assert max(map(len, values.values())) < Q.SKETCH_K
+    assert max(Counter((r["lang"], r["source"]) for r in docs).values()) < Q.MIN_GROUP  # fences are the languages'
+    fence = {}
+    for lang, rows in values.items():
+        for k, name in enumerate(("symbol_share", "dup_share", "word_len")):
+            x = sorted(row[k] for row in rows)
+            lo, hi = x[math.ceil(0.25 * len(x)) - 1], x[math.ceil(0.75 * len(x)) - 1]
+            spread = max(hi - lo, Q.SLACK[name], *([sum(x) / len(x) - hi] if k < 2 else []))
+            fence[lang, name] = (lo - Q.SPREAD * spread, hi + Q.SPREAD * spread)
+    want = []
+    for r in docs:
+        n, chars, symbols, dup, repeat, failed = brute(r["text"])
+        lines = [x for x in (r["text"] or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+
+        def above(count, size, name):
+            usual = fence[r["lang"], name][1] * size
+            return count > max(1.0, usual + math.sqrt(usual * max(0.0, 1 - fence[r["lang"], name][1])))
+
+        out = n and (above(symbols, chars, "symbol_share") or above(dup, len(lines), "dup_share")
+                     or not fence[r["lang"], "word_len"][0] <= math.log(chars / n) <= fence[r["lang"], "word_len"][1])
+        want.append((r["doc_id"], n, chars, symbols, dup, repeat, failed, not failed and not out))
+    got = [tuple(r) for r in Q.query(spark, sf).collect()]
+    assert sorted(got) == sorted(want) and 0 < sum(r[-1] for r in got) < len(got)
