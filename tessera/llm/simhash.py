@@ -186,6 +186,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows of one component that share that doc_id are told apart by a hash of
     their text; wholly equal ones leave one. A component of null ids keeps one.
+    A row's own columns travel as one struct, so their names do not matter.
     """
     digest = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("__digest")
     marked = cluster(docs, extra=[digest])
@@ -193,6 +194,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.min(F.struct(F.col("__key").isNull().alias("__n"), "__key", "__digest")).alias("b"))
     keep = best.select(F.col("b.__key").alias("__kept"), F.col("b.__digest").alias("__kept_digest")).distinct()
     names = docs.columns
-    hit = docs.withColumn("__d", digest).join(
-        keep, F.col("doc_id").eqNullSafe(F.col("__kept")) & (F.col("__d") == F.col("__kept_digest")), "left_semi")
-    return hit.dropDuplicates(["doc_id", "__d"]).select(*names)
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    hit = rows.join(
+        keep, F.col("id").eqNullSafe(F.col("__kept")) & (F.col("digest") == F.col("__kept_digest")), "left_semi")
+    return hit.dropDuplicates(["id", "digest"]).select(*[F.col("row")[c].alias(c) for c in names])

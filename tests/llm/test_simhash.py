@@ -103,3 +103,16 @@ def test_stage_keeps_one_of_each_component(spark, clash):
 
 def test_empty_query(spark, docs):
     assert S.cluster(docs.limit(0)).collect() == []
+
+
+def test_stage_returns_every_column_unchanged(spark, clash):
+    taken = [c for c, kind in clash.dtypes if c not in ("doc_id", "text", "lang", "source", "n_chars", "kept")]
+    rows = S.stage(spark, clash, "").collect()
+    assert rows and all(r[c] == "taken" for r in rows for c in taken)
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in S.query(spark, sf).collect())
+    assert got == brute_components(rows)
