@@ -101,13 +101,15 @@ def phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
            .groupBy("item", "__key", "__hash", (F.col("pos") - F.col("offset")).alias("shift"))
            .agg(F.collect_set("offset").alias("have")))
     # A window of three or more words needs RAREST places, so lone ones end here
-    # unless the item itself is shorter.
+    # unless the item itself is shorter. A candidate is numbers: its item's words
+    # are joined only to the few words of the document that it is compared with.
     candidates = (met.join(plans, "item")
                   .withColumn("open", F.filter("windows", lambda w: F.size(F.array_except(w["need"], F.col("have"))) == 0))
-                  .filter(F.size("open") > 0)
-                  .join(items, "item")
+                  .select("__key", "__hash", "item", "shift", F.explode("open").alias("w"))
+                  .filter(F.col("shift") + F.col("w.start") >= 0)
                   .groupBy("__key", "__hash").agg(F.collect_list(F.struct(
-                      "id", "words", "shift", F.transform("open", lambda w: F.struct(w["start"].alias("start"), w["len"].alias("len"))).alias("open"))).alias("found")))
+                      "item", (F.col("shift") + F.col("w.start")).alias("at"), F.col("w.start").alias("start"),
+                      F.col("w.len").alias("len"))).alias("found")))
     candidates = stored(candidates, "candidates")
     keys = candidates.select(F.col("__key").alias("k"), F.col("__hash").alias("h"))
     same = lambda a, b: F.col("__key").eqNullSafe(F.col(a)) & (F.col("__hash") == F.col(b))
@@ -115,11 +117,9 @@ def phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     texts = d.join(keys, same("k", "h"), "left_semi").join(c, same("ck", "ch"))
     words = texts.select("__key", "__hash", F.transform("__words", _lower).alias("__low"), "found")
     exact = words.select("__key", "__hash", "__low", F.explode("found").alias("f")).select(
-        "__key", "__hash", "__low", "f.id", "f.words", "f.shift", F.explode("f.open").alias("w"))
-    at = F.col("shift") + F.col("w.start")
-    return (exact.filter((at >= 0) & (F.slice("__low", F.greatest(at, F.lit(0)) + 1, F.col("w.len"))
-                                      == F.slice("words", F.col("w.start") + 1, F.col("w.len"))))
-            .select("__key", "__hash", "id", at.alias("at"), F.col("w.len").alias("len")).distinct())
+        "__key", "__hash", "f.*", F.slice("__low", F.col("f.at") + 1, F.col("f.len")).alias("part"))
+    return (exact.join(items, "item").filter(F.col("part") == F.slice("words", F.col("start") + 1, F.col("len")))
+            .select("__key", "__hash", "id", "at", "len").distinct())
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int, key: str = "doc_id", text: str = "text",
@@ -176,12 +176,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are not contaminated, with their own columns."""
+    """Pipeline stage: documents that are not contaminated, with their own columns, whatever these are called."""
     bad = judge(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select(
         F.col("__key").alias("__k"), F.col("__hash").alias("__h")).distinct()
     bad = stored(bad, "contaminated")
-    return docs.withColumn("__t", F.xxhash64("text")).join(
-        bad, F.col("doc_id").eqNullSafe(F.col("__k")) & (F.col("__t") == F.col("__h")), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    clean = rows.join(bad, F.col("id").eqNullSafe(F.col("__k")) & (F.col("hash") == F.col("__h")), "left_anti")
+    return clean.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

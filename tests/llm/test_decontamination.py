@@ -78,3 +78,17 @@ def test_stage_drops_contaminated_rows_only(spark, clash, tmp_path):
     docs = clash.unionByName(clash.limit(1).withColumn("text", F.lit(A)))
     out = D.stage(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and out.count() == clash.count()
+
+
+def test_stage_returns_every_column_unchanged(spark, clash, tmp_path):
+    spark.createDataFrame([("i", A)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    taken = [c for c, kind in clash.dtypes if c not in ("doc_id", "text", "lang", "source", "n_chars", "kept")]
+    rows = D.stage(spark, clash, str(tmp_path)).collect()
+    assert rows and all(r[c] == "taken" for r in rows for c in taken)
+
+
+def test_a_one_word_item_in_a_long_document(spark):
+    docs = spark.createDataFrame([(1, "the end of the " * 4000), (2, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", "The"), ("j", "end of"), ("k", "of end")], "item_id string, text string")
+    got = {r["__key"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in D.judge(docs, bench).collect()}
+    assert got == {1: (16_000, 16_000, 2), 2: (1, 0, 0)}
