@@ -1041,7 +1041,7 @@ def _split_rows(spark, sf_dir):
                      F.col("l_linenumber").cast("double").alias("l_linenumber"), (F.col("l_extendedprice") / 1000.0).alias("y"))
 
 
-_SPLIT_SQL = """
+_GAIN_SQL = """
 with r as (select floor(l_quantity / 2)::double as quantity, l_discount, l_tax, l_linenumber::double as l_linenumber,
                   l_extendedprice / 1000.0 as y from lineitem),
 long as (""" + " union all ".join(f"select '{c}' as feature, {c}::double as value, y from r" for c in _SPLIT_FEATURES) + """),
@@ -1054,7 +1054,7 @@ cuts as (select feature, (value + following) / 2 as threshold, nl::bigint as n_l
          from w where following is not null)"""
 
 
-@query("split_gains", _SPLIT_SQL + """
+@query("split_gains", _GAIN_SQL + """
 select feature, round(threshold, 6) as threshold, n_left, n_right, round(gain, 6) as gain from cuts
 """)
 def split_gains(spark, sf_dir):
@@ -1064,7 +1064,7 @@ def split_gains(spark, sf_dir):
     return gains.select("feature", rnd("threshold").alias("threshold"), "n_left", "n_right", rnd("gain").alias("gain"))
 
 
-@query("tree_first_split", _SPLIT_SQL + """
+@query("tree_first_split", _GAIN_SQL + """
 select feature, round(threshold, 6) as threshold, round(gain, 6) as gain, 1.0::double as importance
 from cuts where n_left >= 20 and n_right >= 20 order by gain desc, feature, threshold limit 1
 """)
