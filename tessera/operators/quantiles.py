@@ -65,11 +65,15 @@ def _beside(rows: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
         bounds = F.array(*[F.struct(F.lit(b["lo"]).cast("double").alias("lo"), F.lit(b["hi"]).cast("double").alias("hi"))
                            for b in row["__b"]])
         return rows.withColumn("__b", bounds)
-    return lookup(rows, state.select(*group, "__n", "__b"), group, count_col="__n")
+    # The state is stored, so its size is known: few groups are broadcast, many joined with hot ones salted.
+    return lookup(rows, state.select(*group, "__n", "__b"), group, count_col="__n", bound=state.count()).drop("__n")
 
 
-def _narrowed(rows: DataFrame, state: DataFrame, group: list[str], probs, gather: int) -> DataFrame:
-    """One scan: count below and inside every open bracket, then narrow, widen or settle it."""
+def _narrowed(rows: DataFrame, state: DataFrame, group: list[str], probs, gather: int, sketches: bool = True) -> DataFrame:
+    """One scan: count below and inside every open bracket, then narrow, widen or settle it.
+
+    Without ``sketches`` (for brackets that should be small enough) none is narrowed.
+    """
     met = _beside(rows, state, group)
     x = F.when(~F.isnan("__x"), F.col("__x"))
     aggs = []
@@ -77,9 +81,14 @@ def _narrowed(rows: DataFrame, state: DataFrame, group: list[str], probs, gather
         b = F.col("__b")[k]
         within = (x >= b["lo"]) & (x <= b["hi"])
         aggs += [F.count_if(x < b["lo"]).alias(f"below{k}"), F.count_if(within).alias(f"inside{k}"),
-                 _sketch(F.when(within & (b["lo"] < b["hi"]), x)).alias(f"s{k}"),
-                 F.count_if(within & (b["lo"] < b["hi"])).alias(f"m{k}")]
+                 F.count_if((x > b["lo"]) & (x < b["hi"])).alias(f"between{k}")]
+        if sketches:
+            aggs += [_sketch(F.when(within & (b["lo"] < b["hi"]), x)).alias(f"s{k}"),
+                     F.count_if(within & (b["lo"] < b["hi"])).alias(f"m{k}")]
     counted = met.groupBy(*group).agg(*aggs)
+    if not sketches:
+        counted = counted.withColumns({f"{c}{k}": F.lit(v).cast(t) for k in range(len(probs))
+                                       for c, v, t in (("s", None, "binary"), ("m", 0, "long"))})
     renamed = counted.withColumnsRenamed({g: f"__c_{i}" for i, g in enumerate(group)})
     if group:
         cond = None
@@ -89,7 +98,7 @@ def _narrowed(rows: DataFrame, state: DataFrame, group: list[str], probs, gather
         joined = state.join(renamed, cond)
     else:
         row = counted.select(F.struct(*[F.when(F.col(f"m{k}") > 0, F.col(f"s{k}")).alias(f"s{k}") for k in range(len(probs))],
-                                      *[c for k in range(len(probs)) for c in (f"below{k}", f"inside{k}", f"m{k}")]).alias("c"))
+                                      *[c for k in range(len(probs)) for c in (f"below{k}", f"inside{k}", f"between{k}", f"m{k}")]).alias("c"))
         joined = state.withColumn("c", row.scalar()).select("*", "c.*")
     grid = [i / STEPS for i in range(STEPS + 1)]
     brackets = []
@@ -102,8 +111,9 @@ def _narrowed(rows: DataFrame, state: DataFrame, group: list[str], probs, gather
             F.floor((rank - below) / F.greatest(inside, F.lit(1)) * STEPS) + by, F.lit(0)), F.lit(STEPS)).cast("int")
         lo = F.coalesce(F.get(steps, reach(b["low"], -1)), b["lo"])
         hi = F.coalesce(F.get(steps, reach(b["high"], 2)), b["hi"])
-        same = (lo == b["lo"]) & (hi == b["hi"])
-        settled = ~early & ~late & ((inside <= gather) | same)
+        same = (b["lo"] == b["hi"]) | (F.lit(sketches) & (lo == b["lo"]) & (hi == b["hi"]))
+        # Rows at either end are one counted value each, however many they are.
+        settled = ~early & ~late & ((F.col(f"between{k}") <= gather) | same)
         brackets.append(F.when(b["done"], b).otherwise(F.struct(
             b["spot"].alias("spot"), b["low"].alias("low"), b["high"].alias("high"),
             F.when(early, F.col("__min")).when(late | settled, b["lo"]).otherwise(lo).alias("lo"),
@@ -112,11 +122,15 @@ def _narrowed(rows: DataFrame, state: DataFrame, group: list[str], probs, gather
     return joined.select(*group, "__n", "__finite", "__min", "__max", F.array(*brackets).alias("__b"))
 
 
-def _read(rows: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
-    """(group, k, low, high): the values at both ranks of every quantile, from the gathered brackets."""
+def _read(rows: DataFrame, state: DataFrame, group: list[str], many: int) -> DataFrame:
+    """(group, k, low, high): the values at both ranks of each of ``many`` quantiles, from the gathered brackets."""
+    bounds = [F.col("__b")[k] for k in range(many)]
+    some = F.lit(False)
+    for b in bounds:  # plain comparisons first: few rows are in any bracket
+        some = some | ((F.col("__x") >= b["lo"]) & (F.col("__x") <= b["hi"]))
     near = F.filter(F.transform(F.col("__b"), lambda b, k: F.when(
         (F.col("__x") >= b["lo"]) & (F.col("__x") <= b["hi"]), k)), lambda k: k.isNotNull())
-    held = (_beside(rows.filter(~F.isnan("__x")), state, group).select(*group, F.explode(near).alias("k"), "__x")
+    held = (_beside(rows.filter(~F.isnan("__x")), state, group).filter(some).select(*group, F.explode(near).alias("k"), "__x")
             .groupBy(*group, "k", "__x").agg(F.count(F.lit(1)).alias("c")))
     until = Window.partitionBy(*group, "k").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     placed = held.withColumn("to", F.sum("c").over(until))
@@ -146,11 +160,14 @@ def exact_quantiles(df: DataFrame, value: str, probs, group: list[str] | None =
     names = names or [f"p{int(round(p * 100))}" for p in probs]
     rows = df.select(*group, F.col(value).cast("double").alias("__x")).filter("__x is not null")
     state = materialize(_first(rows, group, probs, gather))
+    largest = state.agg(F.max("__finite")).first()[0] or 0
+    sketches = 2 * MARGIN * largest > gather  # else the first brackets hold few enough rows
     for _ in range(ROUNDS):
         if state.filter(F.exists("__b", lambda b: ~b["done"])).isEmpty():
             break
-        state = materialize(_narrowed(rows, state, group, probs, gather))
-    found = _read(rows, state, group)
+        state = materialize(_narrowed(rows, state, group, probs, gather, sketches))
+        sketches = True
+    found = _read(rows, state, group, len(names))
     wide = found.groupBy(*group).agg(*[F.max(F.when(F.col("k") == k, F.struct("low", "high"))).alias(f"__v{k}")
                                        for k in range(len(names))])
     # Null-safe: a null group keeps its row, and a group of NaN alone has no values.
