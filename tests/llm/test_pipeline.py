@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = set(E.queries())
-    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(registry.QUERIES) <= names and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash", "suffix_dedup", "decontamination", "bpe"]
 
