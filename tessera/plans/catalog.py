@@ -1080,6 +1080,163 @@ def tree_first_split(spark, sf_dir):
                       rnd(F.lit(float(root.gain()))).alias("gain"), rnd("importance").alias("importance"))
 
 
+@query("forest_first_split", _GAIN_SQL + """
+select feature, round(threshold, 6) as threshold, round(gain, 6) as gain, 1.0::double as importance, 30::bigint as n_trees
+from cuts where n_left >= 10 and n_right >= 10 order by gain desc, feature, threshold limit 1
+""")
+def forest_first_split(spark, sf_dir):
+    """K2 without its random draws (every row and feature in each tree): how many trees make which first cut."""
+    from . import models
+
+    data = _vectors(_split_rows(spark, sf_dir), _SPLIT_FEATURES)
+    forest = models.registry()["random_forest"].build("scaled_features", "y", "prediction", maxDepth=1, **_WHOLE_FOREST).fit(data)
+    roots = [t._java_obj.rootNode() for t in forest.trees]
+    cuts = spark.createDataFrame([(_SPLIT_FEATURES[r.split().featureIndex()], float(r.split().threshold()), float(r.gain()))
+                                  for r in roots], "feature string, threshold double, gain double")
+    cuts = cuts.select("feature", rnd("threshold").alias("threshold"), rnd("gain").alias("gain"))
+    cuts = cuts.groupBy("feature", "threshold", "gain").agg(F.count(F.lit(1)).alias("n_trees"))
+    return cuts.join(models.importances(forest, _SPLIT_FEATURES), "feature").select(
+        "feature", "threshold", "gain", rnd("importance").alias("importance"), "n_trees")
+
+
+# Boosted depth-1 trees without subsampling, step by step. Squared error's
+# gradient is twice the residual, the first tree counts whole and the others by the step size.
+
+_WHOLE_FOREST = {"subsamplingRate": 1.0, "bootstrap": False, "featureSubsetStrategy": "all"}
+_BOOST_STEPS, _BOOST_RATE = 4, 0.1
+_WHOLE_BOOST = {"subsamplingRate": 1.0, "maxDepth": 1, "maxIter": _BOOST_STEPS}
+
+
+def _stump_sql(rows: str, target: str, features: list[str], least: int = 1) -> str:
+    """The best cut of the rows for a target: feature, threshold, gain and the mean on either side."""
+    long = " union all ".join(f"select '{c}' as feature, {c}::double as value, {target} as t from {rows}" for c in features)
+    return f"""(select feature, (value + following) / 2 as threshold, sl / nl as low, (s - sl) / (n - nl) as high,
+        nl::double * (n - nl) / (n::double * n) * power(sl / nl - (s - sl) / (n - nl), 2) as gain
+ from (select feature, value, lead(value) over f as following, sum(n) over f as nl, sum(s) over f as sl,
+              sum(n) over (partition by feature) as n, sum(s) over (partition by feature) as s
+       from (select feature, value, count(*) as n, sum(t) as s from ({long}) group by 1, 2)
+       window f as (partition by feature order by value))
+ where following is not null and nl >= {least} and n - nl >= {least} order by gain desc, feature, threshold limit 1)"""
+
+
+def _side_sql(features: list[str], cut: str) -> str:
+    """What a cut predicts for a row."""
+    value = " ".join(f"when '{c}' then {c}::double" for c in features)
+    return f"case when case {cut}.feature {value} end <= {cut}.threshold then {cut}.low else {cut}.high end"
+
+
+def _boost_sql(rows: str, features: list[str]) -> str:
+    """CTEs ending in ``steps`` (tree, weight, cut): the boosting path over the rows' column y."""
+    ctes = [f"f1 as (select *, 0.0::double as f, y as t from {rows})"]
+    for k in range(1, _BOOST_STEPS + 1):
+        weight = 1.0 if k == 1 else _BOOST_RATE
+        ctes.append(f"c{k} as (select {k}::bigint as tree, {weight}::double as weight, c.* from {_stump_sql(f'f{k}', 't', features)} c)")
+        if k < _BOOST_STEPS:
+            ctes.append(f"p{k} as (select f{k}.* exclude (f, t), f + weight * {_side_sql(features, f'c{k}')} as f from f{k}, c{k})")
+            ctes.append(f"f{k + 1} as (select *, 2 * (y - f) as t from p{k})")
+    ctes.append("steps as (" + " union all ".join(f"select * from c{k}" for k in range(1, _BOOST_STEPS + 1)) + ")")
+    return ",\n".join(ctes)
+
+
+def _boosted(spark, sf_dir):
+    from . import models
+
+    data = _vectors(_split_rows(spark, sf_dir), _SPLIT_FEATURES)
+    return models.registry()["gbt"].build("scaled_features", "y", "prediction", **_WHOLE_BOOST).fit(data)
+
+
+_BOOST_SQL = _GAIN_SQL.split(",\nlong as")[0] + ",\n" + _boost_sql("r", _SPLIT_FEATURES)
+
+
+@query("boosted_stumps", _BOOST_SQL + """
+select tree, weight, feature, round(threshold, 6) as threshold, round(gain, 6) as gain,
+       round(low, 6) as low, round(high, 6) as high
+from steps
+""")
+def boosted_stumps(spark, sf_dir):
+    model = _boosted(spark, sf_dir)
+    rows = []
+    for k, (tree, weight) in enumerate(zip(model.trees, model.treeWeights), 1):
+        root = tree._java_obj.rootNode()
+        rows.append((k, float(weight), _SPLIT_FEATURES[root.split().featureIndex()], float(root.split().threshold()),
+                     float(root.gain()), float(root.leftChild().prediction()), float(root.rightChild().prediction())))
+    steps = spark.createDataFrame(rows, "tree long, weight double, feature string, threshold double, gain double, low double, high double")
+    return steps.select("tree", "weight", "feature", *[rnd(c).alias(c) for c in ("threshold", "gain", "low", "high")])
+
+
+@query("boosted_importances", _BOOST_SQL + """,
+i as (select feature, coalesce(sum(gain), 0) / (select sum(gain) from steps) as importance
+      from (select unnest([""" + ", ".join(f"'{c}'" for c in _SPLIT_FEATURES) + """]) as feature) left join steps using (feature)
+      group by feature)
+select feature, round(importance, 6) as importance, round(importance, 6) as share, importance > 0.3 as dominant
+from i order by importance desc, feature limit 10
+""")
+def boosted_importances(spark, sf_dir):
+    """A path's trees weigh by the variance that their cuts remove."""
+    from . import models
+
+    top = topk.top_importances(audit.dominance_audit(models.importances(_boosted(spark, sf_dir), _SPLIT_FEATURES)), 10)
+    return top.select("feature", rnd("importance").alias("importance"), rnd("share").alias("share"), "dominant")
+
+
+# Ridge, forest and boosted trees on one feature, fitted, scored and blended
+# by the runs' own code, against their closed forms
+
+_ENSEMBLE_SQL = _LINEAR_SQL + f""",
+t as (select o_orderkey, month, y, {_bucket_sql('o_orderkey')} as bucket from r),
+train as (select * from t where bucket < 80), test as (select * from t where bucket >= 80),
+shrunk as (select * from ({_shrunk_sql('(select month as x, y from train)')}) where reg = 0.1 and elastic = 0),
+stump as {_stump_sql('train', 'y', ['month'], 10)},
+{_boost_sql('train', ['month'])},
+single as (select o_orderkey, y as label, my + coefficient * (month - mx) as p_ridge, {_side_sql(['month'], 'stump')} as p_rf
+           from test, shrunk, stump),
+boosted as (select o_orderkey, sum(weight * {_side_sql(['month'], 'steps')}) as p_gbt from test, steps group by o_orderkey),
+wide as (select *, 0.2 * p_ridge + 0.3 * p_rf + 0.5 * p_gbt as blend from single join boosted using (o_orderkey)),
+p as (""" + " union all ".join(f"select '{m}' as model, o_orderkey, label, {c} as prediction from wide" for m, c in (
+    ("ridge", "p_ridge"), ("random_forest", "p_rf"), ("gbt", "p_gbt"), ("ensemble", "blend"))) + ")"
+
+
+def _ensemble_fit(spark, sf_dir):
+    """(fit of the three models, the ensemble's predictions)."""
+    from . import models
+    from .features import FeatureSpec, Prepared
+
+    data = _vectors(_linear_rows(spark, sf_dir).select("o_orderkey", "month", "y"), ["month"])
+    train, test = split.hash_split(data, "o_orderkey")
+    spec = FeatureSpec(key="o_orderkey", label="y", text=None, hashed=[], reduce=[], encoders=[], numeric=["month"], indexed=[])
+    prep = Prepared(train, test, None, spec)
+    fit = models.fit_all(prep, ("ridge", "random_forest", "gbt"), specs=models.registry(),
+                         overrides={"random_forest": {"maxDepth": 1, **_WHOLE_FOREST}, "gbt": _WHOLE_BOOST})
+    return fit, models.ensemble(prep, *[fit.models[m] for m in ("ridge", "random_forest", "gbt")])
+
+
+@query("ensemble_one_feature", _ENSEMBLE_SQL + """
+select model, round(sqrt(avg(power(label - prediction, 2))), 6) as rmse, round(avg(abs(label - prediction)), 6) as mae,
+       round(1 - sum(power(label - prediction, 2)) / sum(power(label - mu, 2)), 6) as r2, count(*) as n
+from p, (select avg(label) as mu from wide) group by model
+""")
+def ensemble_one_feature(spark, sf_dir):
+    fit, ensemble = _ensemble_fit(spark, sf_dir)
+    board = fit.board.drop("seconds").unionByName(
+        evaluate.metrics(ensemble, label="y", prediction="prediction").withColumn("model", F.lit("ensemble")))
+    return board.select("model", *[rnd(c).alias(c) for c in ("rmse", "mae", "r2")], "n")
+
+
+@query("worst_ensemble_predictions", _ENSEMBLE_SQL + """,
+e as (select *, abs(label - prediction) as error from p),
+o as (select *, row_number() over (partition by model order by error desc, o_orderkey) as place from e)
+select model, o_orderkey, round(label, 6) as label, round(prediction, 6) as prediction, round(error, 6) as error
+from o where place <= 20
+""")
+def worst_ensemble_predictions(spark, sf_dir):
+    from . import models
+
+    fit, ensemble = _ensemble_fit(spark, sf_dir)
+    worst = models.worst(fit, "o_orderkey", "y", 20).unionByName(
+        evaluate.worst_predictions(ensemble, "o_orderkey", 20, label="y").withColumn("model", F.lit("ensemble")))
+    return worst.select("model", "o_orderkey", rnd("y").alias("label"), *[rnd(c).alias(c) for c in ("prediction", "error")])
+
+
 # Leakage audit of four encodings of o_custkey against the target
 
 @query("leakage_audit", f"""
