@@ -70,14 +70,75 @@ def _global_mean(stats: DataFrame) -> Column:
     return stats.select((F.sum("s") / F.sum("nt")).alias("mu")).scalar()
 
 
-def fit_frequency(train: DataFrame, col: str) -> Encoding:
-    """E1f: value = count(category) / train rows; unseen -> 1 / train rows."""
-    counts = materialize(train.groupBy(col).agg(_count().alias("n")))
+def category_stats(train: DataFrame, cols: list[str], target: str | None = None) -> dict[str, DataFrame]:
+    """Per column its (category, n) table, with s, nt and mean of ``target`` where one is named.
+
+    All columns come from one scan and one shuffle: the rows are grouped by grouping
+    sets, one per column, with partial aggregates before the shuffle. The result is
+    checkpointed once; a null category is a category, told from another column's rows
+    by the set's number.
+    """
+    cols = list(dict.fromkeys(cols))
+    if not cols:
+        return {}
+    aggs = [_count().alias("n")]
+    if target is not None:
+        aggs += [F.sum("__y").alias("s"), F.count("__y").alias("nt"), F.avg("__y").alias("mean")]
+    # The target under another name: a column may be both a category and the target.
+    rows = train.select(*cols, *([F.col(target).alias("__y")] if target is not None else []))
+    if len(cols) == 1:
+        return {cols[0]: materialize(rows.groupBy(cols[0]).agg(*aggs))}
+    sets = materialize(rows.groupingSets([[c] for c in cols], *cols).agg(F.grouping_id().alias("__set"), *aggs))
+    every = (1 << len(cols)) - 1
+    values = [c for c in sets.columns if c not in cols and c != "__set"]
+    return {c: sets.filter(F.col("__set") == every - (1 << (len(cols) - 1 - k))).select(c, *values)
+            for k, c in enumerate(cols)}
+
+
+def fit_many(train: DataFrame, encoders: list[tuple[str, str]], target: str,
+             smoothing: float = SMOOTHING) -> list[Encoding]:
+    """E1f, E2f and plain means of many columns from one scan of the training rows.
+
+    ``encoders`` pairs a column with ``"frequency"``, ``"target"`` or ``"mean"``; each
+    result equals that of ``fit_frequency``, ``fit_target`` or ``fit_mean`` alone.
+    """
+    unknown = {kind for _, kind in encoders} - set(_FROM_STATS)
+    if unknown:
+        raise ValueError(f"unknown encoders {sorted(unknown)}")
+    needs_target = any(kind != "frequency" for _, kind in encoders)
+    stats = category_stats(train, [c for c, _ in encoders], target if needs_target else None)
+    return [from_stats(kind, c, stats[c], smoothing) for c, kind in encoders]
+
+
+def from_stats(kind: str, col: str, stats: DataFrame, smoothing: float = SMOOTHING) -> Encoding:
+    """An encoder from a column's table of ``category_stats``."""
+    return _FROM_STATS[kind](col, stats, smoothing)
+
+
+def _frequency_of(col: str, counts: DataFrame, smoothing: float = SMOOTHING) -> Encoding:
     total = counts.select(F.sum("n").cast("double")).scalar()
-    table = counts.withColumn("value", F.col("n") / total)
+    table = counts.select(col, "n", (F.col("n") / total).alias("value"))
     return Encoding(col, table, F.lit(1.0) / total, "_freq")
 
 
+def _target_of(col: str, stats: DataFrame, smoothing: float = SMOOTHING) -> Encoding:
+    mu = _global_mean(stats)
+    value = (F.col("mean") * F.col("n") + mu * F.lit(smoothing)) / (F.col("n") + F.lit(smoothing))
+    return Encoding(col, stats.select(col, "n", value.alias("value")), mu, "_encoded")
+
+
+def _mean_of(col: str, stats: DataFrame, smoothing: float = SMOOTHING) -> Encoding:
+    return Encoding(col, stats.select(col, F.col("mean").alias("value"), "n"), _global_mean(stats), "_mean")
+
+
+_FROM_STATS = {"frequency": _frequency_of, "target": _target_of, "mean": _mean_of}
+
+
+def fit_frequency(train: DataFrame, col: str) -> Encoding:
+    """E1f: value = count(category) / train rows; unseen -> 1 / train rows."""
+    return _frequency_of(col, category_stats(train, [col])[col])
+
+
 def frequency_table(df: DataFrame, col: str) -> DataFrame:
     """Category popularity (category, n, freq) without applying it."""
     enc = fit_frequency(df, col)
@@ -87,26 +148,23 @@ def frequency_table(df: DataFrame, col: str) -> DataFrame:
 def fit_target(train: DataFrame, col: str, target: str,
                smoothing: float = SMOOTHING) -> Encoding:
     """E2f: (mean_c * n_c + mu * m) / (n_c + m); unseen -> mu (global mean)."""
-    stats = _target_stats(train, [col], target)
-    mu = _global_mean(stats)
-    table = (stats.withColumn("value", (F.col("mean") * F.col("n") + mu * F.lit(smoothing))
-                              / (F.col("n") + F.lit(smoothing)))
-             .select(col, "n", "value"))
-    return Encoding(col, table, mu, "_encoded")
+    return _target_of(col, category_stats(train, [col], target)[col], smoothing)
 
 
 def fit_mean(train: DataFrame, col: str, target: str) -> Encoding:
     """Plain mean target per category (no smoothing); unseen -> mu."""
-    stats = _target_stats(train, [col], target)
-    table = stats.select(col, F.col("mean").alias("value"), "n")
-    return Encoding(col, table, _global_mean(stats), "_mean")
+    return _mean_of(col, category_stats(train, [col], target)[col])
 
 
 def fit_top_n(train: DataFrame, col: str, n: int = TOP_N) -> DataFrame:
     """E3f / T1: the N most frequent categories; ties broken by the value."""
-    return materialize(train.groupBy(col).agg(_count().alias("count"))
-                       .orderBy(F.col("count").desc(), F.col(col).asc_nulls_last())
-                       .limit(n))
+    return materialize(top_of(train.groupBy(col).agg(_count().alias("n")), col, n))
+
+
+def top_of(counts: DataFrame, col: str, n: int = TOP_N) -> DataFrame:
+    """T1 from a fitted (category, n) table: (category, count) of the N most frequent."""
+    return (counts.select(col, F.col("n").alias("count"))
+            .orderBy(F.col("count").desc(), F.col(col).asc_nulls_last()).limit(n))
 
 
 def reduce_cardinality(df: DataFrame, col: str, top: DataFrame, n: int = TOP_N,

@@ -88,9 +88,8 @@ def flagship(spark: SparkSession, sf_dir: str, top_n: int = 5) -> DataFrame:
     labels = load(spark, sf_dir, "labels", "doc_id", "quality")
     rows = clean.drop_nulls(joins.join_on_key(docs, labels, "doc_id", "inner"),
                             ["source", "quality"])
-    enc = encode.fit_target(rows, "source", "quality")
-    stats = rows.groupBy("source").agg(F.avg("quality").alias("mean_target"))
-    table = enc.table.join(stats, on="source", how="inner")
+    enc, mean = encode.fit_many(rows, [("source", "target"), ("source", "mean")], "quality")
+    table = enc.table.join(mean.table.select("source", F.col("value").alias("mean_target")), on="source", how="inner")
     top = topk.top_rows(table, "n", top_n, tie=["source"])
     return top.select("source", "n", rnd("mean_target").alias("mean_target"),
                       rnd("value").alias("encoded"))
@@ -746,9 +745,9 @@ def split_multivalue(spark, sf_dir):
 def _predictions(spark, sf_dir):
     o = _orders_xy(spark, sf_dir).select("o_orderkey", "o_custkey", "o_orderpriority", "y")
     train, test = split.hash_split(o, "o_orderkey")
-    mu = train.select(F.avg("y")).scalar()
-    pri = encode.fit_mean(train, "o_orderpriority", "y")
-    cus = encode.fit_target(train, "o_custkey", "y")
+    # Both category tables and the global mean from one scan of the training rows.
+    pri, cus = encode.fit_many(train, [("o_orderpriority", "mean"), ("o_custkey", "target")], "y")
+    mu = pri.default
     p = pri.apply(test, drop=False, salt_by=["o_orderkey"])
     p = cus.apply(p, drop=False, salt_by=["o_orderkey"])
     return p.select("o_orderkey", F.col("y").alias("label"), mu.alias("p_global"),

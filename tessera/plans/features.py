@@ -73,19 +73,24 @@ class FeatureSpec:
 
 def encode_train_test(train: DataFrame, test: DataFrame, spec: FeatureSpec):
     """Fit the category encoders on train, apply the same tables to both."""
+    # One scan of the training rows feeds the top-N cuts and all encoders, which are fitted
+    # on the base rows and only then applied. A cut column that is also encoded takes its
+    # encoder from the cut values, in a scan of its own.
+    shared = [(c, kind) for c, kind in spec.encoders if c not in spec.reduce]
+    stats = encode.category_stats(train, [*spec.reduce, *[c for c, _ in shared]],
+                                  spec.label if any(kind == "target" for _, kind in shared) else None)
     for c in spec.reduce:
-        top = encode.fit_top_n(train, c, spec.top_n)
+        top = materialize(encode.top_of(stats[c], c, spec.top_n))
         train = encode.reduce_cardinality(train, c, top, n=spec.top_n)
         test = encode.reduce_cardinality(test, c, top, n=spec.top_n)
-    # Every encoder is fitted on the base rows; only then are they applied.
     fitted = []
     for c, kind in spec.encoders:
-        if kind == "frequency":
-            fitted.append(encode.fit_frequency(train, c))
-        elif kind == "target":
-            fitted.append(encode.fit_target(train, c, spec.label, spec.smoothing))
-        else:
+        if kind not in ("frequency", "target"):
             raise ValueError(f"unknown encoder {kind!r}")
+        if c in spec.reduce:
+            fitted += encode.fit_many(train, [(c, kind)], spec.label, spec.smoothing)
+        else:
+            fitted.append(encode.from_stats(kind, c, stats[c], spec.smoothing))
     for enc in fitted:
         train = enc.apply(train, salt_by=[spec.key])
         test = enc.apply(test, salt_by=[spec.key])

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import encode, joins
@@ -138,3 +139,49 @@ def test_combined_encodings_equal_the_separate_encoders(spark):
         for c in ("c_encoded", "c_loo", "c_kfold", "c_freq"):
             a, b = g[c], w[c]
             assert (a is None and b is None) or abs(a - b) < 1e-9, (i, c, a, b)
+
+
+def _mixed(spark):
+    rows = [(i, None if i % 11 == 0 else f"a{i % 4}", None if i % 7 == 0 else i % 3, None if i % 5 == 0 else float(i % 13))
+            for i in range(200)]
+    return spark.createDataFrame(rows, "id int, a string, b int, y double").repartition(5)
+
+
+def test_encoders_of_one_scan_equal_separate_fits(spark):
+    df = _mixed(spark)
+    kinds = [("a", "frequency"), ("a", "target"), ("b", "target"), ("b", "mean"), ("y", "frequency")]
+    alone = {"frequency": lambda c: encode.fit_frequency(df, c), "target": lambda c: encode.fit_target(df, c, "y"),
+             "mean": lambda c: encode.fit_mean(df, c, "y")}
+    for (col, kind), enc in zip(kinds, encode.fit_many(df, kinds, "y"), strict=True):
+        sep = alone[kind](col)
+        got, want = [{tuple(r)[0]: r for r in e.table.select(col, "n", "value").collect()} for e in (enc, sep)]
+        assert got.keys() == want.keys() and None in got and enc.output == sep.output
+        for k, r in want.items():
+            assert got[k].n == r.n and got[k].value == pytest.approx(r.value, rel=1e-12)
+        assert enc.apply(df, drop=False, salt_by=["id"]).count() == 200
+
+
+def test_category_stats_of_odd_inputs(spark):
+    empty = encode.category_stats(_mixed(spark).filter("id < 0"), ["a", "b"], "y")
+    assert [t.count() for t in empty.values()] == [0, 0]
+    assert encode.category_stats(_mixed(spark), [], "y") == {}
+    twice = encode.category_stats(_mixed(spark), ["b", "b"])
+    assert list(twice) == ["b"] and sum(r.n for r in twice["b"].collect()) == 200
+    with pytest.raises(ValueError, match="unknown encoders"):
+        encode.fit_many(_mixed(spark), [("a", "ordinal")], "y")
+
+
+def test_top_n_and_encoders_share_a_scan(spark):
+    from tessera.plans.features import FeatureSpec, encode_train_test
+
+    df = _mixed(spark).select("id", "a", F.col("b").cast("string").alias("b"), F.col("a").alias("c"), "y")
+    spec = FeatureSpec(key="id", label="y", text=None, hashed=["a"], reduce=["a", "c"], top_n=2,
+                       encoders=[("b", "target"), ("c", "frequency")], numeric=[], indexed=[])
+    train, test = encode_train_test(df, df, spec)
+    top = encode.fit_top_n(df, "c", 2)
+    cut = encode.reduce_cardinality(df, "c", top, n=2)
+    want = encode.fit_target(df, "b", "y").apply(encode.fit_frequency(cut, "c").apply(cut, salt_by=["id"]), salt_by=["id"])
+    columns = ["id", "b_encoded", "c_freq"]
+    got, want = [d.select(columns).orderBy("id").toPandas().to_numpy() for d in (test, want)]
+    assert got == pytest.approx(want)
+    assert train.count() == 200
