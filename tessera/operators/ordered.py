@@ -8,7 +8,7 @@ two-level scan instead:
    usual source of skew, collapse to one row with a count;
 2. range-partition those rows on (group, order value); sampling balances
    the partitions even when a single group spans most of the data;
-3. checkpoint them with the partition id (so both passes below see the
+3. store them with the partition id (so both passes below see the
    same blocks), take running sums inside each (partition, group) block;
 4. add, per block, the totals of the earlier blocks of the same group
    (a window over at most one row per block and group).
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import stored
 from .quantiles import exact_quantiles  # noqa: F401  (its earlier place)
 
 
@@ -40,7 +40,7 @@ def exclusive_prefix(rows: DataFrame, group: list[str], order: str,
     # are still contiguous in (group, order), which is all the scan needs.
     ranged = (rows.repartitionByRange(partitions, *ordering) if partitions
               else rows.repartitionByRange(*ordering))
-    blocks = materialize(ranged.withColumn("__pid", F.spark_partition_id()))
+    blocks = stored(ranged.withColumn("__pid", F.spark_partition_id()), "ordered-blocks")
     keys = ["__pid", *group]
     # Block totals: at most one row per (partition, group), so the windows
     # over them below are small even when one group spans every partition.

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import missing
 from ..functions.scalars import pct, tenth_bin, width_bin
-from ..session import materialize
+from ..session import materialize, stored
 from .joins import lookup
 from .quantiles import exact_quantiles, rank_errors
 
@@ -79,7 +79,7 @@ def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
     rows = df.select(*cols)
     digested = rows.select("*", *_digest(rows, cols))
-    counts = materialize(digested.select("__d1", "__d2").groupBy("__d1", "__d2").agg(F.count(F.lit(1)).alias("__c")))
+    counts = stored(digested.select("__d1", "__d2").groupBy("__d1", "__d2").agg(F.count(F.lit(1)).alias("__c")), "row-digests")
     again = counts.filter(F.col("__c") > 1).select("__d1", "__d2")
     whole = digested.join(again, ["__d1", "__d2"], "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
     once = counts.filter(F.col("__c") == 1).select("__c")

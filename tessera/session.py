@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -112,8 +113,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared checkpoint folder.
+
+    For tables that grow with the data: rows are written once, compressed, without being
+    cached first; later reads prune columns and push filters down, and the planner
+    knows the size. Such tables stay until the folder is cleared. Rows come back
+    in any order and every column as nullable.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
+    """Cut lineage with a reliable checkpoint in the shared folder (order and partitions stay).
 
     Used before work that reads the same table many times (model fits,
     two-pass prefix sums) so a lost executor re-reads checkpoint files

@@ -29,3 +29,18 @@ def test_spread_only_where_asked(spark):
         assert spread_if_asked(one).count() == one.count()
     finally:
         spark.conf.unset(SPREAD_CONF)
+
+
+def test_stored_tables_prune_columns_and_keep_metadata(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    from tessera.session import stored
+
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("a b"), F.lit(None).cast("string").alias("c"))
+    kept = stored(VectorAssembler(inputCols=["id", "a b"], outputCol="v").transform(df), "test")
+    assert kept.count() == 100 and kept.filter("id = 41").first()["v"].toArray().tolist() == [41.0, 6.0]
+    assert kept.schema["v"].metadata["ml_attr"]["num_attrs"] == 2
+    plan = kept.filter("id > 90").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan and "GreaterThan(id,90)" in plan
+    assert stored(df.filter("id < 0"), "test").collect() == []
