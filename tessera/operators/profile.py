@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.predicates import missing
 from ..functions.scalars import pct, tenth_bin, width_bin
 from ..session import materialize, stored
-from .joins import lookup
+from .joins import BROADCAST_MAX_ROWS, lookup
 from .quantiles import exact_quantiles, rank_errors
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -74,13 +74,16 @@ def duplicates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     First rows are counted by a 128-bit digest: what is shuffled is two longs and a
     count, however wide the table is, with map-side partial counts for a row
     repeated a billion times. Only rows whose digest occurs again are then grouped at
-    full width, so the result does not rest on the digest.
+    full width, so the result does not rest on the digest. The list of those digests is
+    broadcast if it has at most BROADCAST_MAX_ROWS; a longer one is joined by shuffling rows.
     """
     cols = cols or df.columns
     rows = df.select(*cols)
     digested = rows.select("*", *_digest(rows, cols))
     counts = stored(digested.select("__d1", "__d2").groupBy("__d1", "__d2").agg(F.count(F.lit(1)).alias("__c")), "row-digests")
     again = counts.filter(F.col("__c") > 1).select("__d1", "__d2")
+    if again.count() <= BROADCAST_MAX_ROWS:
+        again = F.broadcast(again)  # whole rows then meet the list where they are read
     whole = digested.join(again, ["__d1", "__d2"], "left_semi").groupBy(*cols).agg(F.count(F.lit(1)).alias("__c"))
     once = counts.filter(F.col("__c") == 1).select("__c")
     return once.unionByName(whole.select("__c")).agg(

@@ -94,3 +94,11 @@ def test_leaderboard_sorted_and_best(spark):
     assert topk.best_model(board).first().model == "a"
     v = board.select(evaluate.r2_verdict(F.col("r2")).alias("v")).collect()
     assert [x.v for x in v] == ["acceptable", "suspect leakage"]
+
+
+def test_duplicates_with_a_long_list_of_digests(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 40, None if i % 3 else f"v{i % 60}") for i in range(300)], "a int, b string").repartition(6)
+    short = profile.duplicates(df).first()
+    monkeypatch.setattr(profile, "BROADCAST_MAX_ROWS", 0)
+    assert profile.duplicates(df).first() == short
+    assert short.rows == 300 and short.distinct_rows == df.distinct().count()
