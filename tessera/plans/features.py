@@ -228,4 +228,9 @@ def _placed(df: DataFrame, spec: FeatureSpec, rows: int) -> DataFrame:
     Bagging and mini-batches draw random numbers per partition and row. With
     partitions and their order fixed by the key, a fit repeats on any cluster.
     """
-    return df.repartition(fit_partitions(rows, spec), spec.key).sortWithinPartitions(spec.key)
+    return dealt(df, spec.key, fit_partitions(rows, spec))
+
+
+def dealt(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Rows in ``partitions`` partitions by key, each in key order (at least one partition)."""
+    return df.repartition(max(1, partitions), key).sortWithinPartitions(key)

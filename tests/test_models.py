@@ -95,3 +95,18 @@ def test_prepared_tables_survive_losing_their_cache(spark):
         assert "FileScan parquet" not in plan  # lineage starts at the checkpoint
     finally:
         prep.release()
+
+
+def test_factorisation_machine_reads_finely_dealt_rows(spark, monkeypatch):
+    """Its rows are dealt by their number alone, and a small table stays one partition with the same fit."""
+    prep = _linear(spark, n=100)
+    prep.train, prep.test = prep.train.repartition(1, "id").sortWithinPartitions("id"), prep.test.coalesce(1)
+    seen, fit = [], models.FMRegressor.fit
+    monkeypatch.setattr(models.FMRegressor, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    small = {"fm": {"maxIter": 3}}
+    now = models.fit_all(prep, ("fm",), overrides=small).models["fm"]
+    before = fit(models._fm("scaled_features", "y", "prediction", maxIter=3), prep.train)
+    assert now.intercept == before.intercept and now.linear == before.linear and now.factors == before.factors
+    monkeypatch.setattr(models, "FM_ROWS_PER_PARTITION", 20)
+    models.fit_all(prep, ("fm",), overrides=small)
+    assert seen == [1, 4]
