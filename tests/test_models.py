@@ -110,3 +110,16 @@ def test_factorisation_machine_reads_finely_dealt_rows(spark, monkeypatch):
     monkeypatch.setattr(models, "FM_ROWS_PER_PARTITION", 20)
     models.fit_all(prep, ("fm",), overrides=small)
     assert seen == [1, 4]
+
+
+def test_search_asks_for_more_tasks_than_cores(spark, monkeypatch):
+    """Fits run at once until their partitions are TASKS_PER_CORE tasks a core; the grid does not change."""
+    prep = _linear(spark, n=100)
+    prep.train, prep.test = prep.train.coalesce(1), prep.test.coalesce(1)
+    sizes, pool = [], tune.ThreadPool
+    monkeypatch.setattr(tune, "ThreadPool", lambda n: sizes.append(n) or pool(n))
+    monkeypatch.setattr(tune, "CONCURRENT_FITS", 1)
+    grid = {"regParam": [0.01, 0.1, 0.2, 0.3, 0.5], "elasticNetParam": [0.0]}
+    many = tune.search(prep, "ridge", grid=grid).grid.collect()
+    assert sizes == [min(5, 2 * spark.sparkContext.defaultParallelism)]
+    assert many == tune.search(prep, "ridge", grid=grid, parallelism=1).grid.collect()
