@@ -1063,6 +1063,17 @@ def split_gains(spark, sf_dir):
     return gains.select("feature", rnd("threshold").alias("threshold"), "n_left", "n_right", rnd("gain").alias("gain"))
 
 
+# Rows of a partition that the tree fits over lineitem read: a task holds its partition's
+# binned rows and errors, so this bounds it whatever the files' splits and row groups are.
+_ROWS_PER_FIT_TASK = 500_000
+
+
+def _split_vectors(spark, sf_dir):
+    rows = _split_rows(spark, sf_dir)
+    n = -(-rows.count() // _ROWS_PER_FIT_TASK)
+    return _vectors(rows.repartition(n) if n > 1 else rows, _SPLIT_FEATURES)
+
+
 @query("tree_first_split", _GAIN_SQL + """
 select feature, round(threshold, 6) as threshold, round(gain, 6) as gain, 1.0::double as importance
 from cuts where n_left >= 20 and n_right >= 20 order by gain desc, feature, threshold limit 1
@@ -1070,7 +1081,7 @@ from cuts where n_left >= 20 and n_right >= 20 order by gain desc, feature, thre
 def tree_first_split(spark, sf_dir):
     from . import models
 
-    data = _vectors(_split_rows(spark, sf_dir), _SPLIT_FEATURES)
+    data = _split_vectors(spark, sf_dir)
     tree = models.registry()["decision_tree"].build("scaled_features", "y", "prediction", maxDepth=1).fit(data)
     root = tree._java_obj.rootNode()
     at = root.split().featureIndex()
@@ -1087,7 +1098,7 @@ def forest_first_split(spark, sf_dir):
     """K2 without its random draws (every row and feature in each tree): how many trees make which first cut."""
     from . import models
 
-    data = _vectors(_split_rows(spark, sf_dir), _SPLIT_FEATURES)
+    data = _split_vectors(spark, sf_dir)
     forest = models.registry()["random_forest"].build("scaled_features", "y", "prediction", maxDepth=1, **_WHOLE_FOREST).fit(data)
     roots = [t._java_obj.rootNode() for t in forest.trees]
     cuts = spark.createDataFrame([(_SPLIT_FEATURES[r.split().featureIndex()], float(r.split().threshold()), float(r.gain()))
@@ -1140,7 +1151,7 @@ def _boost_sql(rows: str, features: list[str]) -> str:
 def _boosted(spark, sf_dir):
     from . import models
 
-    data = _vectors(_split_rows(spark, sf_dir), _SPLIT_FEATURES)
+    data = _split_vectors(spark, sf_dir)
     return models.registry()["gbt"].build("scaled_features", "y", "prediction", **_WHOLE_BOOST).fit(data)
 
 

@@ -123,3 +123,17 @@ def test_search_asks_for_more_tasks_than_cores(spark, monkeypatch):
     many = tune.search(prep, "ridge", grid=grid).grid.collect()
     assert sizes == [min(5, 2 * spark.sparkContext.defaultParallelism)]
     assert many == tune.search(prep, "ridge", grid=grid, parallelism=1).grid.collect()
+
+
+def test_lineitem_fits_bound_the_rows_of_a_task(spark, tmp_path, monkeypatch):
+    """One file of one row group is still dealt over tasks, and the cut stays the same."""
+    from tessera.plans import catalog
+
+    rows = [(float(i % 50), i % 11 / 100.0, i % 9 / 100.0, i % 7, 100.0 * (i % 50)) for i in range(200)]
+    spark.createDataFrame(rows, "l_quantity double, l_discount double, l_tax double, l_linenumber int, l_extendedprice double") \
+        .coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    whole = catalog.boosted_stumps(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(catalog, "_ROWS_PER_FIT_TASK", 30)
+    sizes = catalog._split_vectors(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 200 and len(sizes) == 7 and max(r["count"] for r in sizes) <= 40
+    assert catalog.boosted_stumps(spark, str(tmp_path)).collect() == whole
