@@ -96,3 +96,33 @@ def test_colliding_digests_change_nothing(spark, monkeypatch):
     df = spark.createDataFrame([(i % 7, str(i % 3)) for i in range(100)], "x int, y string")
     got = profile.duplicates(df).first()
     assert (got.rows, got.distinct_rows, got.duplicate_rows) == (100, 21, 79)
+
+
+def test_counting_scan_is_a_plain_aggregate_and_settles_repeated_values(spark):
+    """Rows are counted without a sketch, and quantiles on repeated values need no further scan."""
+    rows = spark.range(20_000).select(F.col("id").alias("g") % 2, (F.col("id") % 11 * 0.01).alias("__x")).toDF("g", "__x")
+    state = quantiles.materialize(quantiles._first(rows, ["g"], PROBS, 100))
+    plan = quantiles._cells(rows, state, ["g"], 500)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "kll" not in plan.lower()
+    for row in quantiles._narrowed(rows, state, ["g"], PROBS, 100).collect():
+        x = np.sort(np.arange(row.g, 20_000, 2) % 11 * 0.01)
+        for b in row["__b"]:
+            assert b["done"] and b["inside"] == 0
+            assert (b["at_low"], b["at_high"]) == (x[b["low"]], x[b["high"]])
+
+
+def test_one_counting_scan_cuts_a_bracket_far_below_its_first_width(spark):
+    """The bracket of a sketch is about MARGIN wide on either side; the cells in it are much smaller."""
+    rows = spark.range(200_000).select(F.rand(3).alias("__x"))
+    state = quantiles.materialize(quantiles._first(rows, [], [0.25, 0.5], 10))
+    for b in quantiles._narrowed(rows, state, [], [0.25, 0.5], 10).first()["__b"]:
+        assert b["inside"] < 200_000 * 2 * quantiles.MARGIN / 4
+
+
+def test_constants_and_joins_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 6000, p=[0.9, 0.08, 0.02]), "v": rng.normal(0, 1, 6000).round(3)})
+    df = spark.createDataFrame(pdf)
+    for few in (0, 32):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        _check(df, pdf, 40)
