@@ -26,6 +26,8 @@ SKETCH_K, MARGIN = 2048, 0.005
 GATHER = 100_000
 #: Values around a quantile, and over all the rows, at which cells are cut.
 FINE, COARSE = 64, 16
+#: Quantiles of a bracket's own sketch, of which those near the wanted one cut it.
+STEPS = 1024
 #: Groups and brackets that are compared as constants, not joined.
 FEW = 32
 #: Scans after which a cell is gathered whatever it holds.
@@ -76,9 +78,12 @@ def _same(group: list[str], prefix: str) -> Column:
 
 
 def _beside(rows: DataFrame, state: DataFrame, group: list[str], column: str) -> DataFrame:
-    """Rows with ``column`` of their group's state."""
+    """Rows with ``column`` of their group's state: its brackets, or cuts if there are groups."""
     if not group:
-        return rows.join(F.broadcast(state.select(column)))  # one row
+        row = state.select(F.transform(column, lambda b: F.struct(b["lo"].alias("lo"), b["hi"].alias("hi")))).first()  # one row of bounds
+        bounds = [(None, None) if b is None else (b["lo"], b["hi"]) for b in row[0] or []]
+        return rows.withColumn(column, F.array(*[F.struct(F.lit(lo).cast("double").alias("lo"), F.lit(hi).cast("double").alias("hi"))
+                                                 for lo, hi in bounds]))
     # The state is stored, so its size is known: few groups are broadcast, many joined with hot ones salted.
     return lookup(rows, state.select(*group, "__n", column), group, count_col="__n", bound=state.count()).drop("__n")
 
@@ -88,7 +93,7 @@ def _with_cuts(rows: DataFrame, state: DataFrame, group: list[str]) -> DataFrame
     opened = state.filter("__p is not null")
     if all(isinstance(rows.schema[g].dataType, (T.StringType, T.IntegralType)) for g in group):
         few = opened.select(*group, "__p").limit(FEW + 1).collect()
-        if 0 < len(few) <= FEW:
+        if few and (not group or len(few) <= FEW):
             cuts = None
             for r in few:
                 same = F.lit(True)
@@ -140,9 +145,9 @@ def _cuts(rows: DataFrame, state: DataFrame, group: list[str], probs) -> DataFra
     asked = state.select(*[F.col(g).alias(f"__a_{i}") for i, g in enumerate(group)], F.posexplode("__b").alias("__ak", "b"))
     both = sketches.join(asked, (F.col("__k") == F.col("__ak")) & _same(group, "__a_"))
     share = (F.col("b.low") - F.col("b.below")) / F.greatest(F.col("b.inside") - 1, F.lit(1))
-    fine = [F.least(F.greatest(share + F.lit(MARGIN * (2 * i / FINE - 1)), F.lit(0.0)), F.lit(1.0)) for i in range(FINE + 1)]
-    ranks = F.array(*fine, *[F.lit(i / COARSE) for i in range(COARSE + 1)])
-    cuts = both.select(*group, F.kll_sketch_get_quantile_double("__s", ranks).alias("__v")).groupBy(*group).agg(
+    near = lambda v, i: (F.abs(i / STEPS - share) <= F.lit(abs(MARGIN) + 1 / STEPS)) | (i % (STEPS // COARSE) == 0)
+    values = F.filter(_at(F.col("__s"), [i / STEPS for i in range(STEPS + 1)]), near)
+    cuts = both.select(*group, values.alias("__v")).groupBy(*group).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("__v")))).alias("__p"))
     renamed = cuts.withColumnsRenamed({g: f"__c_{i}" for i, g in enumerate(group)})
     return state.drop("__p").join(renamed, _same(group, "__c_"), "left").drop(*[f"__c_{i}" for i in range(len(group))])

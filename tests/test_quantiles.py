@@ -126,3 +126,15 @@ def test_constants_and_joins_give_the_same(spark, monkeypatch):
     for few in (0, 32):
         monkeypatch.setattr(quantiles, "FEW", few)
         _check(df, pdf, 40)
+
+
+def test_no_groups_cut_twice(spark, monkeypatch):
+    """Without groups brackets are constants in every scan, whatever may be compared so."""
+    x = np.random.default_rng(5).normal(0, 1, 5000)
+    df = spark.createDataFrame(pd.DataFrame({"v": x}))
+    monkeypatch.setattr(quantiles, "FINE", 2)
+    for few in (0, 32):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        got = quantiles.exact_quantiles(df, "v", PROBS, gather=5)
+        assert np.allclose(list(got.first()), np.quantile(x, PROBS), rtol=1e-12, atol=1e-12)
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
