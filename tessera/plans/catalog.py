@@ -1440,10 +1440,11 @@ def hashed_features(spark, sf_dir):
 
 @query("model_comparison")
 def model_comparison(spark, sf_dir):
+    """K1-K9 on one feature fit: the leaderboard of all nine models."""
     from . import models
 
     return _on_prepared(spark, sf_dir,
-                        lambda prep: models.report(models.fit_all(prep, models.CLEAN_RUN)))
+                        lambda prep: models.report(models.fit_all(prep, models.ALL_MODELS)))
 
 
 @query("target_encoded_run")

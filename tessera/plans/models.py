@@ -129,6 +129,8 @@ CLEAN_RUN = ("random_forest", "decision_tree", "ridge", "glm", "elastic_net", "f
              "isotonic")
 LEAK_RUN = ("ridge", "random_forest", "gbt", "decision_tree", "lasso", "elastic_net", "fm",
             "isotonic", "glm")
+# K1-K9: what a comparison of the whole family fits.
+ALL_MODELS = tuple(registry())
 
 
 @dataclass
@@ -139,7 +141,7 @@ class FitResult:
     predictions: DataFrame  # long: model, key, label, prediction
 
 
-def fit_all(prep: Prepared, names=CLEAN_RUN, specs: dict | None = None,
+def fit_all(prep: Prepared, names=ALL_MODELS, specs: dict | None = None,
             overrides: dict | None = None) -> FitResult:
     """L7 + L1: fit each named model (fit timed alone), score all in one pass."""
     spark = prep.train.sparkSession

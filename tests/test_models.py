@@ -112,6 +112,37 @@ def test_factorisation_machine_reads_finely_dealt_rows(spark, monkeypatch):
     assert seen == [1, 4]
 
 
+def test_comparison_fits_the_whole_family(spark, monkeypatch):
+    """K1-K9: by default and in ``model_comparison`` every model of the registry is fitted and scored."""
+    from tessera.plans import catalog
+
+    small = {"random_forest": {"numTrees": 2}, "gbt": {"maxIter": 2}, "fm": {"maxIter": 2}}
+    prep = _linear(spark, n=100)
+    assert {r.model for r in models.fit_all(prep, overrides=small).board.collect()} == set(models.registry())
+    monkeypatch.setattr(catalog, "_doc_prepared", lambda *_: prep)
+    fit_all = models.fit_all
+    monkeypatch.setattr(models, "fit_all", lambda p, names: fit_all(p, names, overrides=small))
+    board = catalog.model_comparison(spark, "").collect()
+    assert len(board) == 9 and {r.model for r in board} == set(models.registry())
+    assert all(math.isfinite(r.rmse) for r in board)
+
+
+def test_isotonic_fit_of_points_is_the_fit_of_the_rows(spark):
+    """K8 with repeated feature values of unlike counts: same steps and predictions as MLlib on every row."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 40, 600) ** 2 / 10.0
+    pdf = pd.DataFrame({"id": np.arange(600), "x": x, "y": np.sqrt(x) + rng.normal(0, 2, 600)})
+    df = VectorAssembler(inputCols=["x"], outputCol="scaled_features").transform(spark.createDataFrame(pdf))
+    spec = FeatureSpec(key="id", label="y", text=None, hashed=[], reduce=[], encoders=[], numeric=["x"], indexed=[])
+    prep = Prepared(df.withColumn("features", F.col("scaled_features")), df, None, spec)
+    prep.train = prep.train.cache()
+    prep.feature_names = lambda: ["x"]
+    got = models.fit_all(prep, ("isotonic",)).models["isotonic"]
+    rows = models.IsotonicRegression(featuresCol="scaled_features", labelCol="y").fit(df)
+    assert np.allclose(got.boundaries.toArray(), rows.boundaries.toArray())
+    assert np.allclose(got.predictions.toArray(), rows.predictions.toArray())
+
+
 def test_search_asks_for_more_tasks_than_cores(spark, monkeypatch):
     """Fits run at once until their partitions are TASKS_PER_CORE tasks a core; the grid does not change."""
     prep = _linear(spark, n=100)
