@@ -156,6 +156,36 @@ def test_search_asks_for_more_tasks_than_cores(spark, monkeypatch):
     assert many == tune.search(prep, "ridge", grid=grid, parallelism=1).grid.collect()
 
 
+def test_long_fits_start_first(spark, monkeypatch):
+    """A forest's trees and depth make its fit long, many rows a leaf do not."""
+    seen = []
+    monkeypatch.setattr(tune, "score_path", lambda est, points, *_: seen.append(points[0]) or [1.0])
+    grid = {"numTrees": [2, 3], "maxDepth": [1, 2], "minInstancesPerNode": [1, 40]}
+    tune.search(_linear(spark, n=60), "random_forest", grid=grid, parallelism=1)
+    assert [p["numTrees"] * p["maxDepth"] for p in seen] == [6, 6, 4, 4, 3, 3, 2, 2]
+
+
+def test_winning_forest_reads_finely_dealt_rows(spark, monkeypatch):
+    """Fitted alone, the winner is dealt over more tasks than the search's fits; a small table stays as it is."""
+    prep = _linear(spark, n=100)
+    prep.train, prep.test = prep.train.repartition(1, "id").sortWithinPartitions("id"), prep.test.coalesce(1)
+    seen, fit = [], tune.RandomForestRegressor.fit
+    monkeypatch.setattr(tune.RandomForestRegressor, "fit",
+                        lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())) or fit(self, df))
+    grid = {"numTrees": [3], "maxDepth": [2]}
+    small = tune.search(prep, "random_forest", grid=grid)
+    whole = fit(models._forest("scaled_features", "y", "prediction", numTrees=3, maxDepth=2), prep.train)
+    assert small.best_model.toDebugString.split("\n")[1:] == whole.toDebugString.split("\n")[1:]
+    monkeypatch.setattr(tune, "REFIT_ROWS_PER_PARTITION", 20)
+    fine = tune.search(prep, "random_forest", grid=grid)
+    assert [p for p, _ in seen] == [1, 1, 1, 4] and seen[1][1] == seen[3][1] == 80
+    assert fine.grid.collect() == small.grid.collect()
+    spec = FeatureSpec(key="id", label="y")
+    monkeypatch.undo()
+    assert [tune.refit_partitions(n, spec) for n in (0, 1, 15_000, 15_001, 164_000, 10**6, 10**7)] == [1, 1, 1, 2, 11, 16, 100]
+    assert tune.refit_partitions(10**6, FeatureSpec(key="id", label="y", fit_partitions=3)) == 3
+
+
 def test_lineitem_fits_bound_the_rows_of_a_task(spark, tmp_path, monkeypatch):
     """One file of one row group is still dealt over tasks, and the cut stays the same."""
     from tessera.plans import catalog
